@@ -1,0 +1,8 @@
+"""Operators of a training-data pipeline over documents, pages and embeddings."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["tessera.llm"])
