@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from .language import op7_language
+from .neardup import op6_neardup
 from .packing import op5_packing
+from .rules import OP10_SQL, op10_rules
+from .urls import OP1_SQL, op1_urls
 
 QUERIES = {
+    "op1_urls": op1_urls,
     "op5_packing": op5_packing,
+    "op6_neardup": op6_neardup,
+    "op7_language": op7_language,
+    "op10_rules": op10_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_urls": OP1_SQL,
+    "op10_rules": OP10_SQL,
+}
