@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .language import op7_language
+from .lm import op2_lm
 from .neardup import op6_neardup
+from .neighbours import op8_neighbours
 from .packing import op5_packing
 from .rules import OP10_SQL, op10_rules
+from .suffixes import op9_suffixes
 from .urls import OP1_SQL, op1_urls
 
 QUERIES = {
     "op1_urls": op1_urls,
+    "op2_lm": op2_lm,
     "op5_packing": op5_packing,
     "op6_neardup": op6_neardup,
     "op7_language": op7_language,
+    "op8_neighbours": op8_neighbours,
+    "op9_suffixes": op9_suffixes,
     "op10_rules": op10_rules,
 }
 
