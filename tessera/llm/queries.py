@@ -7,6 +7,8 @@ from .lm import op2_lm
 from .neardup import op6_neardup
 from .neighbours import op8_neighbours
 from .packing import op5_packing
+from .pieces import op4_pieces
+from .quality import op3_quality
 from .rules import OP10_SQL, op10_rules
 from .suffixes import op9_suffixes
 from .urls import OP1_SQL, op1_urls
@@ -14,6 +16,8 @@ from .urls import OP1_SQL, op1_urls
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_lm": op2_lm,
+    "op3_quality": op3_quality,
+    "op4_pieces": op4_pieces,
     "op5_packing": op5_packing,
     "op6_neardup": op6_neardup,
     "op7_language": op7_language,
