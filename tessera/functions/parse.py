@@ -201,13 +201,15 @@ def grade(prediction: str, gold: str) -> Column:
 
 
 def normalise_answer(s: Column) -> Column:
-    """``142.0`` as ``142``; clock notation ``{:}`` as ``:``."""
-    return F.when(s.rlike(r"^-?\d+\.0+$"), F.regexp_replace(s, r"\.0+$", "")).otherwise(F.replace(s, F.lit("{:}"), F.lit(":")))
+    """Stripped; clock notation ``{:}`` as ``:``; a whole number ending in ``.0`` without it."""
+    s = F.replace(F.replace(strip(s), F.lit("{:"), F.lit(":")), F.lit(":}"), F.lit(":"))
+    return F.when(s.rlike(r"(?U)^-*\d+\.0$"), F.regexp_replace(s, r"\.0$", "")).otherwise(s)
 
 
 def hash_tail(s: Column) -> Column:
-    """What follows the last ``####``, without commas."""
-    return strip(F.replace(F.substring_index(s, "####", -1), F.lit(","), F.lit("")))
+    """What follows the last ``####``, stripped and without commas; else the stripped text."""
+    tail = F.replace(strip(F.substring_index(s, "####", -1)), F.lit(","), F.lit(""))
+    return F.when(F.contains(s, F.lit("####")), tail).otherwise(strip(s))
 
 
 def tagged_answer(s: Column) -> Column:

@@ -79,7 +79,7 @@ def x6(spark, sf):
 
 
 @query("x8_x9_x10_normalise_answer", f"""WITH {TRACES}, r AS (SELECT * FROM (VALUES (1, '142.0'), (2, '7.50'), (3, '{{:}}x'), (4, 'work #### 1,234'), (5, '<answer> 17 </answer>'), (6, '12:30'), (7, '5.000')) v(id, s))
- SELECT id, CASE WHEN regexp_matches(s, '^-?\\d+\\.0+$') THEN regexp_replace(s, '\\.0+$', '') ELSE replace(s, '{{:}}', ':') END AS normalised, trim(replace(string_split(s, '####')[-1], ',', '')) AS tail,
+ SELECT id, CASE WHEN regexp_matches(s, '^-*\\d+\\.0$') THEN regexp_replace(s, '\\.0$', '') ELSE replace(replace(s, '{{:', ':'), ':}}', ':') END AS normalised, CASE WHEN contains(s, '####') THEN trim(replace(string_split(s, '####')[-1], ',', '')) ELSE s END AS tail,
  CASE WHEN regexp_matches(s, '(?i)<answer>\\s*(.*?)\\s*</answer>') THEN regexp_extract(s, '(?i)<answer>\\s*(.*?)\\s*</answer>', 1) ELSE 'Unknown' END AS tagged FROM r""".replace("\\\\", "\\"))
 def x8(spark, sf):
     rows = [(1, "142.0"), (2, "7.50"), (3, "{:}x"), (4, "work #### 1,234"), (5, "<answer> 17 </answer>"), (6, "12:30"), (7, "5.000")]
