@@ -116,9 +116,9 @@ def similarity_entropy(batch: DataFrame, key: str, vec: str, temperature: float
 def separation(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Mean cosine distance of rows to their own centroid, of centroids to each other, and their ratio."""
     c = vector_mean(df, [label], vec).withColumn("cu", unit(F.col("centroid"))).select(label, "cu")
-    within = df.join(F.broadcast(c), label).agg(F.avg(1 - dot(unit(F.col(vec)), F.col("cu"))).alias("within"))  # one row for each label
+    within = df.join(c, label).agg(F.avg(1 - dot(unit(F.col(vec)), F.col("cu"))).alias("within"))
     other = c.select(F.col(label).alias("_o"), F.col("cu").alias("ou"))
-    between = c.join(F.broadcast(other), F.expr(f"{label} < _o")).agg(F.avg(1 - dot(F.col("cu"), F.col("ou"))).alias("between"))
+    between = c.join(other, F.expr(f"{label} < _o")).agg(F.avg(1 - dot(F.col("cu"), F.col("ou"))).alias("between"))
     return within.crossJoin(between).withColumn("ratio", F.col("between") / F.col("within"))  # one row each
 
 

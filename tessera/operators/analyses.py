@@ -95,7 +95,7 @@ def complementarity(df: DataFrame, k: int) -> DataFrame:
     value = lambda n, c: F.when(n >= k, passk.unbiased(n, c, k))
     whole = q.agg(F.avg(value(F.col("tn"), F.col("tc"))).alias("all_k"))
     styles = s.select("prefix_style").distinct()
-    grid = q.crossJoin(F.broadcast(styles)).join(s, ["question_id", "prefix_style"], "left").na.fill(0, ["n", "c"])  # one row for each style
+    grid = q.crossJoin(styles).join(s, ["question_id", "prefix_style"], "left").na.fill(0, ["n", "c"])
     per = grid.groupBy("prefix_style").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("solved"), F.sum(((F.col("c") > 0) & (F.col("solvers") == 1)).cast("long")).alias("only"), F.avg(value(F.col("tn") - F.col("n"), F.col("tc") - F.col("c"))).alias("without")
     )
@@ -114,7 +114,7 @@ def rerank(df: DataFrame, base: DataFrame, space: list[str], key: str) -> DataFr
     scale = base.select("mu", "sd").limit(1)
     j = r.crossJoin(F.broadcast(scale)).withColumn("_s", F.transform(F.arrays_zip(F.array(*[F.col(c) for c in space]).alias("x"), "mu", "sd"), lambda z: (z["x"] - z["mu"]) / z["sd"]))  # one row
     far = F.aggregate(F.zip_with("_s", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    d = j.crossJoin(F.broadcast(base.select("style", "centroid"))).withColumn("far", far)  # one row for each style
+    d = j.crossJoin(base.select("style", "centroid")).withColumn("far", far)
     mine = F.col("realised") == F.col("style")
     q = d.groupBy("style", "question_id").agg(F.min_by(F.col("correct").cast("double"), F.struct("far", key)).alias("pick"), F.sum(mine.cast("long")).alias("size"), F.max((mine & F.col("correct")).cast("int")).alias("both"))
     return q.groupBy("style").agg(F.avg("pick").alias("pick_accuracy"), rate(F.col("size") > 0).alias("coverage"), F.avg("size").alias("mean_size"), F.avg("both").alias("correct_in_basin"))

@@ -25,7 +25,7 @@ def _coded(df: DataFrame, label: str) -> DataFrame:
     c = c.withColumn("y", (F.row_number().over(W.orderBy(label)) - 1).cast("double"))
     t = c.agg(F.sum("_c").alias("_t"), F.count("*").alias("_k"))
     w = c.crossJoin(F.broadcast(t)).select(label, "y", (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("w"))  # one row
-    return df.join(F.broadcast(w), label)  # one row for each label
+    return df.join(w, label)
 
 
 def _scored(out: DataFrame, train: DataFrame) -> DataFrame:

@@ -105,5 +105,5 @@ def jaccard_pairs(sets: DataFrame, owner: str, member: str) -> DataFrame:
     pair = per.select(F.explode("o").alias("a"), "o").select("a", F.explode("o").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("inter"))
     size = owned.groupBy(F.col(owner).alias("a")).agg(F.count("*").alias("sa"))
     other = size.select(F.col("a").alias("b"), F.col("sa").alias("sb"))
-    grid = size.join(F.broadcast(other), F.expr("a < b"))  # one row for each owner
+    grid = size.join(other, F.expr("a < b"))
     return grid.join(pair, ["a", "b"], "left").select("a", "b", (F.coalesce("inter", F.lit(0)) / (F.col("sa") + F.col("sb") - F.coalesce("inter", F.lit(0)))).alias("jaccard"))

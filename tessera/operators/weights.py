@@ -26,7 +26,7 @@ def importance(df: DataFrame, n_styles: int, target: str = "uniform", eps: float
     if target == "global":
         per_s = cells.groupBy(style).agg(F.sum("is_n_c").alias("_s"))
         total = cells.agg(F.sum("is_n_c").alias("_n"))
-        cells = cells.join(F.broadcast(per_s), style).crossJoin(F.broadcast(total))  # one row for each style; one row
+        cells = cells.join(per_s, style).crossJoin(F.broadcast(total))  # one row
         cells = cells.withColumn("is_q", (F.col("_s") + eps) / (F.col("_n") + n_styles * eps)).drop("_s", "_n")
     else:
         z = (1 + n_styles * eps) / (1 + eps)

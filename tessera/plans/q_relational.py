@@ -32,7 +32,7 @@ def j1(spark, sf):
 def j3(spark, sf):
     g = gens(spark, sf)
     names = g.select("prefix_style").distinct().withColumn("style_id", F.substring("prefix_style", 7, 5).cast("int"))
-    return g.join(F.broadcast(names), "prefix_style", "left").select("ord", "style_id")  # one row for each style
+    return g.join(names, "prefix_style", "left").select("ord", "style_id")
 
 
 @query("j4_j5_left_with_defaults", f"WITH {TRACES}, {LAB} SELECT ord, coalesce(cluster_id, -1) AS cluster_id, bool_or(cluster_id IS NULL) OVER () AS any_missing FROM traces LEFT JOIN lab USING (ord)")
@@ -92,7 +92,7 @@ def j16(spark, sf):
 @query("j17_style_pairs", "SELECT a.s AS a, b.s AS b FROM (SELECT DISTINCT event_type AS s FROM events) a, (SELECT DISTINCT event_type AS s FROM events) b WHERE a.s < b.s")
 def j17(spark, sf):
     s = table(spark, sf, "events").select(F.col("event_type").alias("a")).distinct()
-    return s.join(F.broadcast(s.withColumnRenamed("a", "b")), F.expr("a < b"))  # one row for each style
+    return s.join(s.withColumnRenamed("a", "b"), F.expr("a < b"))
 
 
 @query("j18_semi_join", f"WITH {GENS} SELECT ord FROM gens WHERE question_id IN (SELECT question_id FROM gens GROUP BY question_id HAVING count(*) >= 70)")
@@ -334,5 +334,5 @@ def star(spark, sf):
     """The relational parts at volume: three joins and an aggregate over the largest table."""
     t = lambda n: table(spark, sf, n)
     j = t("lineitem").select("l_orderkey", "l_extendedprice", "l_discount").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    j = j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    j = j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
