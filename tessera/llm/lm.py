@@ -26,7 +26,7 @@ from .common import BYTE, LOWER, STEP, Tables, bucket_of, chunks, group_starts,
 
 #: A word is frequent if it is at least one in FREQUENT of all words; so at most FREQUENT are.
 FREQUENT = 200_000
-BATCH_BYTES, LATTICE_BYTES = 1 << 25, 1 << 18
+BATCH_BYTES, LATTICE_BYTES = 1 << 23, 1 << 18
 LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 
