@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BYTE, chunks, group_starts, pick, span_hashes, spans
 
-CHUNK = 1 << 22
+#: Bytes of text whose words are told apart together, and bytes of different words that are indexed together.
+CHUNK, INDEX = 1 << 21, 1 << 18
 #: Scores under this mark pieces that are not meant to win, as runs of blanks; they count as the worst piece.
 UNUSED = -1e8
 
@@ -54,6 +55,8 @@ class Pieces:
         self.lens = np.array([len(t) for t in text])
         self.flat = np.frombuffer(b"".join(text), np.uint8)
         self.at = np.cumsum(self.lens) - self.lens
+        self.has_piece = np.zeros(256, bool)
+        self.has_piece[[text[k][0] for k in self.ids if len(text[k]) == 1]] = True
         self.longest = int(self.lens[self.ids].max())
         self.blocks = -(-self.longest // 8)
         raw = np.zeros((len(self.ids), 8 * self.blocks), np.uint8)
@@ -113,17 +116,30 @@ class Pieces:
 
     # ------------------------------------------------------------ relaxation
 
-    def _relax(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _paths(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the best path of each word in a row, and their offsets."""
+        ids, counts, i, n = [], [], 0, len(off) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + INDEX, side="right")) - 1)
+            got, at = self._relax(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            ids.append(got)
+            counts.append(np.diff(at))
+            i = j
+        if not ids:
+            return np.empty(0, np.int64), np.zeros(1, np.int64)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+    def _relax(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(buf)
         order, key = self._suffixes(buf)
         lo, hi = self._search(order, key)
         place = order[spans(lo, hi - lo)]
         piece = np.repeat(self.ids, hi - lo)
-        place, piece = np.concatenate((place, np.arange(n))), np.concatenate((piece, self.byte_id[buf]))
+        bare = np.flatnonzero(~self.has_piece[buf])  # a byte with a piece of its own needs no byte edge, so ends differ at each start
+        place, piece = np.concatenate((place, bare)), np.concatenate((piece, self.byte_id[buf[bare]]))
         start_of = np.repeat(off[:-1], np.diff(off))
         within = place - start_of[place]
-        by = np.lexsort((place, within))
+        by = np.argsort(within.astype(np.int64) * (n + 1) + place)
         place, piece, within = place[by], piece[by], within[by]
         end = place + self.lens[piece]
         # best[p] is the weight up to place p of the word that p ends or lies in; a word's first place starts at 0
@@ -139,12 +155,6 @@ class Pieces:
             got = best[node[a:b]] + gain[a:b]
             to = gap[a:b]
             better = got > best[to]
-            if b - a > 1:  # of equal bytes, as a letter's piece and its byte, the heavier
-                best_of = np.lexsort((got, to))
-                last = np.append(to[best_of][1:] != to[best_of][:-1], True)
-                only = np.zeros(b - a, bool)
-                only[best_of[last]] = True
-                better &= only
             best[to[better]] = got[better]
             back[to[better]] = np.flatnonzero(better) + a
         now, owner = off[1:] + np.arange(len(off) - 1), np.arange(len(off) - 1)
@@ -161,7 +171,7 @@ class Pieces:
             return np.empty(0, np.int64), np.zeros(len(off), np.int64)
         step = np.repeat(np.arange(len(who)), [len(w) for w in who])
         who, what = np.concatenate(who), np.concatenate(what)
-        by = np.lexsort((-step, who))
+        by = np.argsort(who * (int(step[-1]) + 1) - step)
         return what[by], np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(off) - 1))))
 
     # ------------------------------------------------------------ texts
@@ -186,7 +196,7 @@ class Pieces:
         if (text[spans(begin, lens)] != text[spans(begin[first][index], lens[first][index])]).any() if (lens == lens[first][index]).all() else True:
             first = index = np.arange(len(begin))  # two words share a hash
         words = text[spans(begin[first], lens[first])]
-        ids, at = self._relax(words, np.concatenate(([0], np.cumsum(lens[first])))) if len(first) else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        ids, at = self._paths(words, np.concatenate(([0], np.cumsum(lens[first]))))
         count = np.diff(at)[index] if len(index) else np.empty(0, np.int64)
         out = ids[spans(at[:-1][index], count)] if len(index) else ids
         total = np.concatenate(([0], np.cumsum(count)))
@@ -229,10 +239,10 @@ def decode(encoded: DataFrame, model_file: str, keep: list[str], ids_col: str =
 
     def run(batches):
         for b in batches:
-            lists = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in b.column(b.num_columns - 1).to_pylist()]
-            off = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-            texts = pieces(model_file).decode(np.concatenate(lists) if lists else np.empty(0, np.int64), off)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(b.num_columns - 1)], pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*keep, "text"])
+            last = b.num_columns - 1
+            for i, j, buf, off in chunks(b.column(last), INDEX):
+                texts = pieces(model_file).decode(np.frombuffer(buf.tobytes(), "<u4").astype(np.int64), off // 4)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(i, j - i) for k in range(last)], pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*keep, "text"])
 
     kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
     return pick(encoded, *keep, ids_col).mapInArrow(run, f"{kinds}, text string")
