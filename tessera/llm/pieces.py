@@ -7,10 +7,14 @@ are relaxed from left to right, and the best path of each word is read back.
 
 A path's weight is the sum of its pieces' scores in the file; bytes that no piece covers cost more
 than any piece. Equal weights go to the path whose last piece is longest.
+
+The scores of a BPE file are merge ranks and no weights: there the edges say which neighbours
+merge, and the best rank merges first, the leftmost of equal ones. The ids are the library's own.
 """
 
 from __future__ import annotations
 
+import heapq
 import sys
 import types
 
@@ -23,6 +27,8 @@ from .common import BYTE, chunks, group_starts, pick, span_hashes, spans
 
 #: Bytes of text whose words are told apart together, and bytes of different words that are indexed together.
 CHUNK, INDEX = 1 << 21, 1 << 18
+#: Stretches of more characters merge by a heap each, shorter ones side by side.
+SIDE_BY_SIDE = 64
 #: Scores under this mark pieces that are not meant to win, as runs of blanks; they count as the worst piece.
 UNUSED = -1e8
 
@@ -49,6 +55,7 @@ class Pieces:
                 text.append(p.replace("▁", " ").encode())
                 whole[k] = b" " not in text[-1].lstrip(b" ")
                 score[k] = m.get_score(k)
+        self.raw = score.copy()
         worst = score[whole & (score > UNUSED)].min()
         self.score = np.where(whole, np.maximum(score, worst), worst - 10)
         self.ids = np.flatnonzero(whole)
@@ -129,12 +136,15 @@ class Pieces:
             return np.empty(0, np.int64), np.zeros(1, np.int64)
         return np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
-    def _relax(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(buf)
+    def _edges(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and piece of every occurrence of a piece."""
         order, key = self._suffixes(buf)
         lo, hi = self._search(order, key)
-        place = order[spans(lo, hi - lo)]
-        piece = np.repeat(self.ids, hi - lo)
+        return order[spans(lo, hi - lo)], np.repeat(self.ids, hi - lo)
+
+    def _relax(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(buf)
+        place, piece = self._edges(buf)
         bare = np.flatnonzero(~self.has_piece[buf])  # a byte with a piece of its own needs no byte edge, so ends differ at each start
         place, piece = np.concatenate((place, bare)), np.concatenate((piece, self.byte_id[buf[bare]]))
         start_of = np.repeat(off[:-1], np.diff(off))
@@ -210,10 +220,124 @@ class Pieces:
         return [raw[a + 1 : b] if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+class Merges(Pieces):
+    """The vocabulary of a BPE file: neighbours merge by rank, from characters upwards."""
+
+    def __init__(self, model_file: str):
+        super().__init__(model_file)
+        _, self.rank = np.unique(-self.raw, return_inverse=True)
+
+    def _relax(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word in a row, and their offsets."""
+        n, wide, none = len(buf), self.longest + 1, len(self.rank)
+        place, piece = self._edges(buf)
+        size = self.lens[piece]
+        inside = np.repeat(off[1:], np.diff(off))[place] >= place + size
+        place, piece, size = place[inside], piece[inside], size[inside]
+        key = place * wide + size
+        by = np.argsort(key)
+        key, piece = np.append(key[by], np.iinfo(np.int64).max), np.append(piece[by], -1)
+
+        def find(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """The piece between two places, or -1."""
+            want = a * wide + np.minimum(b - a, wide)
+            k = np.searchsorted(key, want)
+            return np.where((key[k] == want) & (b - a < wide), piece[k], -1)
+
+        def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            got = find(a, b)
+            return np.where(got < 0, none, self.rank[got])
+
+        # no merge crosses a place that no piece crosses, so the stretches between such places are on their own
+        over = np.zeros(n + 1, np.int64)
+        np.add.at(over, place + 1, 1)
+        np.add.at(over, place + size, -1)
+        at = np.flatnonzero((buf & 0xC0) != 0x80)
+        new = np.cumsum(over)[at] <= 0
+        new[np.searchsorted(at, off[:-1][np.diff(off) > 0])] = True
+        cuts = np.append(np.flatnonzero(new), len(at))
+        count = np.diff(cuts)
+        edge = np.append(at, n)
+        done = [at[np.repeat(count == 1, count)]]
+        for k in np.flatnonzero(count > SIDE_BY_SIDE).tolist():
+            done.append(self._merge(edge[cuts[k] : cuts[k + 1] + 1], ranks))
+        live = np.flatnonzero((count > 1) & (count <= SIDE_BY_SIDE))
+        count, stop = count[live], edge[cuts[live + 1]]
+        at = at[spans(cuts[live], count)]
+
+        def follow(k: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            """The ranks of the pairs that begin at the symbols k."""
+            last = ends[owner] - 1
+            after = np.where(k + 2 <= last, at[np.minimum(k + 2, len(at) - 1)], stop[owner])
+            return np.where(k < last, ranks(at[k], after), none)
+
+        ends = np.cumsum(count)
+        rank = follow(np.arange(len(at)), np.repeat(np.arange(len(live)), count)) if len(live) else at
+        while len(count):
+            ends = np.cumsum(count)
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(at)), ends - count)
+            more = (best >> 32) < none
+            keep = np.repeat(more, count)
+            done.append(at[~keep])
+            left = best[more] & 0xFFFFFFFF
+            keep[left + 1] = False
+            left = (np.cumsum(keep) - 1)[left]
+            at, rank, count, stop = at[keep], rank[keep], count[more] - 1, stop[more]
+            ends = np.cumsum(count)
+            owner = np.arange(len(count))
+            rank[left] = follow(left, owner)
+            has = left > ends - count
+            rank[left[has] - 1] = follow(left[has] - 1, owner[has])
+        begin = np.sort(np.concatenate(done))
+        end = np.append(begin[1:], n)[: len(begin)]
+        ids = find(begin, end)
+        raw = ids < 0  # characters without a piece are given by their bytes
+        many = np.where(raw, end - begin, 1)
+        out = np.repeat(ids, many)
+        out[np.repeat(raw, many)] = self.byte_id[buf[spans(begin[raw], many[raw])]]
+        total = np.concatenate(([0], np.cumsum(many)))
+        return out, total[np.searchsorted(begin, off)]
+
+    def _merge(self, at: np.ndarray, ranks) -> np.ndarray:
+        """The places where symbols begin once the stretch with these places and end is merged."""
+        n, none = len(at) - 1, len(self.rank)
+        heap = [(r, k, k + 1, k + 2) for k, r in enumerate(ranks(at[:-2], at[2:]).tolist()) if r < none]
+        heapq.heapify(heap)
+        stop, back = list(range(1, n + 1)), list(range(-1, n))  # where the symbol at k ends, and where the one before k begins
+        alive = [True] * n
+        table: dict[tuple[int, int], int] = {}
+        for width in range(3, min(self.longest, n) + 1):
+            got = ranks(at[:-width], at[width:])
+            some = np.flatnonzero(got < none)
+            table.update(zip(zip(some.tolist(), (some + width).tolist()), got[some].tolist()))
+        while heap:
+            _, a, mid, b = heapq.heappop(heap)
+            if not (alive[a] and stop[a] == mid and mid < n and alive[mid] and stop[mid] == b):
+                continue
+            alive[mid], stop[a] = False, b
+            if b < n:
+                back[b] = a
+                if (r := table.get((a, stop[b]))) is not None:
+                    heapq.heappush(heap, (r, a, b, stop[b]))
+            if (p := back[a]) >= 0 and (r := table.get((p, b))) is not None:
+                heapq.heappush(heap, (r, p, a, b))
+        return at[:-1][np.array(alive)]
+
+
+def _merged(model_file: str) -> bool:
+    """Whether the file is a BPE file."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    with open(model_file, "rb") as f:
+        m.ParseFromString(f.read())
+    return m.trainer_spec.model_type == m.trainer_spec.BPE
+
+
 def pieces(model_file: str) -> Pieces:
     kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept"))
     if ("pieces", model_file) not in vars(kept):
-        vars(kept)["pieces", model_file] = Pieces(model_file)
+        vars(kept)["pieces", model_file] = (Merges if _merged(model_file) else Pieces)(model_file)
     return vars(kept)["pieces", model_file]
 
 
@@ -221,7 +345,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     """(id, n_pieces, ids): the piece ids of every whole text as little-endian uint32.
 
     A null or empty text has no pieces. Rows with a null id and repeated rows are encoded each; an
-    empty table gives no rows. ``decode`` gives the same texts back, byte for byte.
+    empty table gives no rows. ``decode`` gives the same texts back, byte for byte; for that a word mark
+    in the text (U+2581) is kept as bytes, where the library takes it for a blank.
     """
 
     def run(batches):

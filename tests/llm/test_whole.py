@@ -1,0 +1,26 @@
+"""Operators do the whole job: every row is treated, and results are those of the plain method."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.llm import pieces
+from tessera.llm.common import chunks
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def test_pieces_are_the_librarys(duck):
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=model), pieces.pieces(model)
+    rng = np.random.default_rng(5)
+    parts = ["the", "in", " ", "  ", "ation", "é", "=", "==", "\n", "1", "国", "Ж", "🎉"]
+    texts = [t for t in duck("SELECT text FROM documents").text if t and "▁" not in t]
+    texts += [" " * k for k in range(1, 40)] + ["=" * k for k in range(1, 200, 7)] + ["The international Device", "国际的人民大会" * 30]
+    texts += ["".join(rng.choice(list("etaoinshr"), k)) for k in (9, 63, 64, 65, 3000)] + ["".join(rng.choice(parts, 90)) for _ in range(300)]
+    for i, j, buf, off in chunks(pa.array(texts), 1 << 21):
+        ids, at = own.encode(buf, off)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library.encode(texts[i:j])
+        assert own.decode(ids, at) == [t.encode() for t in texts[i:j]]
