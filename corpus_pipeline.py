@@ -19,23 +19,25 @@ from tessera.llm.suffixes import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose ids the verdicts keep; a document without an id cannot be judged by it and stays."""
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, classify(docs))
+    return classify(docs, also=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, judge(docs))
+    return judge(docs, also=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
-    return _only(docs, near_duplicates(docs))
+    """One document of each group stays, the one with the smallest id; one without an id only where none has one.
+
+    Ids may be null or repeat, so rows go by numbers of their own, written with them.
+    """
+    rows = Tables(spark).write(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    groups = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row"))
+    names = rows.select("_row", "doc_id", F.xxhash64(*COLUMNS).alias("_hash"))
+    stay = groups.join(names.hint("shuffle_hash"), "_row").groupBy("component_id").agg(first.alias("_first")).select("_first._row")
+    return rows.join(stay.hint("shuffle_hash"), "_row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

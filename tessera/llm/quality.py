@@ -165,9 +165,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: fl
     return w
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
     """(id, posterior, score, kept) of every document: kept where the scorer gives at least 0.5, or
-    where the text is too short to judge.
+    where the text is too short to judge. The columns ``also`` stay beside the verdict of their row.
 
     The vote counts cover all documents; only the scorer's weights come from at most about
     ``train_rows`` rows, chosen by a hash of id and text. A null or empty text, and one of under
@@ -207,16 +207,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     got = sample.mapInArrow(fitted, "w binary").collect()
     weights = np.frombuffer(got[0]["w"]) if got else np.zeros(DIMS)
 
+    names = list(dict.fromkeys([id_col, text_col, *also]))
+    given = list(dict.fromkeys([id_col, *also]))
+
     def judged(batches):
         for b in batches:
-            for i, j, buf, off in chunks(b.column(1)):
+            for i, j, buf, off in chunks(b.column(names.index(text_col))):
                 z = np.array([float(weights[at] @ val) for at, val in features(buf, off)])
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 short = word_bounds(buf, off)[2] < SHORT
                 post = [good.get(k, 0.5) for k in pattern(votes(buf, off)).tolist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(post, pa.float64()), pa.array(np.round(score, 9)), pa.array((score >= 0.5) | short)], names=[id_col, "posterior", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)).slice(i, j - i) for c in given], pa.array(post, pa.float64()), pa.array(np.round(score, 9)), pa.array((score >= 0.5) | short)], names=[*given, "posterior", "score", "kept"])
 
-    return slim.mapInArrow(judged, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, posterior double, score double, kept boolean")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given)
+    return pick(docs, *names).mapInArrow(judged, f"{kinds}, posterior double, score double, kept boolean")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -103,15 +103,17 @@ def fences(sketch: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", also: tuple[str, ...] = ()) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every document; ``failed`` names the measures beyond a fence.
+    The columns ``also`` stay beside the verdict of their row.
 
     A null text has no words and fails the base rule. Null languages and sources form groups of
     their own. Repeated rows count and are judged each; an empty table gives no rows.
     """
     tables = Tables(docs.sparkSession)
-    slim = pick(docs, id_col, text_col, lang_col, source_col).toDF(id_col, "text", "lang", "source")
-    counted = tables.write(counts(slim, [id_col, "lang", "source"]), "counts")
+    names = [f"_also{k}" for k in range(len(also))]
+    slim = pick(docs, id_col, text_col, lang_col, source_col, *also).toDF(id_col, "text", "lang", "source", *names)
+    counted = tables.write(counts(slim, [id_col, "lang", "source", *names]), "counts")
     all_fences = fences(sketches(counted)).where(F.col("size") >= LEAST)
     limits = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
     level = lambda k: all_fences.where(F.col("level") == k).select(*(["lang"] if k else []), *(["source"] if k > 1 else []), F.struct(*limits).alias(f"l{k}"))
@@ -123,7 +125,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     beyond = [F.when((F.expr(e) > F.col(f"limit.high_{m}")) | ((F.expr(e) < F.col(f"limit.low_{m}")) if m == "word_length" else F.lit(False)), F.lit(m)) for m, (e, _) in MEASURES.items()]
     failed = F.array_join(F.array(*beyond), ",")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select(f"`{id_col}`", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.alias("failed"), (~base & (failed == "")).alias("kept"))
+    return out.select(f"`{id_col}`", *[F.col(n).alias(c) for n, c in zip(names, also)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.alias("failed"), (~base & (failed == "")).alias("kept"))
 
 
 def op10_rules(spark, sf_dir: str) -> DataFrame:
