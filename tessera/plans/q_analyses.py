@@ -65,8 +65,8 @@ def a4(spark, sf):
 
 @query("a5_text_separation")
 def a5(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en' AND n_chars < 4000").select(F.col("doc_id").alias("ord"), (F.col("doc_id") % 30).alias("question_id"), F.concat(F.lit("style_"), F.floor(F.col("doc_id") / 30) % 2 + 1).alias("prefix_style"), "text")
-    return A.text_separation(d, STYLES[:2], "text", "ord", 500)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), (F.col("doc_id") % 30).alias("question_id"), F.concat(F.lit("style_"), F.floor(F.col("doc_id") / 30) % 2 + 1).alias("prefix_style"), "text")
+    return A.text_separation(d, STYLES[:2], "text", "ord")
 
 
 @query("a6_confusion", f"{ALL}, c AS (SELECT prefix_style, realised, count(*) AS n FROM realised GROUP BY ALL) SELECT prefix_style, realised, n / sum(n) OVER (PARTITION BY prefix_style) AS share FROM c")
