@@ -96,10 +96,10 @@ def b10(spark, sf):
 
 @query("b11_regrade", None)
 def b11(spark, sf):
-    """Grades the crafted texts against their gold answers again and recomputes the success rate."""
+    """Grades all texts, the crafted ones among them, against a gold answer again and recomputes the success rate."""
     from ..functions.parse import grade
 
-    df = texts(spark, sf).where("id < 0").select("id", (F.abs("id") % 3).alias("question_id"), F.col("text").alias("prediction"), F.lit("42").alias("gold"))
+    df = texts(spark, sf).select("id", (F.abs("id") % 3).alias("question_id"), F.col("text").alias("prediction"), F.lit("42").alias("gold"))
     out = df.withColumn("correct", grade("prediction", "gold")["matched"])
     return B.per_question(out).select("question_id", "n", "c")
 

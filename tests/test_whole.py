@@ -26,3 +26,11 @@ def test_text_separation_over_all_documents(spark, sf, duck):
     got = QUERIES["a5_text_separation"](spark, sf).first()
     assert got["n_questions"] == len(far)
     np.testing.assert_allclose([got["mean_distance"], got["median_distance"], got["collapse_rate"]], [np.mean(far), np.median(far), np.mean(np.array(far) < 0.05)], rtol=1e-9)
+
+
+def test_regrade_counts_every_text(spark, sf, duck):
+    from tessera.plans.views import CRAFTED
+
+    rows = QUERIES["b11_regrade"](spark, sf).collect()
+    assert sum(r["n"] for r in rows) == len(duck("SELECT doc_id FROM documents")) + len(CRAFTED)
+    assert sum(r["c"] for r in rows) >= 1
