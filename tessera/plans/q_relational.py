@@ -103,13 +103,27 @@ def j18(spark, sf):
 
 @query("j19_partner_of_other_question")
 def j19(spark, sf):
-    """Every row with a row of another question: both are dealt to places by hash within a block, and shifted until they differ."""
+    """Every row with a row of another question: both are dealt to places by hash within a block, and shifted until they differ.
+
+    After four shifts the next row of another question in the block's order is taken, or the first of the next block that has one.
+    """
     t = traces(spark, sf).select("ord", "question_id")
-    place = W.partitionBy("b").orderBy(F.xxhash64("ord"), "ord")
-    a = t.withColumn("b", F.pmod(F.xxhash64("ord", F.lit(3)), F.lit(16))).withColumns({"i": F.row_number().over(place), "n": F.count("*").over(W.partitionBy("b"))})
+    h = F.xxhash64("ord")
+    place = W.partitionBy("b").orderBy(h, "ord")
+    me = F.struct(F.col("ord").alias("partner"), F.col("question_id").alias("other"))
+    a = t.withColumn("b", F.pmod(F.xxhash64("ord", F.lit(3)), F.lit(16))).withColumns({"i": F.row_number().over(place), "n": F.count("*").over(W.partitionBy("b")), "new": F.coalesce(F.lag("question_id").over(place) != F.col("question_id"), F.lit(False))})
+    later = W.partitionBy("b").orderBy(h.desc(), F.desc("ord")).rowsBetween(W.unboundedPreceding, -1)
+    a = a.withColumn("next", F.last(F.when(F.col("new"), me), True).over(later))
     shifts = a.withColumn("shift", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("j", F.pmod(F.col("i") - 1 + F.col("shift"), F.col("n")) + 1)
     b = a.select("b", F.col("i").alias("j"), F.col("ord").alias("partner"), F.col("question_id").alias("other"))
-    return shifts.join(b, ["b", "j"]).where("question_id <> other").groupBy("ord", "question_id").agg(F.min_by(F.struct("partner", "other"), "shift").alias("p")).select("ord", "question_id", "p.partner", "p.other")
+    near = shifts.join(b, ["b", "j"]).where("question_id <> other").groupBy("ord", "question_id").agg(F.min_by(F.struct("partner", "other"), "shift").alias("p"))
+    lone = a.join(near.select("ord", "question_id"), ["ord", "question_id"], "left_anti")
+    # the first row of each block and its first of another question: at most 32 rows
+    firsts = a.where("i = 1 OR new").groupBy("b").agg(F.min_by(me, "i").alias("x"), F.min_by(me, F.when(F.col("new"), F.col("i"))).alias("y"))
+    firsts = firsts.select(F.col("b").alias("fb"), F.posexplode(F.array("x", "y")).alias("k", "q")).where("q IS NOT NULL")
+    far = lone.where("next IS NULL").join(F.broadcast(firsts), F.expr("question_id <> q.other")).groupBy("ord", "question_id").agg(F.min_by("q", F.struct(F.pmod(F.col("fb") - F.col("b"), F.lit(16)), "k")).alias("p"))
+    found = near.unionByName(lone.where("next IS NOT NULL").select("ord", "question_id", F.col("next").alias("p"))).unionByName(far)
+    return found.select("ord", "question_id", "p.partner", "p.other")
 
 
 @query("j20_anti_and_exactly_one", f"WITH {GENS}, s AS (SELECT question_id, prefix_style FROM gens GROUP BY ALL HAVING sum(CAST(correct AS INTEGER)) >= 9), c AS (SELECT question_id, count(s.prefix_style) AS n FROM (SELECT DISTINCT question_id FROM gens) LEFT JOIN s USING (question_id) GROUP BY ALL) SELECT question_id, n AS styles FROM c WHERE n <= 1")

@@ -34,3 +34,12 @@ def test_regrade_counts_every_text(spark, sf, duck):
     rows = QUERIES["b11_regrade"](spark, sf).collect()
     assert sum(r["n"] for r in rows) == len(duck("SELECT doc_id FROM documents")) + len(CRAFTED)
     assert sum(r["c"] for r in rows) >= 1
+
+
+def test_every_row_has_a_partner(spark, tmp_path):
+    for n, often in ((3, 2), (40, 36), (400, 390)):
+        rows = [(k * 37 if k < often else k * 37 + 1 + k % 30, "t", "en", "web", 1) for k in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        out = QUERIES["j19_partner_of_other_question"](spark, f"{tmp_path}/{n}").collect()
+        assert sorted(r["ord"] for r in out) == sorted(r[0] for r in rows)
+        assert all(r["question_id"] != r["other"] == f"web::q{r['partner'] % 37}" for r in out)
