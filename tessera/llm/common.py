@@ -7,6 +7,7 @@ chunk of its own, so memory follows the longest document and not the batch.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 
 import numpy as np
@@ -105,11 +106,14 @@ def chunks(col, most: int = CHUNK_BYTES):
 
 # ---------------------------------------------------------------- hashes
 
-_rng = np.random.default_rng(0x7E55E7A)
-#: A random odd word for each byte; upper-case letters share that of lower-case ones in LOWER.
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOWER = BYTE.copy()
-LOWER[65:91] = BYTE[97:123]
+#: A random odd word for each byte, for rolling hashes of short windows.
+BYTE = np.random.default_rng(0x7E55E7A).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Byte maps: as they are, and with A-Z lower-cased.
+PLAIN = np.arange(256, dtype=np.uint8)
+LOWER = PLAIN.copy()
+LOWER[65:91] += 32
+#: Spans of more bytes are hashed by BLAKE2.
+LONG = 256
 STEP = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -149,16 +153,25 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
+    """A 64-bit hash of each span's bytes under a byte map: eight bytes at a time go through ``mix``,
+    so no pattern of bytes collides by its structure, as it can in polynomials modulo 2**64.
+    """
     lens = ends - starts
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    at = spans(starts, lens)
-    vals = table[buf[at]]
-    at -= np.repeat(starts.astype(at.dtype), lens)
-    vals *= powers(int(lens.max()))[at]
-    return mix(np.add.reduceat(vals, first) + lens.astype(np.uint64))
+    h = mix(lens.astype(np.uint64), 21)
+    if not len(lens):
+        return h
+    padded = np.concatenate((buf if table is PLAIN else table[buf], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place
+    part = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(MASK64))
+    some = np.flatnonzero((lens > 0) & (lens <= LONG))
+    k = 0
+    while len(some):
+        h[some] = mix(h[some] ^ (eight[starts[some] + k] & part[np.minimum(lens[some] - k, 8)]), 22 + k)
+        k += 8
+        some = some[lens[some] > k]
+    for j in np.flatnonzero(lens > LONG).tolist():
+        h[j] = int.from_bytes(hashlib.blake2b(padded[starts[j] : ends[j]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -203,6 +216,14 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str, parts: int | None =
     return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def streamed(df: DataFrame, keys: list[str], then: list[str], fn, schema: str) -> DataFrame:
+    """``fn(batches) -> iterable of RecordBatch`` over partitions of whole groups of ``keys``, sorted by them and by ``then``, nulls first.
+
+    Nothing holds a group whole, so a group may be larger than memory.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(fn, schema)
+
+
 def _last_group(table: pa.Table, keys: list[str]) -> int:
     """The row at which the last group of a sorted table begins."""
     n, start = table.num_rows, 0
@@ -220,6 +241,12 @@ def _last_group(table: pa.Table, keys: list[str]) -> int:
     return start if start < n else 0
 
 
+def bucket_count(df: DataFrame, least: int, each: int = 4 << 20, most: int = 1 << 16) -> int:
+    """How many buckets the rows of ``df`` are dealt to: one for ``each`` bytes of its estimated size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 55 else max(least, min(most, size // each))  # rows without files have no estimate
+
+
 def group_starts(*cols: np.ndarray) -> np.ndarray:
     """First rows of the runs of equal keys in sorted columns, with the length at the end."""
     n = len(cols[0])

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, chunks, pick, span_hashes, spans
+from .common import PLAIN, chunks, pick, span_hashes, spans
 
 WINDOW, BINS, END_ID, BLOCK_BYTES = 2048, 64, 1, 1 << 22
 
@@ -78,7 +78,7 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))[: len(starts)]
         owner = np.searchsorted(starts, off)
-        _, first, unit = np.unique(span_hashes(buf, starts, ends, BYTE), return_index=True, return_inverse=True)
+        _, first, unit = np.unique(span_hashes(buf, starts, ends, PLAIN), return_index=True, return_inverse=True)
         lens = ends - starts
         if (lens != lens[first][unit]).any() or (buf[spans(starts, lens)] != buf[spans(starts[first][unit], lens)]).any():
             first, unit = np.arange(len(starts)), np.arange(len(starts))  # two cuts share a hash

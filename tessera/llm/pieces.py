@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, chunks, group_starts, pick, span_hashes, spans
+from .common import PLAIN, chunks, group_starts, pick, span_hashes, spans
 
 #: Bytes of text whose words are told apart together, and bytes of different words that are indexed together.
 CHUNK, INDEX = 1 << 21, 1 << 18
@@ -201,7 +201,7 @@ class Pieces:
         cut[starts] = True
         begin = np.flatnonzero(cut)
         stop = np.append(begin[1:], len(text))[: len(begin)]
-        _, first, index = np.unique(span_hashes(text, begin, stop, BYTE), return_index=True, return_inverse=True)
+        _, first, index = np.unique(span_hashes(text, begin, stop, PLAIN), return_index=True, return_inverse=True)
         lens = stop - begin
         if (text[spans(begin, lens)] != text[spans(begin[first][index], lens[first][index])]).any() if (lens == lens[first][index]).all() else True:
             first = index = np.arange(len(begin))  # two words share a hash
@@ -324,7 +324,7 @@ class Merges(Pieces):
         return at[:-1][np.array(alive)]
 
 
-def _merged(model_file: str) -> bool:
+def is_bpe(model_file: str) -> bool:
     """Whether the file is a BPE file."""
     from sentencepiece import sentencepiece_model_pb2
 
@@ -337,14 +337,17 @@ def _merged(model_file: str) -> bool:
 def pieces(model_file: str) -> Pieces:
     kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept"))
     if ("pieces", model_file) not in vars(kept):
-        vars(kept)["pieces", model_file] = (Merges if _merged(model_file) else Pieces)(model_file)
+        vars(kept)["pieces", model_file] = (Merges if is_bpe(model_file) else Pieces)(model_file)
     return vars(kept)["pieces", model_file]
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids): the piece ids of every whole text as little-endian uint32.
 
-    A null or empty text has no pieces. Rows with a null id and repeated rows are encoded each; an
+    For a unigram file the path is the best one under the file's scores. For a BPE file, as that of
+    the query, it is the one that merging by rank gives, so the ids are the library's; a path by
+    summed ranks would not be. Equal weights go to the longest last piece. A very long text is a
+    chunk of its own, and other columns are not read. A null or empty text has no pieces. Rows with a null id and repeated rows are encoded each; an
     empty table gives no rows. ``decode`` gives the same texts back, byte for byte; for that a word mark
     in the text (U+2581) is kept as bytes, where the library takes it for a blank.
     """

@@ -2,15 +2,17 @@
 
 Every string of ``LENGTH`` bytes that also starts anywhere else is found, across all documents:
 
-1. Each such string has one anchor, the smallest hash among its ``GRAM``-byte grams (leftmost on
-   ties). Equal strings have equal anchors, so only starts whose anchor hash occurs twice can
-   repeat. Consecutive starts share an anchor, which leaves about one row for 80 bytes.
-2. The text around repeated anchors (a region: the bytes of all strings the anchor owns) goes to
+1. Each such string has an anchor, the smallest hash among its ``GRAM``-byte grams. Equal strings
+   have equal anchors, so only starts whose anchor hash occurs elsewhere, or at two places of its
+   own string, can repeat. Consecutive starts share an anchor, which leaves about one row (a run)
+   for 80 bytes; a run has ``RUN`` starts at most, so text of a short period is a few long runs.
+2. The text around repeated anchors (a region: the bytes of all strings of the run) goes to
    its hash's task, equal regions once. A suffix array over the regions of a batch of hashes
    tells which starts repeat: buckets of 8-grams are refined by sorting on the bucket numbers
    at offsets 8, 16, 32, 64, each round using the buckets of the round before.
 3. Hashes with very many different regions (the edge of a passage that very many documents share)
-   are compared by 128-bit fingerprints of their strings, spread by fingerprint.
+   are no work for one task. Their strings are spread by fingerprints of four residues, which
+   also tell them apart: two different strings agree with probability under 2**-90.
 4. The repeated starts return to their documents, which lose every covered byte.
 """
 
@@ -23,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, MASK64, STEP, Tables, chunks, group_starts, grouped, mix, pick, powers, spans, text_array
+from .common import BYTE, MASK64, STEP, Tables, bucket_count, chunks, group_starts, grouped, mix, pick, powers, spans, text_array
 
 LENGTH, GRAM = 200, 40
 #: Starts whose anchors are found at once; positions need fewer than POS_BITS bits.
 SEGMENT, POS_BITS = 1 << 20, 21
 #: Different regions of one anchor hash beyond which fingerprints replace the suffix array.
 HOT = 2000
-OTHER = 0xC2B2AE3D27D4EB4F
-HOT_BUCKETS = 64
+#: Starts of one run at most.
+RUN = 1024
+#: Modulus and bases of the residues; a window of n bytes collides with probability n / MOD for each base.
+MOD = (1 << 31) - 1
+BASES = (1103515245, 69069, 1664525, 214013)
 
 
 # ---------------------------------------------------------------- anchors
@@ -46,15 +51,36 @@ def window_hashes(sums: np.ndarray, length: int, base: int) -> np.ndarray:
     return mix((sums[length:] - sums[:-length]) * powers(len(sums) - length, pow(base, -1, 1 << 64)))
 
 
+def residues(buf: np.ndarray, length: int, base: int) -> np.ndarray:
+    """The residue of every window of ``length`` bytes as a polynomial modulo MOD."""
+
+    def scaled(b: int, n: int) -> np.ndarray:  # b**0 .. b**(n - 1)
+        out = np.ones(max(n, 1), np.uint64)
+        done = 1
+        while done < n:
+            more = min(done, n - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(b, done, MOD)) % np.uint64(MOD)
+            done += more
+        return out
+
+    n = len(buf) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    terms = (buf.astype(np.uint64) + np.uint64(1)) * scaled(base, len(buf)) % np.uint64(MOD)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+    return (sums[length:] - sums[:-length]) % np.uint64(MOD) * scaled(pow(base, -1, MOD), n) % np.uint64(MOD)
+
+
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, hash, anchor's place) of each run of starts with one anchor.
+    """(first start, number of starts, hash, whether the hash has several places) of each run of starts with one anchor hash.
 
-    A run that crosses the end of a segment comes in two parts with the same place.
+    Runs end with their document and at multiples of RUN in it, so they do not depend on what else is in ``buf``.
     """
     width, out = length - gram + 1, []
-    valid = np.ones(len(buf), bool)
+    valid, cut = np.ones(len(buf), bool), np.zeros(len(buf) + 1, bool)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
         valid[max(a, b - length + 1) : b] = False
+        cut[a:b:RUN] = True
     for a in range(0, max(0, len(buf) - length + 1), SEGMENT):
         part = buf[a : a + SEGMENT + length - 1]
         h = window_hashes(prefix_sums(part, STEP), gram, STEP)
@@ -65,26 +91,29 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         place = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64((1 << POS_BITS) - 1)).astype(np.int64)
-        good = valid[a : a + n]
-        change = np.ones(n, bool)
-        change[1:] = (place[1:] != place[:-1]) | ~good[:-1]
-        first = np.flatnonzero(change & good)
-        if not len(first):
-            continue
-        stop = np.ones(n, bool)
-        stop[:-1] = (place[1:] != place[:-1]) | ~good[1:]
-        last = np.flatnonzero(stop & good)
-        out.append((first + a, last - first + 1, h[place[first]], place[first] + a))
+        good, best = valid[a : a + n], h[place]
+        turn = (best[1:] != best[:-1]) | cut[a + 1 : a + n]
+        change, stop = np.ones(n, bool), np.ones(n, bool)
+        change[1:], stop[:-1] = turn | ~good[:-1], turn | ~good[1:]
+        first, last = np.flatnonzero(change & good), np.flatnonzero(stop & good)
+        if len(first):
+            out.append((first + a, last - first + 1, best[first], place[first] + a, place[last] + a, place[first] != place[last]))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    first, count, h, low, high, many = (np.concatenate(x) for x in zip(*out))
+    new = np.ones(len(first), bool)  # a run that crosses the end of a segment comes in two parts
+    new[1:] = (first[1:] != first[:-1] + count[:-1]) | (h[1:] != h[:-1]) | cut[first[1:]]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(first)) - 1
+    return first[at], np.add.reduceat(count, at), h[at], np.logical_or.reduceat(many, at) | (low[at] != high[end])
 
 
 def _anchor_blobs(buckets: int, length: int, gram: int):
-    """Each batch's anchors as one row for each bucket of hashes.
+    """Each batch's runs as one row for each bucket of hashes.
 
-    A hash that occurs twice in the batch is known to repeat: its places are passed on as such,
-    and one mark stands for them, so a very common hash adds one entry for each batch.
+    A hash that occurs twice in the batch, or at two places of one run, is known to repeat: its
+    runs are passed on as such, and one mark stands for them, so a very common hash adds one entry
+    for each batch.
     """
 
     def run(batches):
@@ -92,33 +121,31 @@ def _anchor_blobs(buckets: int, length: int, gram: int):
             rid, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             found: list[list[np.ndarray]] = []
             for i, j, buf, off in chunks(b.column(2)):
-                _, _, h, place = anchors(buf, off, length, gram)
-                doc = np.searchsorted(off, place, side="right") - 1
-                found.append([h, rid[i + doc], th[i + doc], place - off[doc]])
+                first, _, h, many = anchors(buf, off, length, gram)
+                doc = np.searchsorted(off, first, side="right") - 1
+                found.append([h, rid[i + doc], th[i + doc], first - off[doc], many])
             if not found:
                 continue
-            h, r, t, s = (np.concatenate(x) for x in zip(*found))
+            h, r, t, s, many = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(h)
-            h, r, t, s = h[order], r[order], t[order], s[order]
+            h, r, t, s, many = h[order], r[order], t[order], s[order], many[order]
             cuts = group_starts(h)
             size = np.diff(cuts)
-            twice = np.repeat(size > 1, size)
+            seen = (size > 1) | (np.logical_or.reduceat(many, cuts[:-1]) if len(h) else np.empty(0, bool))
+            twice = np.repeat(seen, size)
             once = ~twice
-            marks = h[cuts[:-1][size > 1]]
+            marks = h[cuts[:-1][seen]]
             key = np.concatenate((h[once], marks))
             to = (key % np.uint64(buckets)).astype(np.int64)
             cols = [key, np.concatenate((r[once], np.zeros(len(marks), np.int64))), np.concatenate((t[once], np.zeros(len(marks), np.int64))), np.concatenate((s[once], np.full(len(marks), -1)))]
-            order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            known = [r[twice], t[twice], s[twice]]
-            home = (mix(known[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            korder = np.argsort(home, kind="stable")
-            kedge = np.searchsorted(home[korder], np.arange(buckets + 1))
-            cols, known = [c[order] for c in cols], [c[korder] for c in known]
+            home = (mix(t[twice].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            full, blobs = _split(to, buckets, cols)
+            kfull, kblobs = _split(home, buckets, [r[twice], t[twice], s[twice]])
+            both = np.union1d(full, kfull)
+            here, there = dict(zip(full.tolist(), range(len(full)))), dict(zip(kfull.tolist(), range(len(kfull))))
+            pick_of = lambda at, col: [col[at[k]] if k in at else b"" for k in both.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(buckets, dtype=np.int32))]
-                + [pa.array([c[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary()) for c in cols]
-                + [pa.array([c[a:z].tobytes() for a, z in zip(kedge[:-1], kedge[1:])], pa.binary()) for c in known],
+                [pa.array(both.astype(np.int32))] + [pa.array(pick_of(here, c), pa.binary()) for c in blobs] + [pa.array(pick_of(there, c), pa.binary()) for c in kblobs],
                 names=["bucket", "h", "r", "t", "s", "kr", "kt", "ks"],
             )
 
@@ -142,36 +169,32 @@ def _repeated_anchors(table: pa.Table):
 
 
 def _flagged_runs(b, length: int, gram: int):
-    """The runs of a batch's documents whose anchor is listed, with two fingerprints of their regions."""
+    """The listed runs of a batch's documents, with their regions and the regions' 128-bit fingerprints."""
     lists = b.column("starts")
     for i, j, buf, off in chunks(b.column("text")):
-        first, count, h, place = anchors(buf, off, length, gram)
+        first, count, h, _ = anchors(buf, off, length, gram)
         doc = np.searchsorted(off, first, side="right") - 1
         part = lists.slice(i, j - i)
         flat = part.flatten().to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()) if not part.null_count else [len(x or ()) for x in part.to_pylist()])
-        pos = np.isin(place, off[owner] + flat)
+        pos = np.isin(first, off[owner] + flat)
         first, count, h, doc = first[pos], count[pos], h[pos], doc[pos]
-        one, two = prefix_sums(buf, STEP), prefix_sums(buf, OTHER)
-        end = first + count - 1 + length
-        back1, back2 = powers(len(buf) + 1, pow(STEP, -1, 1 << 64)), powers(len(buf) + 1, pow(OTHER, -1, 1 << 64))
-        n = (end - first).astype(np.uint64)
-        fp1 = mix((one[end] - one[first]) * back1[first] + n, 3)
-        fp2 = mix((two[end] - two[first]) * back2[first] + n, 4)
-        yield i, buf, off, doc, first, count, h, fp1, fp2
+        text = buf.tobytes()
+        raw = [text[s:e] for s, e in zip(first.tolist(), (first + count - 1 + length).tolist())]
+        fp = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
+        yield i, off, doc, first, h.view(np.int64), fp[:, 0], fp[:, 1], raw
 
 
 def _regions(length: int, gram: int):
     def run(batches):
         for b in batches:
-            for _, buf, _, _, first, count, h, fp1, fp2 in _flagged_runs(b, length, gram):
+            for _, _, _, _, h, fp1, fp2, raw in _flagged_runs(b, length, gram):
                 if not len(h):
                     continue
                 order = np.lexsort((fp2, fp1, h))
                 cuts = group_starts(h[order], fp1[order], fp2[order])
                 at, times = order[cuts[:-1]], np.diff(cuts)
-                raw = [buf[s : s + c - 1 + length].tobytes() for s, c in zip(first[at].tolist(), count[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(fp1[at].view(np.int64)), pa.array(fp2[at].view(np.int64)), pa.array(times), pa.array(raw, pa.binary())], names=["h", "fp1", "fp2", "times", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(fp1[at]), pa.array(fp2[at]), pa.array(times), pa.array([raw[k] for k in at.tolist()], pa.binary())], names=["h", "fp1", "fp2", "times", "region"])
 
     return run
 
@@ -180,8 +203,8 @@ def _places(length: int, gram: int):
     def run(batches):
         for b in batches:
             rid, th = b.column("rid").to_numpy(), b.column("th").to_numpy()
-            for i, _, off, doc, first, _, h, fp1, fp2 in _flagged_runs(b, length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(rid[i + doc]), pa.array(th[i + doc]), pa.array(first - off[doc]), *[pa.array(x.view(np.int64)) for x in (h, fp1, fp2)]], names=["rid", "th", "s", "h", "fp1", "fp2"])
+            for i, off, doc, first, h, fp1, fp2, _ in _flagged_runs(b, length, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i + doc]), pa.array(th[i + doc]), pa.array(first - off[doc]), pa.array(h), pa.array(fp1), pa.array(fp2)], names=["rid", "th", "s", "h", "fp1", "fp2"])
 
     return run
 
@@ -265,7 +288,7 @@ def _split(to: np.ndarray, buckets: int, cols: list[np.ndarray]):
     return full, [[c[order[edge[k] : edge[k + 1]]].tobytes() for k in full] for c in cols]
 
 
-def _string_blobs(length: int):
+def _string_blobs(length: int, buckets: int):
     """Fingerprints of all strings of hot regions, as one row for each bucket and batch."""
 
     def run(batches):
@@ -275,15 +298,19 @@ def _string_blobs(length: int):
                 count = np.diff(off) - length + 1
                 starts = spans(off[:-1], count).astype(np.int64)
                 owner = np.repeat(np.arange(i, j), count)
-                f1 = window_hashes(prefix_sums(buf, STEP), length, STEP)[starts]
-                f2 = window_hashes(prefix_sums(buf, OTHER), length, OTHER)[starts]
-                full, blobs = _split((f1 % np.uint64(HOT_BUCKETS)).astype(np.int64), HOT_BUCKETS, [f1, f2, *[x[owner] for x in ids], starts - off[owner - i], count[owner - i]])
+                a, b_, c, d = (residues(buf, length, base)[starts] for base in BASES)
+                f1, f2 = (a << np.uint64(32)) | b_, (c << np.uint64(32)) | d
+                full, blobs = _split((mix(f1) % np.uint64(buckets)).astype(np.int64), buckets, [f1, f2, *[x[owner] for x in ids], starts - off[owner - i], count[owner - i]])
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "f1", "f2", "h", "fp1", "fp2", "times", "at", "n"])
 
     return run
 
 
-def _repeated_strings(table: pa.Table):
+def _repeated_strings(buckets: int):
+    return lambda table: _repeated_of(table, buckets)
+
+
+def _repeated_of(table: pa.Table, buckets: int):
     f1, f2 = (_joined(table, k, np.uint64) for k in ("f1", "f2"))
     rest = [_joined(table, k, np.int64) for k in ("h", "fp1", "fp2", "at", "n", "times")]
     order = np.lexsort((f2, f1))
@@ -292,7 +319,7 @@ def _repeated_strings(table: pa.Table):
     keep[order] = np.repeat(size > 1, size)
     keep |= rest[5] > 1
     rest = [x[keep] for x in rest[:5]]
-    full, blobs = _split((mix(rest[1].view(np.uint64)) % np.uint64(HOT_BUCKETS)).astype(np.int64), HOT_BUCKETS, rest)
+    full, blobs = _split((mix(rest[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, rest)
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], names=["home", "h", "fp1", "fp2", "at", "n"])
 
 
@@ -361,10 +388,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", len
 
     All occurrences go, the first included, judged on the input. A null text is empty; a text
     under ``length`` bytes loses nothing; repeated rows are occurrences like others, so they lose
-    all strings; a null id is no hindrance; an empty table gives no rows.
+    all strings; a null id is no hindrance; an empty table gives no rows. A very long text is read
+    in segments of SEGMENT bytes, and one of a short period makes a run for RUN bytes. Columns that
+    are not in ``keep`` are left out, so that none can clash.
     """
     spark = docs.sparkSession
-    tables, buckets = Tables(spark), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables, buckets = Tables(spark), bucket_count(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keep_cols = [F.col(f"`{c}`") for c in keep]
     slim = pick(docs, *dict.fromkeys([*keep, text_col])).select(*keep_cols, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     slim = slim.withColumns({"_rid": F.xxhash64(*keep_cols), "_th": F.xxhash64("_text")})
@@ -380,8 +409,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", len
     parted = regions.join(hot, F.col("h") == F.col("hot"), "left")
     flags = grouped(parted.where("hot IS NULL").drop("hot"), ["h"], _suffix_batch(length), "h bigint, fp1 bigint, fp2 bigint, flags binary")
     if not hot.isEmpty():
-        common = parted.where("hot IS NOT NULL").drop("hot").mapInArrow(_string_blobs(length), "bucket int, f1 binary, f2 binary, h binary, fp1 binary, fp2 binary, times binary, at binary, n binary")
-        homes = grouped(common, ["bucket"], _repeated_strings, "home int, h binary, fp1 binary, fp2 binary, at binary, n binary")
+        common = parted.where("hot IS NOT NULL").drop("hot").mapInArrow(_string_blobs(length, buckets), "bucket int, f1 binary, f2 binary, h binary, fp1 binary, fp2 binary, times binary, at binary, n binary")
+        homes = grouped(common, ["bucket"], _repeated_strings(buckets), "home int, h binary, fp1 binary, fp2 binary, at binary, n binary")
         flags = flags.unionByName(grouped(homes, ["home"], _flags_of, "h bigint, fp1 bigint, fp2 bigint, flags binary"))
     flags = tables.write(flags, "flags")
     tables.drop("regions", "hot")
