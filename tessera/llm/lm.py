@@ -1,15 +1,18 @@
 """Language-model scores: the marginal probability of a text over all its subword segmentations.
 
-The pieces are those of an existing SentencePiece file. Their unigram probabilities come from the
-training documents: every different training word is segmented once, weighted by its count. The
-probability of a word is then the sum over all its segmentations into pieces (single bytes
-included, so every word has one), by a forward recursion in log space. No piece crosses a blank,
-so the probability of a text is the product over its words and one end.
+The pieces are those of an existing SentencePiece file, and its scores are their prior: a unigram
+file gives log probabilities, a BPE file ranks, which count as probabilities that fall with the rank.
+The training documents move them: every different training word is segmented once, weighted by its
+count, and the prior has the weight of ``PRIOR`` tokens for each piece. The training words themselves
+are pieces too, by their counts, so what the model holds grows with the corpus. The probability of
+a word is the sum over all its segmentations (single bytes included, so every word has one), by a
+forward recursion in log space. No piece crosses a blank, so the probability of a text is the
+product over its words and one end.
 
 Words are counted, scored and looked up once each. A batch of documents sends its different
 words to the buckets of their hashes and gets counts and probabilities back in the same order;
-very frequent words, whose number is bounded, are known to every task beforehand. Words are told
-apart by a 64-bit hash.
+very frequent words, whose number is bounded, are known to every task beforehand. The number of
+buckets follows the input's bytes, and a bucket's asks are answered as a stream.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, LOWER, STEP, Tables, bucket_of, chunks, group_starts, grouped, pick, powers, span_hashes, spans, word_bounds
+from .common import BYTE, LOWER, STEP, Tables, bucket_count, bucket_of, chunks, group_starts, grouped, pick, powers, span_hashes, spans, streamed, word_bounds
 
 #: A word is frequent if it is at least one in FREQUENT of all words; so at most FREQUENT are.
 FREQUENT = 200_000
-BATCH_BYTES, LATTICE_BYTES = 1 << 23, 1 << 18
-LOW = np.arange(256, dtype=np.uint8)
-LOW[65:91] += 32
+BATCH_BYTES, LATTICE_BYTES, MERGE_BYTES = 1 << 22, 1 << 18, 1 << 24
+#: Training tokens that the file's scores weigh for each piece, and the share of a word's probability that its own count has.
+PRIOR, WORD_SHARE = 0.5, 0.5
+#: Scores under this mark pieces that are not meant to win.
+UNUSED = -1e8
 
 
 # ---------------------------------------------------------------- the lattice
@@ -95,16 +100,27 @@ class Lattice:
         return out
 
 
-def pieces_of(model_file: str) -> tuple[list[bytes | None], int]:
-    """The bytes of each piece, a blank for the word mark (null for control pieces), and the end id."""
+def pieces_of(model_file: str) -> tuple[list[bytes | None], np.ndarray, int]:
+    """The bytes of each piece, a blank for the word mark (null for control pieces), the prior probabilities by the file's scores, and the end id."""
     import sentencepiece
 
+    from .pieces import is_bpe
+
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     out: list[bytes | None] = []
-    for k in range(m.get_piece_size()):
+    scores = np.array([m.get_score(k) for k in range(m.get_piece_size())])
+    given = np.zeros(len(scores), bool)
+    for k in range(len(scores)):
         p = m.id_to_piece(k)
         out.append(bytes([int(p[3:5], 16)]) if m.is_byte(k) else None if m.is_control(k) or m.is_unknown(k) else p.replace("▁", " ").encode())
-    return out, m.eos_id()
+        given[k] = out[-1] is not None and not m.is_byte(k) and scores[k] > UNUSED
+    worst = scores[given].min() if given.any() else 0.0
+    scores = np.where(given, scores, worst)  # bytes, ends and unused pieces have no score of their own
+    prior = 1 / (1 - np.minimum(scores, 0)) if is_bpe(model_file) else np.exp(scores - scores.max())
+    usable = np.array([p is not None for p in out])
+    usable[m.eos_id()] = True
+    prior = np.where(usable, prior, 0)
+    return out, prior / prior.sum(), m.eos_id()
 
 
 # ---------------------------------------------------------------- words of batches
@@ -143,7 +159,7 @@ def _counted(buckets: int):
                 full = np.flatnonzero(np.diff(edge))
                 for k in full:
                     rows = order[edge[k] : edge[k + 1]]
-                    cols[0].append(LOW[buf[spans(first[rows], length[rows])]].tobytes())
+                    cols[0].append(LOWER[buf[spans(first[rows], length[rows])]].tobytes())
                     cols[1].append(length[rows].astype(np.int32).tobytes())
                     cols[2].append(known[rows].astype(np.int64).tobytes())
                     cols[3].append(total[rows].astype(np.int64).tobytes())
@@ -156,21 +172,38 @@ def _blob(table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
 
 
-def _merged(table: pa.Table):
-    """One row for each bucket: its different words with their counts over all batches."""
-    bucket = table.column("bucket").to_numpy()
-    cuts = group_starts(bucket)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        part = table.slice(a, b - a)
-        buf, lens = _blob(part, "words", np.uint8), _blob(part, "lens", np.int32).astype(np.int64)
+def _merged(batches):
+    """One row for each bucket: its different words with their counts over all batches, merged whenever MERGE_BYTES have come."""
+
+    def merge(parts):
+        buf, lens, c, t = (np.concatenate(x) for x in zip(*parts))
         starts = np.cumsum(lens) - lens
         keys, first, index = np.unique(span_hashes(buf, starts, starts + lens, LOWER), return_index=True, return_inverse=True)
-        c, t = (np.bincount(index, weights=_blob(part, k, np.int64), minlength=len(keys)).astype(np.int64) for k in ("c", "t"))
-        words = buf[spans(starts[first], lens[first])].tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket[a]], pa.int32()), pa.array([words], pa.binary()), pa.array([lens[first].astype(np.int32).tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary()), pa.array([int((c > 0).sum())], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([int(t.sum())], pa.int64())],
-            names=["bucket", "words", "lens", "c", "t", "n_known", "n_train", "n_all"],
-        )
+        c, t = (np.bincount(index, weights=x, minlength=len(keys)).astype(np.int64) for x in (c, t))
+        return buf[spans(starts[first], lens[first])], lens[first], c, t
+
+    def row(bucket, parts):
+        words, lens, c, t = merge(parts)
+        blobs = [words.tobytes(), lens.astype(np.int32).tobytes(), c.tobytes(), t.tobytes()]
+        sums = [int((c > 0).sum()), int(c.sum()), int(t.sum())]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs], *[pa.array([x], pa.int64()) for x in sums]], names=["bucket", "words", "lens", "c", "t", "n_known", "n_train", "n_all"])
+
+    now, parts, size = None, [], 0
+    for b in batches:
+        bucket = b.column("bucket").to_numpy()
+        cuts = group_starts(bucket)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if bucket[x] != now:
+                if parts:
+                    yield row(now, parts)
+                now, parts, size = bucket[x], [], 0
+            part = pa.Table.from_batches([b.slice(x, y - x)])
+            parts.append((_blob(part, "words", np.uint8), _blob(part, "lens", np.int32).astype(np.int64), _blob(part, "c", np.int64), _blob(part, "t", np.int64)))
+            size += part.nbytes
+            if size > MERGE_BYTES:
+                parts, size = [merge(parts)], 0
+    if parts:
+        yield row(now, parts)
 
 
 def _unpacked(batch, row: int):
@@ -204,15 +237,25 @@ def _piece_counts(model_file: str):
     return run
 
 
-def _frequent(lattice: Lattice, least: int):
+def _scored(lattice: Lattice, buf: np.ndarray, off: np.ndarray, use: np.ndarray, c: np.ndarray, words: int) -> np.ndarray:
+    """The log probability of the words ``use``: their own counts' share and that of their segmentations."""
+    if not len(use):
+        return np.empty(0)
+    lens = np.diff(off)[use]
+    sub = lattice.score(buf[spans(off[:-1][use], lens)], np.concatenate(([0], np.cumsum(lens))))
+    if not words:
+        return sub
+    whole = np.log(np.maximum(c[use], 1e-300) / words)
+    return np.logaddexp(math.log(1 - WORD_SHARE) + sub, np.where(c[use] > 0, math.log(WORD_SHARE) + whole, -np.inf))
+
+
+def _frequent(lattice: Lattice, least: int, words: int):
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
                 buf, off, h, c, t = _unpacked(b, row)
                 use = np.flatnonzero(t >= least)
-                lens = np.diff(off)[use]
-                logp = lattice.score(buf[spans(off[:-1][use], lens)], np.concatenate(([0], np.cumsum(lens)))) if len(use) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(c[use]), pa.array(logp)], names=["h", "c", "logp"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(c[use]), pa.array(_scored(lattice, buf, off, use, c, words))], names=["h", "c", "logp"])
 
     return run
 
@@ -258,32 +301,27 @@ def _asks(buckets: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
     return run
 
 
-def _answers(lattice: Lattice):
-    """For each bucket: scores its words, then answers every ask in its order."""
+def _answers(lattice: Lattice, least: int, words: int):
+    """Scores the words of each bucket, which come first, and answers the asks that follow, each in its order."""
 
-    def run(table: pa.Table):
-        bucket, batch = table.column("bucket").to_numpy(), table.column("batch").to_numpy(zero_copy_only=False)
-        asked = table.column("asked").combine_chunks()
-        cuts = group_starts(bucket)
-        table = table.combine_chunks()
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            rows = range(a, b)
-            words = [k for k in rows if not asked[k].is_valid]
-            asks = [k for k in rows if asked[k].is_valid]
-            if not asks:
-                continue
-            buf, off, h, c, _ = _unpacked(table, words[0])
-            need = np.unique(np.concatenate([np.frombuffer(asked[k].as_buffer(), np.uint64) for k in asks]))
-            use = np.flatnonzero(np.isin(h, need, assume_unique=True))
-            use = use[np.argsort(h[use])]
-            lens = np.diff(off)[use]
-            logp = lattice.score(buf[spans(off[:-1][use], lens)], np.concatenate(([0], np.cumsum(lens))))
-            keys, counts = h[use], c[use]
-            place = [np.searchsorted(keys, np.frombuffer(asked[k].as_buffer(), np.uint64)) for k in asks]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch[asks].astype(np.int64)), pa.array(np.full(len(asks), bucket[a], np.int32)), pa.array([counts[p].tobytes() for p in place], pa.binary()), pa.array([logp[p].tobytes() for p in place], pa.binary())],
-                names=["batch", "bucket", "c", "lp"],
-            )
+    def run(batches):
+        keys = counts = logp = None
+        for b in batches:
+            asked, rows, cs, lps = b.column("asked"), [], [], []
+            for row in range(b.num_rows):
+                if not asked[row].is_valid:
+                    buf, off, h, c, t = _unpacked(b, row)
+                    use = np.flatnonzero(t < least)
+                    use = use[np.argsort(h[use])]
+                    keys, counts, logp = h[use], c[use], _scored(lattice, buf, off, use, c, words)
+                    continue
+                place = np.searchsorted(keys, np.frombuffer(asked[row].as_buffer(), np.uint64))
+                rows.append(row)
+                cs.append(counts[place].tobytes())
+                lps.append(logp[place].tobytes())
+            if rows:
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column("batch").take(at), b.column("bucket").take(at), pa.array(cs, pa.binary()), pa.array(lps, pa.binary())], names=["batch", "bucket", "c", "lp"])
 
     return run
 
@@ -324,39 +362,39 @@ def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_i
 
     A null or empty text is its end alone. Rows with a null id are learned from unless the
     condition says otherwise, and scored. Repeated rows count each. An empty table gives no rows;
-    without training rows all pieces are alike.
+    without training rows the file's scores alone count. A very long text is a batch of its own,
+    and other columns of the table are not read, so none can clash.
     """
     spark = docs.sparkSession
-    tables, buckets = Tables(spark), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables, buckets = Tables(spark), bucket_count(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text_col}`").alias("text"))
     counted = slim.select("text", ~F.col("held")).mapInArrow(_counted(buckets), "bucket int, words binary, lens binary, c binary, t binary")
-    words = tables.write(grouped(counted, ["bucket"], _merged, "bucket int, words binary, lens binary, c binary, t binary, n_known bigint, n_train bigint, n_all bigint"), "words")
-    distinct, tokens, all_words = (int(x or 0) for x in words.agg(F.sum("n_known"), F.sum("n_train"), F.sum("n_all")).first())
+    words = tables.write(streamed(counted, ["bucket"], [], _merged, "bucket int, words binary, lens binary, c binary, t binary, n_known bigint, n_train bigint, n_all bigint"), "words")
+    distinct, trained, all_words = (int(x or 0) for x in words.agg(F.sum("n_known"), F.sum("n_train"), F.sum("n_all")).first())
     ends = slim.where(~F.col("held")).count()
-    distinct, tokens = distinct + (ends > 0), tokens + ends
+    distinct, tokens = distinct + (ends > 0), trained + ends
     # one row for each piece of the vocabulary at most
     rows = words.mapInArrow(_piece_counts(model_file), "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    pieces, end = pieces_of(model_file)
-    seen = np.full(len(pieces), 0.5)
+    pieces, prior, end = pieces_of(model_file)
+    seen = PRIOR * len(pieces) * prior
     seen[[r["piece"] for r in rows]] += [r["n"] for r in rows]
     seen[end] += ends
-    usable = np.array([p is not None for p in pieces])
-    usable[end] = True
-    logs = np.log(seen / seen[usable].sum())
+    usable = prior > 0
+    logs = np.log(np.where(usable, seen, 1.0) / seen[usable].sum())
     by: dict[bytes, float] = {}
     for p, x in zip(pieces, logs.tolist()):
         if p is not None:
             by[p] = float(np.logaddexp(by[p], x)) if p in by else x
     lattice = Lattice(by)
     least = max(1, all_words // FREQUENT + 1)
-    hot = words.mapInArrow(_frequent(lattice, least), "h bigint, c bigint, logp double").toPandas().sort_values("h", key=lambda s: s.to_numpy().view(np.uint64))
+    hot = words.mapInArrow(_frequent(lattice, least, trained), "h bigint, c bigint, logp double").toPandas().sort_values("h", key=lambda s: s.to_numpy().view(np.uint64))
     known = hot["h"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.float64), hot["logp"].to_numpy(np.float64)
     kind = docs.schema[id_col].dataType.simpleString()
     state = "n binary, known binary, base binary, logp binary, refs binary, owner binary"
     asks = tables.write(slim.mapInArrow(_asks(buckets, known), f"batch bigint, bucket int, asked binary, ids array<{kind}>, held array<boolean>, {state}"), "asks")
     asking = asks.where("bucket >= 0").select("batch", "bucket", "asked", *[F.lit(None).cast("binary").alias(k) for k in ("words", "lens", "c", "t")])
     table = words.select(F.lit(None).cast("bigint").alias("batch"), "bucket", F.lit(None).cast("binary").alias("asked"), "words", "lens", "c", "t")
-    answers = grouped(asking.unionByName(table), ["bucket"], _answers(lattice), "batch bigint, bucket int, c binary, lp binary")
+    answers = streamed(asking.unionByName(table), ["bucket"], ["batch"], _answers(lattice, least, trained), "batch bigint, bucket int, c binary, lp binary")
     own = asks.where("bucket < 0").drop("asked").withColumns({"c": F.lit(None).cast("binary"), "lp": F.lit(None).cast("binary")})
     both = own.unionByName(answers, allowMissingColumns=True)
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
