@@ -6,9 +6,12 @@ value of the earliest round that reached it. After as many rounds as bins, round
 elements to bin i, so every bin fills. Rounds stop once all bins are full, so large sets need one
 or two. Runs of bins form bands; documents that share a band are candidates.
 
-Equal sets are collapsed first. Candidates are joined into clusters, and inside a cluster every
-pair is compared on the full sets: small clusters whole, larger ones as pairs of blocks, each
-a task of bounded size that returns links and never pairs. Final components use those links.
+Equal sets are collapsed first. Candidates are joined into clusters. A cluster of at most one block
+is compared whole on the full sets, in one task that returns links and never pairs. In a larger one
+every document first meets the one it shares most bands with; what these links join is one part,
+and only documents outside the cluster's largest part are compared with all others, as pairs of
+blocks. So a large group of near copies costs about one comparison a member, and still no link
+between two parts is missed. Final components use all links.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .common import LOWER, Tables, chunks, group_starts, grouped, mix, pick, spa
 from .graph import components, local_labels
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Members and set bytes of one block of a large cluster.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 21
+#: Members and set bytes of a block.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 21
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +167,62 @@ def _links(percent: int):
     return run
 
 
+def _near(percent: int):
+    """The members of each group that are linked with its head, as edges (member, head)."""
+
+    def run(table: pa.Table):
+        cols = [table.column(k).combine_chunks() for k in ("head", "part", "node", "elems")]
+        head, part, node = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
+        cuts = group_starts(head, part)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = np.flatnonzero(node[lo:hi] == head[lo]) + lo
+            rest = np.flatnonzero(node[lo:hi] != head[lo]) + lo
+            if not len(at) or not len(rest):
+                continue
+            own = np.frombuffer(cols[3][int(at[0])].as_buffer(), np.uint64)
+            sets = [np.frombuffer(cols[3][k].as_buffer(), np.uint64) for k in rest.tolist()]
+            size = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            good = rest[100 * inter >= percent * (size + len(own) - inter)]
+            if len(good):
+                yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(head[good])], names=["a", "b"])
+
+    return run
+
+
+def _block(seed: int, n: str):
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+
+
+def _blocks_of(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """How many blocks the rows of each key make."""
+    return rows.groupBy(key).agg(F.greatest(F.ceil(F.sum(F.octet_length("elems")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias(name))
+
+
+def _large_links(big: DataFrame, stars: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """Links (a, b) that join what all pairs within each cluster of ``big`` (cluster, node, elems, nb) would join."""
+    shared = stars.join(big.select(F.col("node").alias("a")), "a", "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+    heads = shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("head"))
+    members = tables.write(big.join(heads.withColumnRenamed("a", "node"), "node").select("head", "node", "elems"), "members")
+    load = tables.write(_blocks_of(members, "head", "parts"), "load")
+    dealt = members.join(load, "head").select("head", _block(1, "parts").alias("part"), "node", "elems")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = load.join(big.select(F.col("node").alias("head"), "node", "elems"), "head").select("head", every("parts").alias("part"), "node", "elems")
+    near = tables.write(grouped(dealt.unionByName(own), ["head", "part"], _near(percent), "a bigint, b bigint"), "near")
+    labels = components(near, tables, "parts")
+    marked = tables.write(big.join(labels, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("part"), "nb", "elems"), "marked")
+    sizes = marked.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"))
+    rest = tables.write(marked.join(main, "cluster").where("part != main").select("cluster", "node", "nb", "elems"), "rest")
+    few = tables.write(_blocks_of(rest, "cluster", "nr"), "few")
+    left = rest.join(few, "cluster").select("cluster", _block(2, "nr").alias("bi"), every("nb").alias("bj"), "node", "elems")
+    right = marked.join(few, "cluster").select("cluster", every("nr").alias("bi"), _block(3, "nb").alias("bj"), "node", "elems")
+    far = grouped(left.unionByName(right), ["cluster", "bi", "bj"], _links(percent), "a bigint, b bigint")
+    return near.unionByName(far)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, n_bands: int = 40, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document.
 
@@ -173,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text has an empty set, is linked with nothing and kept. A row with a null id
     is linked with nothing, has a null component and is kept. Rows that share an id are one
-    document. An empty table gives no rows. Ids are whole numbers.
+    document. An empty table gives no rows. Ids are whole numbers. A very long text is a chunk of
+    its own and its set is compared whole; other columns are not read, so none can clash.
     """
     tables = Tables(docs.sparkSession)
     slim = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -188,11 +248,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = tables.write(components(stars, tables, "candidates"), "clusters")
     text = slim.join(clusters.hint("shuffle_hash"), slim["doc_id"] == clusters["node"]).select(F.col("component").alias("cluster"), "node", "text")
     sets = tables.write(text.mapInArrow(_sets(width), "cluster bigint, node bigint, elems binary"), "sets")
-    blocks = tables.write(sets.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(F.octet_length("elems")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("nb")), "blocks")
-    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(own, j).alias("bi"), F.greatest(own, j).alias("bj")))
-    placed = sets.join(blocks, "cluster").select("cluster", F.explode(pairs).alias("p"), "node", "elems").select("cluster", "p.bi", "p.bj", "node", "elems")
-    links = grouped(placed, ["cluster", "bi", "bj"], _links(percent), "a bigint, b bigint")
+    blocks = tables.write(_blocks_of(sets, "cluster", "nb"), "blocks")
+    sized = sets.join(blocks, "cluster")
+    whole = sized.where("nb = 1").select("cluster", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "node", "elems")
+    links = grouped(whole, ["cluster", "bi", "bj"], _links(percent), "a bigint, b bigint")
+    if not blocks.where("nb > 1").isEmpty():
+        links = links.unionByName(_large_links(tables.write(sized.where("nb > 1"), "big"), stars, tables, percent))
     final = tables.write(components(links, tables, "linked"), "components")
     named = rows_of.select("doc_id", *same).join(classes, same, "left").join(final.withColumnRenamed("node", "fnode"), F.col("node") == F.col("fnode"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
