@@ -18,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a file that one row group may hold.
+GROUP_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt to all cores where its row groups are fewer; larger inputs stay as they are.
+
+    A file of one row group is read by one task, however the scan is split.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    if size > cores * GROUP_BYTES or len(df.inputFiles()) + size // GROUP_BYTES >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def gens(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.lit(None).cast("int")
     for name, k in EVENT_STYLES.items():
@@ -39,7 +56,7 @@ GENS = f"""gens AS (SELECT user_id AS question_id, 'style_' || CASE event_type {
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ord"),
         F.concat(F.col("source"), F.lit("::q"), (F.col("doc_id") % 37).cast("string")).alias("question_id"),
         F.col("lang").alias("author"),
@@ -88,7 +105,7 @@ CRAFTED = [
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(CRAFTED)], "id bigint, text string")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(made)
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).unionByName(made)
 
 
 def quoted(s: str) -> str:
