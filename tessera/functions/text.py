@@ -63,9 +63,38 @@ DENSITY_FEATURES = ["avg_word_len", "avg_sent_len_words", "dens_realization", "d
 PROFILE_FEATURES = ["n_words", "n_lines", "avg_sent_len_words", "piv_total", "n_backtrack", "n_steps", "n_equals", "n_boxed", "n_question", "dens_piv_total", "dens_backtrack", "dens_verification", "dens_realization", "dens_exploration", "dens_integration", "dens_steps", "dens_equals", "dens_boxed", "lines_per_100w"]
 
 
-def found(text: Column, pattern: str, fold: bool = True, lines: bool = False) -> Column:
-    """Non-overlapping matches of a pattern."""
-    return F.regexp_count(text, F.lit(f"(?{'i' if fold else ''}{'m' if lines else ''}U){pattern}"))
+#: For each lexicon texts of which every match holds one; they are searched first, as that costs far less than the pattern.
+NEEDLES = {
+    PIVOTS["realization"]: ("wait", "hmm", "oh", "oops", "actually", "hold on", "i missed", "my mistake", "scratch that", "never"),
+    PIVOTS["verification"]: ("let me ", "verify", "to check", "double", "checking again", "sanity check"),
+    PIVOTS["exploration"]: ("what if", "another ", "alternativ", "on the other hand", "s try", "let me try", "we could also", "suppose that"),
+    PIVOTS["integration"]: ("now i see", "this connects", "putting ", "therefore", "thus", "in conclusion", "to summari", "so the answer", "hence", "final answer"),
+    BACKTRACK: ("wait", "actually", "on second thought", "let me reconsider", "scratch that", "never", "instead", "going back"),
+    BACKTRACK_MARKERS: ("wait", "actually", "no,", "no.", "let me ", "on second thought", "that's ", "that is ", "i made", "i was wrong", "i need to", "scratch that", "never", "hmm", "oops", "that doesn"),
+    METACOGNITION: ("let me ", "i need to", "i should", "i will", "i can", "i notice", "i observe", "i see that", "i think", "i believe", "i recall", "let's ", "let us ", "this ", "we ", "to summarize", "to conclude", "to verify", "to check", "to find", "to solve", "to determine"),
+    VERIFICATION: ("let me ", "to check", "to verify", "to confirm", "to validate", "let's ", "let us ", "checking", "verif", "sanity check", "does this ", "plugging ", "substitut", "indeed", "as expected", "which "),
+    MATH: tuple("$\\=<>≤≥≠±×÷∈∉⊂⊃∪∩∀∃∞→←↔⇒⇐⇔+-*/^"),
+    ASSIGNMENT: ("=",),
+    ALTERNATIVES: ("alternativ", "another ", "could also", "could instead", "instead", "approach ", "method ", "case ", "option ", "on the other hand", "or we could", "or equivalently"),
+    CODE_BLOCK: ("```",),
+    FILLERS: ("okay", "ok", "alright", "so", "well", "now", "right", "um", "hmm", "uh", "ah", "anyway", "basically", "you know", "i mean", "like i said"),
+}
+
+
+def folded(text: Column) -> Column:
+    """The text in lower case, with the four other characters that case folding takes for ASCII letters."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def found(text: Column, pattern: str, fold: bool = True, lines: bool = False, low: Column | None = None) -> Column:
+    """Non-overlapping matches of a pattern; with ``low``, the folded text, the pattern runs only where a needle occurs."""
+    count = F.regexp_count(text, F.lit(f"(?{'i' if fold else ''}{'m' if lines else ''}U){pattern}"))
+    if low is None or pattern not in NEEDLES:
+        return count
+    some = F.lit(False)
+    for needle in NEEDLES[pattern]:
+        some = some | F.contains(low, F.lit(needle))
+    return F.when(some, count).otherwise(0)
 
 
 def literal_count(text: Column, needle: str) -> Column:
@@ -83,7 +112,8 @@ def words_of(text: Column) -> Column:
 
 def _pieces(df: DataFrame, text_col: str) -> DataFrame:
     """Splits each text once; the features below all read these columns."""
-    return df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumns({
+    return df.withColumn("_t", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumns({
+        "_low": folded(F.col("_t")),
         "_words": F.size(words_of(F.col("_t"))),
         "_letters": F.length(F.regexp_replace("_t", r"(?U)\s+", "")),
         "_sents": F.size(F.filter(F.split("_t", SENTENCE_END), lambda x: x.rlike(r"(?U)\S"))),
@@ -96,9 +126,9 @@ def handcrafted(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Densities are counts per 100 words. All counts are made in one projection.
     """
-    t = F.col("_t")
-    counts = {f"piv_{k}": found(t, p) for k, p in PIVOTS.items()} | {
-        "n_backtrack": found(t, BACKTRACK),
+    t, low = F.col("_t"), F.col("_low")
+    counts = {f"piv_{k}": found(t, p, low=low) for k, p in PIVOTS.items()} | {
+        "n_backtrack": found(t, BACKTRACK, low=low),
         "n_equals": literal_count(t, "="),
         "n_dollar": literal_count(t, "$"),
         "n_boxed": literal_count(t, "\\boxed"),
@@ -125,18 +155,18 @@ def interpretable(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Densities are per 1000 words, for notation and newlines per 1000 characters, and 0 where there are none.
     """
-    t = F.col("_t")
+    t, low = F.col("_t"), F.col("_low")
     kept = [F.col(f"`{c}`") for c in df.columns]
     counts = {
         "step_count": found(t, STEP_MARKERS),
-        "backtrack_count": found(t, BACKTRACK_MARKERS),
-        "metacognition_count": found(t, METACOGNITION),
-        "verification_count": found(t, VERIFICATION),
-        "_math": found(t, MATH, fold=False),
-        "variable_assignment_count": found(t, ASSIGNMENT),
-        "alternative_count": found(t, ALTERNATIVES),
-        "code_block_count": found(t, CODE_BLOCK, fold=False),
-        "_fillers": found(t, FILLERS),
+        "backtrack_count": found(t, BACKTRACK_MARKERS, low=low),
+        "metacognition_count": found(t, METACOGNITION, low=low),
+        "verification_count": found(t, VERIFICATION, low=low),
+        "_math": found(t, MATH, fold=False, low=low),
+        "variable_assignment_count": found(t, ASSIGNMENT, low=low),
+        "alternative_count": found(t, ALTERNATIVES, low=low),
+        "code_block_count": found(t, CODE_BLOCK, fold=False, low=low),
+        "_fillers": found(t, FILLERS, low=low),
         "paragraph_count": F.size(F.filter(F.split(strip(t), r"(?U)\n\s*\n"), lambda x: x.rlike(r"(?U)\S"))),
     }
     base = _pieces(df, text_col).select(*kept, F.length("_t").cast("double").alias("trace_length"), F.col("_words").cast("double").alias("word_count"), F.col("_newlines").cast("double"), *[c.cast("double").alias(n) for n, c in counts.items()])
