@@ -56,10 +56,59 @@ def variance_hinge(df: DataFrame, vec: str, gamma: float = 1.0, eps: float = 1e-
     return d.agg(F.avg(F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), gamma - F.col("s") + eps))).alias("value"))
 
 
+def cross_moments(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(i, n, row): for each dimension i of ``a`` the number of rows and the sums of centred products with all dimensions of ``b``.
+
+    Tasks add up whole blocks; only their sums, one row for each task and dimension, are shuffled and
+    merged with the means they were centred by.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def merge(x, y):  # (n, mean of a, mean of b, sums of centred products)
+        n = x[0] + y[0]
+        da, db = y[1] - x[1], y[2] - x[2]
+        return n, x[1] + da * (y[0] / n), x[2] + db * (y[0] / n), x[3] + y[3] + (da[:, None] * db[None, :] if np.ndim(da) else da * db) * (x[0] * y[0] / n)
+
+    def matrix(col):
+        return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+
+    def parts(batches):
+        held = None
+        for t in batches:
+            if t.num_rows:
+                x, y = matrix(t.column(0)), matrix(t.column(1))
+                mx, my = x.mean(axis=0), y.mean(axis=0)
+                now = (len(x), mx, my, (x - mx).T @ (y - my))
+                held = now if held is None else merge(held, now)
+        if held is not None:
+            n, mx, my, m = held
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mx))), pa.array(np.full(len(mx), n)), pa.array(mx), pa.array([my.tolist()] * len(mx), lists), pa.array(m.tolist(), lists)], names=["i", "n", "mean", "means", "row"])
+
+    def sums(batches):
+        now, held = None, None
+        for t in batches:
+            for i, n, mean, means, row in zip(*(c.to_pylist() for c in t.columns)):
+                part = (n, mean, np.array(means), np.array(row))
+                if i != now and held is not None:
+                    yield out(now, held)
+                held = part if i != now else merge(held, part)
+                now = i
+        if held is not None:
+            yield out(now, held)
+
+    def out(i, held):
+        return pa.RecordBatch.from_arrays([pa.array([i]), pa.array([held[0]]), pa.array([held[3].tolist()], pa.list_(pa.float64()))], names=["i", "n", "row"])
+
+    blocks = df.select(a, F.col(b).alias("_b")).where(F.col(a).isNotNull() & F.col("_b").isNotNull()).mapInArrow(parts, "i bigint, n bigint, mean double, means array<double>, row array<double>")
+    return blocks.repartition("i").sortWithinPartitions("i").mapInArrow(sums, "i bigint, n bigint, row array<double>")
+
+
 def covariance(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """(i, j, cov_samp, cov_pop) of all pairs of dimensions, from sums of products: dims**2 rows at most."""
-    pairs = df.select(F.posexplode(vec).alias("i", "x"), F.col(vec)).select("i", "x", F.posexplode(vec).alias("j", "y"))
-    return pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov_samp"), F.covar_pop("x", "y").alias("cov_pop"))
+    """(i, j, cov_samp, cov_pop) of all pairs of dimensions."""
+    m = cross_moments(df, vec, vec).select(F.col("i").cast("int").alias("i"), "n", F.posexplode("row").alias("j", "s"))
+    return m.select("i", "j", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).alias("cov_samp"), (F.col("s") / F.col("n")).alias("cov_pop"))
 
 
 def covariance_penalty(cov: DataFrame) -> DataFrame:
@@ -93,23 +142,25 @@ def within_pairs(df: DataFrame, by: str, key: str, vec: str) -> DataFrame:
 
 
 def contrastive(pairs: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """V3, V9: InfoNCE of one batch of (pair, side, v): every row against all others, the partner as the answer.
+    """V3, V9: InfoNCE over batches of (batch, pair, side, v): every row against all others of its batch, the partner as the answer.
 
-    A batch has a bounded number of rows; all its rows meet each other.
+    A batch has a bounded number of rows; all its rows meet each other. The value is the mean over all
+    rows; without the column all rows are one batch.
     """
-    u = pairs.select(F.concat_ws("/", "pair", "side").alias("id"), "pair", unit(F.col("v")).alias("u"))
-    b = u.select(F.col("id").alias("oid"), F.col("pair").alias("opair"), F.col("u").alias("w"))
-    sims = u.join(b, F.expr("id <> oid")).select("id", (F.col("pair") == F.col("opair")).alias("mate"), (dot(F.col("u"), F.col("w")) / temperature).alias("s"))
-    loss = sims.groupBy("id").agg((F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("mate"), F.col("s")))).alias("l"))
+    pairs = pairs if "batch" in pairs.columns else pairs.withColumn("batch", F.lit(0))
+    u = pairs.select("batch", F.concat_ws("/", "pair", "side").alias("id"), "pair", unit(F.col("v")).alias("u"))
+    b = u.select("batch", F.col("id").alias("oid"), F.col("pair").alias("opair"), F.col("u").alias("w"))
+    sims = u.join(b, "batch").where("id <> oid").select("batch", "id", (F.col("pair") == F.col("opair")).alias("mate"), (dot(F.col("u"), F.col("w")) / temperature).alias("s"))
+    loss = sims.groupBy("batch", "id").agg((F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("mate"), F.col("s")))).alias("l"))
     return loss.agg(F.coalesce(F.avg("l"), F.lit(0.0)).alias("value"))
 
 
-def similarity_entropy(batch: DataFrame, key: str, vec: str, temperature: float = 0.1) -> DataFrame:
+def similarity_entropy(rows: DataFrame, key: str, vec: str, temperature: float = 0.1, batch: str | None = None) -> DataFrame:
     """V7: minus the mean entropy of each row's softmax over the others of its batch."""
-    u = batch.select(F.col(key).alias("id"), unit(F.col(vec)).alias("u"))
-    b = u.select(F.col("id").alias("oid"), F.col("u").alias("w"))
-    s = u.join(b, F.expr("id <> oid")).select("id", (dot(F.col("u"), F.col("w")) / temperature).alias("s"))
-    z = s.groupBy("id").agg(F.log(F.sum(F.exp("s"))).alias("lz"), (F.sum(F.exp("s") * F.col("s")) / F.sum(F.exp("s"))).alias("m"))
+    u = rows.select((F.col(batch) if batch else F.lit(0)).alias("batch"), F.col(key).alias("id"), unit(F.col(vec)).alias("u"))
+    b = u.select("batch", F.col("id").alias("oid"), F.col("u").alias("w"))
+    s = u.join(b, "batch").where("id <> oid").select("batch", "id", (dot(F.col("u"), F.col("w")) / temperature).alias("s"))
+    z = s.groupBy("batch", "id").agg(F.log(F.sum(F.exp("s"))).alias("lz"), (F.sum(F.exp("s") * F.col("s")) / F.sum(F.exp("s"))).alias("m"))
     return z.agg((-F.avg(F.col("lz") - F.col("m"))).alias("value"))
 
 
@@ -133,11 +184,11 @@ def cosine_gap(df: DataFrame, label: str, vec: str) -> DataFrame:
 
 
 def linear_cka(df: DataFrame, a: str, b: str) -> DataFrame:
-    """|A'B|**2 / (|A'A| |B'B|) of centred columns, from one pass over products of dimensions."""
+    """|A'B|**2 / (|A'A| |B'B|) of centred columns."""
 
     def block(x, y):
-        p = df.select(F.posexplode(x).alias("i", "p"), F.col(y).alias("o")).select("i", "p", F.posexplode("o").alias("j", "q"))
-        return p.groupBy("i", "j").agg(F.covar_pop("p", "q").alias("c")).agg(F.sum(F.pow("c", 2)).alias("s"))
+        square = F.aggregate("row", F.lit(0.0), lambda t, c: t + (c / F.col("n")) * (c / F.col("n")))
+        return cross_moments(df, x, y).agg(F.sum(square).alias("s"))
 
     ab, aa, bb = block(a, b), block(a, a), block(b, b)
     return ab.select(F.col("s").alias("ab")).crossJoin(aa.select(F.col("s").alias("aa"))).crossJoin(bb.select(F.col("s").alias("bb"))).select((F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("cka"))  # one row each
@@ -146,20 +197,17 @@ def linear_cka(df: DataFrame, a: str, b: str) -> DataFrame:
 def procrustes(df: DataFrame, a: str, b: str) -> float:
     """Disparity 2 - 2 * (sum of singular values) of the cross product of centred tables of unit norm.
 
-    Only the dims x dims cross product reaches the driver.
+    Only the dims x dims cross product and two traces reach the driver.
     """
     import numpy as np
 
-    def block(x, y):
-        p = df.select(F.posexplode(x).alias("i", "p"), F.col(y).alias("o")).select("i", "p", F.posexplode("o").alias("j", "q"))
-        rows = p.groupBy("i", "j").agg(F.covar_pop("p", "q").alias("c")).collect()
-        m = np.zeros((max(r["i"] for r in rows) + 1, max(r["j"] for r in rows) + 1))
-        for r in rows:
-            m[r["i"], r["j"]] = r["c"]
-        return m
+    def trace(x):
+        d = df.select(F.posexplode(x).alias("i", "p")).groupBy("i").agg(F.var_pop("p").alias("v"))
+        return d.agg(F.sum("v")).first()[0]
 
-    ab, aa, bb = block(a, b), block(a, a), block(b, b)
-    return float(2 - 2 * np.linalg.svd(ab / np.sqrt(np.trace(aa) * np.trace(bb)), compute_uv=False).sum())
+    rows = cross_moments(df, a, b).orderBy("i").collect()
+    ab = np.array([r["row"] for r in rows]) / rows[0]["n"]
+    return float(2 - 2 * np.linalg.svd(ab / np.sqrt(trace(a) * trace(b)), compute_uv=False).sum())
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str, name: str, how: str = "dot") -> DataFrame:

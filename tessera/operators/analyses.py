@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.vectors import nearest_centroid
 from . import passk, stats
 from .ranks import name_clusters, rank_quartile
+from .sampling import random_halves
 
 
 def rate(c: Column) -> Column:
@@ -170,8 +171,7 @@ def split_selection(df: DataFrame, key: str, splits: int, seed: int = 0) -> Data
 
     The halves of a split come from a hash of (split, place in the cell), shared by all cells.
     """
-    cells = df.withColumn("i", F.row_number().over(W.partitionBy("question_id", "prefix_style").orderBy(key)))
-    s = cells.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits)))).withColumn("half", F.pmod(F.xxhash64(F.lit(seed), "split", "i"), F.lit(2)))
+    s = random_halves(df, ["question_id", "prefix_style"], key, splits, seed)
     v = F.col("correct").cast("double")
     p = s.groupBy("split", "question_id", "prefix_style").agg(F.avg(F.when(F.col("half") == 0, v)).alias("a"), F.avg(F.when(F.col("half") == 1, v)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     q = p.groupBy("split", "question_id").agg(F.avg("b").alias("uniform"), F.max_by("b", F.struct("a", "prefix_style")).alias("per_question"), F.max("b").alias("oracle"))

@@ -110,7 +110,7 @@ def bic(df: DataFrame, vec: str, model: Gmm) -> float:
 
 
 def sweep(df: DataFrame, key: str, question: str, vec: str, ks: list[int], spark: SparkSession, n_init: int = 1, max_iter: int = 15) -> DataFrame:
-    """(k, val_bic, best) on a held-out tenth of the questions; a failed fit counts as infinite, all failing raises."""
+    """C4: (k, val_bic, best) on a held-out tenth of the questions; a failed fit counts as infinite, all failing raises."""
     parts = split_by_key(df.withColumn(vec, unit(F.col(vec))), question, 0.1).select(vec, "split").persist()
     rows = []
     for k in ks:
@@ -126,6 +126,50 @@ def sweep(df: DataFrame, key: str, question: str, vec: str, ks: list[int], spark
     return spark.createDataFrame([(k, b, b == low) for k, b in rows], "k int, val_bic double, best boolean")
 
 
+def select_and_refit(df: DataFrame, key: str, question: str, vec: str, ks: list[int], spark: SparkSession, n_init: int = 1, max_iter: int = 15) -> tuple[Gmm, DataFrame]:
+    """The size with the least BIC on the held-out questions, fitted again on all rows: the model and every row's cluster."""
+    k = sweep(df, key, question, vec, ks, spark, n_init, max_iter).where("best").orderBy("k").first()["k"]
+    model = fit_gmm(df, vec, k, n_init, max_iter)
+    return model, predict(df.withColumn(vec, unit(F.col(vec))), vec, model).drop("ll")
+
+
+def full_sweep(df: DataFrame, key: str, vec: str, ks: list[int], spark: SparkSession, n_init: int = 1, max_iter: int = 15, sample: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """Every size fitted on all rows.
+
+    Returns (k, bic, mean_ll, silhouette, n_empty, best_bic, best_silhouette) and the assignments
+    (k, key, cluster_id) of all sizes. Empty components are counted, not dropped; the silhouette is that
+    of at most ``sample`` rows; ties go to the smaller size.
+    """
+    rows, parts = [], []
+    units = df.select(key, unit(F.col(vec)).alias(vec)).persist()
+    for k in ks:
+        model = fit_gmm(units, vec, k, n_init, max_iter, normalise=False)
+        given = predict(units, vec, model)
+        a = given.agg(F.sum("ll").alias("ll"), F.count("*").alias("n"), F.countDistinct("cluster_id").alias("used")).first()
+        d = model.mean.shape[1]
+        sil = silhouette(given, key, "cluster_id", vec, sample).first()[0] if a["used"] > 1 else None
+        rows.append((k, float(-2 * a["ll"] + (k - 1 + 2 * k * d) * np.log(a["n"])), float(a["ll"] / a["n"]), sil, k - a["used"]))
+        parts.append(given.select(F.lit(k).alias("k"), key, "cluster_id"))
+    least = min(rows, key=lambda r: r[1])[0]
+    most = max((r for r in rows if r[3] is not None), key=lambda r: r[3], default=(None,))[0]
+    table = spark.createDataFrame([(*r, r[0] == least, r[0] == most) for r in rows], "k int, bic double, mean_ll double, silhouette double, n_empty int, best_bic boolean, best_silhouette boolean")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return table, out
+
+
+def save_gmm(spark: SparkSession, model: Gmm, path: str) -> None:
+    """K6: the parameters as Parquet, one row for each component."""
+    rows = [(k, float(model.weight[k]), model.mean[k].tolist(), model.var[k].tolist()) for k in range(len(model.weight))]
+    spark.createDataFrame(rows, "component int, weight double, mean array<double>, var array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_gmm(spark: SparkSession, path: str) -> Gmm:
+    rows = spark.read.parquet(path).orderBy("component").collect()  # one row for each component
+    return Gmm(np.array([r["weight"] for r in rows]), np.array([r["mean"] for r in rows]), np.array([r["var"] for r in rows]))
+
+
 def kmeans(df: DataFrame, vec: str, k: int, n_init: int = 10, seed: int = 0) -> DataFrame:
     """The run with the least cost of ``n_init`` seeds."""
     from pyspark.ml.clustering import KMeans
@@ -247,15 +291,39 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     return labels
 
 
+def sample_silhouette(x: np.ndarray, lab: np.ndarray) -> float:
+    """C13 of a sample in memory, noise left out; -1 with under two clusters."""
+    x, lab = x[lab >= 0], lab[lab >= 0]
+    names = np.unique(lab)
+    if len(names) < 2:
+        return -1.0
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
+    sums = np.stack([d[:, lab == n].sum(axis=1) for n in names], axis=1)
+    size = np.array([(lab == n).sum() for n in names])
+    own, at = np.searchsorted(names, lab), np.arange(len(lab))
+    a = sums[at, own] / np.maximum(size[own] - 1, 1)
+    other = sums / size
+    other[at, own] = np.inf
+    b = other.min(axis=1)
+    return float(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
+
+
+def choose_density(x: np.ndarray, most_clusters: int = 20) -> np.ndarray:
+    """C11: of the candidate sizes the labels with the best silhouette among those with 2..``most_clusters`` clusters and at most a
+    tenth noise; if none is so, the best by (silhouette, -noise)."""
+    tried = [density_clusters(x, m) for m in size_candidates(len(x))]
+    scored = [(sample_silhouette(x, lab), -float((lab == -1).mean()), k) for k, lab in enumerate(tried)]
+    fits = [r for r in scored if 2 <= tried[r[2]].max() + 1 <= most_clusters and -r[1] <= 0.1]
+    return tried[max(fits or scored, key=lambda r: (r[0], r[1], -r[2]))[2]]
+
+
 def density_assign(df: DataFrame, key: str, vec: str, spark: SparkSession, most: int = 2000) -> DataFrame:
-    """The minimal size whose clusters fit best on a sample (2 clusters or more, at most a tenth noise, else the least noise);
-    every row, noise included, then goes to the nearest centroid."""
+    """Density clusters of the size that C11 chooses on at most ``most`` rows drawn by hash; every row, noise included, then goes
+    to the nearest centroid. Clusters too small for the sample are not found."""
     rows = df.orderBy(F.xxhash64(key), key).limit(most).select(key, vec).collect()
     x = np.array([r[vec] for r in rows])
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    tried = [density_clusters(x, m) for m in size_candidates(len(x))]
-    rank = lambda lab: (len(set(lab) - {-1}) >= 2, (lab == -1).mean() <= 0.1, -(lab == -1).mean())
-    lab = max(tried, key=rank)
+    lab = choose_density(x)
     if lab.max() < 0:
         return df.withColumn("cluster_id", F.lit(0).cast("long"))
     found = spark.createDataFrame([(int(c), x[lab == c].mean(axis=0).tolist()) for c in range(lab.max() + 1)], "label bigint, centroid array<double>")

@@ -43,10 +43,40 @@ def average_rank(df: DataFrame, by: list[str], col: str, name: str) -> DataFrame
     return df.join(ranks, [*by, col])
 
 
+#: Rows of one bin of a running sum, and how many rows are drawn to choose the bins' edges.
+BIN_ROWS, EDGE_ROWS = 1 << 18, 1 << 14
+
+
+def running(df: DataFrame, order: list[str], add: Column, name: str, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Adds the sum of ``add`` over all rows up to the row itself in ``order``, without bringing all rows together.
+
+    Bins of the order are cut at rows drawn by hash, so a common value is split by the columns after
+    it. Each bin sums its own rows; the sums of the bins before it, one row for each bin, are joined.
+    """
+    n = df.count()
+    bins, key = min(4096, -(-n // bin_rows)), F.struct(*order)
+    held = df.withColumn("_b", F.lit(0))
+    if bins > 1:
+        drawn = df.where(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < int(min(1.0, EDGE_ROWS / n) * (1 << 30))).select(*order).distinct().orderBy(*order).collect()
+        edges = drawn[:: max(1, len(drawn) // bins)]
+        cuts = F.array(*[F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for r in edges])
+        held = df.withColumn("_b", F.size(F.filter(cuts, lambda c: c <= key)) if edges else F.lit(0))
+    total = held.groupBy("_b").agg(F.sum(add).alias("_t"))
+    before = total.select("_b", F.coalesce(F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row for each bin
+    own = F.sum(add).over(W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return held.withColumn("_own", own).join(before, "_b").withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
+
+
+def ecdf(df: DataFrame, order: list[str]) -> DataFrame:
+    """The place of each row in ``order`` as a share of all rows."""
+    n = df.agg(F.count("*").alias("_n"))
+    return running(df, order, F.lit(1), "_r").crossJoin(F.broadcast(n)).withColumn("ecdf", F.col("_r") / F.col("_n")).drop("_r", "_n")  # one row
+
+
 def rank_quartile(df: DataFrame, col: str, tie: str) -> DataFrame:
     """Adds ``bucket`` 0..3 of equal frequency after ranking by (col, tie), as cuts at 1 + (n - 1) j / 4."""
     n = df.agg(F.count("*").alias("_n"))
-    r = df.withColumn("_r", F.row_number().over(W.orderBy(col, tie))).crossJoin(F.broadcast(n))  # one row
+    r = running(df, [col, tie], F.lit(1), "_r").crossJoin(F.broadcast(n))  # one row
     cuts = [(F.col("_r") > 1 + (F.col("_n") - 1) * (j / 4)).cast("int") for j in (1, 2, 3)]
     return r.withColumn("bucket", cuts[0] + cuts[1] + cuts[2]).drop("_r", "_n")
 

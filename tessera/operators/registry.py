@@ -22,11 +22,11 @@ def resolve(runs: DataFrame, specs: DataFrame, name: str = "eval_dir") -> DataFr
     """P20: each run with the spec whose pattern matches; the longest pattern wins.
 
     The protocol suffix is taken off first; runs of a single style and unknown runs drop out.
-    ``specs`` is the code table of patterns, of a few dozen rows.
+    ``specs`` is the code table of patterns; whether it is broadcast is left to its size.
     """
     stem = F.regexp_replace(name, "-eosfix$", "")
     runs = runs.withColumns({"_stem": stem, "protocol": F.when(F.col(name).endswith("-eosfix"), "eosfix").otherwise("legacy"), "ckpt_step": checkpoint_step(F.col(name))}).where(~F.contains("_stem", F.lit("-single-style")))
-    hits = runs.join(F.broadcast(specs), F.expr("true") & F.rlike(F.col("_stem"), glob_regex(F.col("pattern"))))
+    hits = runs.join(specs, F.expr("true") & F.rlike(F.col("_stem"), glob_regex(F.col("pattern"))))
     best = hits.groupBy(*runs.columns).agg(F.max_by(F.struct(*specs.columns), F.length("pattern")).alias("_s"))
     return best.select(*[c for c in runs.columns if c != "_stem"], "_s.*")
 

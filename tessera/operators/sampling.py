@@ -7,9 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def draw(seed: int | Column, *keys: Column) -> Column:
+    """A whole number of 52 bits from a seed and keys: the leading digits of an MD5, which other engines have too."""
+    text = F.concat_ws(":", (F.lit(seed) if isinstance(seed, int) else seed).cast("string"), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def draw_sql(*parts: str) -> str:
+    """``draw`` in DuckDB; the first part is the seed."""
+    text = " || ':' || ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
+
+
 def hash_order(df: DataFrame, by: list[str], key: str, seed: int, name: str) -> DataFrame:
     """Adds the row's place within its group in the order of a hash of (seed, key)."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))))
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(draw(seed, F.col(key)), F.col(key))))
 
 
 def per_group_cap(df: DataFrame, by: list[str], key: str, most: int, seed: int = 0) -> DataFrame:
@@ -19,14 +31,14 @@ def per_group_cap(df: DataFrame, by: list[str], key: str, most: int, seed: int =
 
 def random_label(key: Column, k: int, seed: int) -> Column:
     """An even label 0..k-1 from the key; each k has a stream of its own."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(k)).cast("int")
+    return (draw(seed, F.lit(k), key) % k).cast("int")
 
 
 def split_by_key(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds ``split``; whole keys go to ``test``, max(1, round(fraction * keys)) of them, by hash."""
     keys = df.select(key).distinct()
     n = max(1, round(fraction * keys.count()))
-    test = keys.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).withColumn("split", F.lit("test"))
+    test = keys.orderBy(draw(seed, F.col(key)), key).limit(n).withColumn("split", F.lit("test"))
     return df.join(test, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
@@ -42,6 +54,16 @@ def tail_split(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.join(held, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def random_halves(df: DataFrame, by: list[str], key: str, splits: int, seed: int = 0) -> DataFrame:
+    """Every row once for each of ``splits`` (``split`` 1..splits) with ``half`` 0 or 1.
+
+    The halves come from a hash of (split, place ``i`` of the row in its group), so all groups share
+    a split's halves, as they would share one permutation.
+    """
+    placed = df.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(key)))
+    return placed.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits)))).withColumn("half", (draw(seed, F.col("split"), F.col("i")) % 2).cast("int"))
+
+
 def shard_ranges(n: int, shards: int) -> list[tuple[int, int]]:
     """floor(n i / S) .. floor(n (i + 1) / S)."""
     return [(n * i // shards, n * (i + 1) // shards) for i in range(shards)]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..contracts import one_to_one
 from ..functions.parse import with_prefix, without_prefix
-from .sampling import hash_order
+from .ranks import name_clusters
+from .sampling import draw, hash_order, tail_split
 
 EPS = 0.01
 
@@ -55,7 +57,7 @@ def resample_equal(df: DataFrame, target: int, style: str = "style", key: str =
     """
     ranked = hash_order(df, [style], key, seed, "_r")
     sizes = df.groupBy(style).agg(F.count("*").alias("_n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(target)))).withColumn("_r", F.when(F.col("_n") >= target, F.col("draw")).otherwise(F.pmod(F.xxhash64(F.lit(seed), style, "draw"), F.col("_n")) + 1).cast("int"))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(target)))).withColumn("_r", F.when(F.col("_n") >= target, F.col("draw")).otherwise((draw(seed, F.col(style), F.col("draw")) % F.col("_n")) + 1).cast("int"))
     return draws.select(style, "_r", "draw").join(ranked, [style, "_r"]).drop("_r")
 
 
@@ -79,10 +81,45 @@ def build_variant(df: DataFrame, variant: str, n_styles: int, seed: int = 0, sty
 
 def random_subset(df: DataFrame, n: int, key: str = "ord", seed: int = 0) -> DataFrame:
     """N rows in the order of a hash of (seed, key)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(draw(seed, F.col(key)), key).limit(n)
 
 
 def reprefixed(df: DataFrame, style: str, text: str, mode: str = "hard") -> DataFrame:
     """The user text under a fresh prefix, and whether it had one."""
     had = F.col(text).rlike(r"(?U)^(?:\[[^\]]+\]|<(style_\d+)>)\n")
     return df.withColumn("had_prefix", had).withColumn(text, with_prefix(F.col(style), without_prefix(F.col(text)), mode))
+
+
+def cluster_prefixed(train: DataFrame, validation: DataFrame, assigned: DataFrame, assigned_validation: DataFrame, keys: list[str], cluster: str = "cluster_id", text: str = "text", length: str = "trace_len", author: str = "author", mode: str = "hard") -> DataFrame:
+    """The rows of both splits with their cluster's style as prefix of the user text; ``oracle_style_name`` keeps the author.
+
+    Assignments join one to one on ``keys``; clusters of any kind (mixture, means or random) are named
+    ``style_1``.. by mean length in the training rows, and validation rows take those names.
+    """
+    joined = one_to_one(train, assigned, keys)
+    names = name_clusters(joined, cluster, length).drop("n")
+    both = joined.withColumn("split", F.lit("train")).unionByName(one_to_one(validation, assigned_validation, keys).withColumn("split", F.lit("validation")))
+    named = both.join(names, cluster)
+    return named.withColumn("oracle_style_name", F.col(author)).withColumn(text, with_prefix(F.col("style"), without_prefix(F.col(text)), mode))
+
+
+def prefix_meta(prefixed: DataFrame) -> DataFrame:
+    """K7 of I11: (split, style, cluster_id, n) with the rank of every cluster, one row for each."""
+    return prefixed.groupBy("split", "style", "cluster_id").agg(F.count("*").alias("n")).withColumn("style_index", F.regexp_extract("style", r"(\d+)$", 1).cast("int"))
+
+
+def sft_tables(rows: DataFrame, authors: list[str], fraction: float = 0.1, question: str = "question_id", author: str = "author", prompt: str = "instruction", answer: str = "trace") -> DataFrame:
+    """The plain and the author-prefixed training table in one frame: ``variant`` ``standard`` or ``prefixed``, ``split``, the chat as
+    JSON, and the author's code by list position.
+
+    Rows of other authors and rows without a prompt or an answer are left out. Both variants have
+    the same rows and the same split of whole questions by their last keys.
+    """
+    codes = F.create_map(*[F.lit(x) for k, a in enumerate(authors) for x in (a, k)])
+    bare = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    kept = rows.where(F.col(author).isin(authors)).withColumns({prompt: bare(prompt), answer: bare(answer)}).where((F.col(prompt) != "") & (F.col(answer) != ""))
+    split = tail_split(kept, question, fraction).withColumn("style_id", F.element_at(codes, F.col(author)))
+    variants = F.array(F.struct(F.lit("standard").alias("variant"), F.col(prompt).alias("user")), F.struct(F.lit("prefixed").alias("variant"), with_prefix(F.col(author), F.col(prompt), "hard").alias("user")))
+    both = split.withColumn("_v", F.explode(variants)).withColumns({"variant": F.col("_v.variant"), "_user": F.col("_v.user")})
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    return both.withColumn("messages", F.to_json(F.array(turn("user", "_user"), turn("assistant", answer)))).drop("_v", "_user")

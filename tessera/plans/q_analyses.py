@@ -8,8 +8,9 @@ from ..functions import text as T
 from ..operators import analyses as A
 from ..operators import clustering as C
 from ..operators import stats as S
+from ..operators.sampling import draw_sql
 from .q_passk import KS, PQ, PQS, unbiased_sql
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .views import GENS, K, STYLES, VECS, gens, table, vecs
 
 P = "CAST(correct AS DOUBLE)"
@@ -87,7 +88,10 @@ def a7b(spark, sf):
     return A.by_difficulty(gens(spark, sf))
 
 
-@query("a8_null_styles")
+_NULL = GENS.replace("gens AS", "g0 AS") + f", gens AS (SELECT * REPLACE ('style_' || CAST({draw_sql('5', str(K), 'ord')} % {K} + 1 AS VARCHAR) AS prefix_style) FROM g0)"
+
+
+@query("a8_null_styles", ORACLE_SQL["a4_length_separation"].replace(GENS, _NULL))
 def a8(spark, sf):
     """The forced-style block with random styles: what spread chance alone gives."""
     from ..operators.sampling import random_label
@@ -138,7 +142,12 @@ def a14(spark, sf):
     return A.assignment_usefulness(g, g.where("pk < 30"), K)
 
 
-@query("a15_split_selection")
+_HALVES = f"p AS (SELECT *, row_number() OVER (PARTITION BY question_id, prefix_style ORDER BY ord) AS i FROM gens), h AS (SELECT question_id, prefix_style, correct, s AS split, {draw_sql('0', 's', 'i')} % 2 AS half FROM p, range(1, 41) t(s))"
+
+
+@query("a15_split_selection", f"""WITH {GENS}, {_HALVES}, c AS (SELECT split, question_id, prefix_style, avg({P}) FILTER (half = 0) AS a, avg({P}) FILTER (half = 1) AS b FROM h GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL),
+ q AS (SELECT split, question_id, avg(b) AS uniform, arg_max(b, (a, prefix_style)) AS per_question, max(b) AS oracle FROM c GROUP BY ALL), f AS (SELECT split, arg_max(b, (a, prefix_style)) AS best_fixed FROM (SELECT split, prefix_style, avg(a) AS a, avg(b) AS b FROM c GROUP BY ALL) GROUP BY split),
+ t AS (SELECT split, avg(uniform) AS uniform, avg(per_question) AS per_question, avg(oracle) AS oracle FROM q GROUP BY split) SELECT {", ".join(f"avg({c}) AS {c}, quantile_cont({c}, 0.025) AS {c}_low, quantile_cont({c}, 0.975) AS {c}_high" for c in ("uniform", "best_fixed", "per_question", "oracle"))} FROM t JOIN f USING (split)""")
 def a15(spark, sf):
     return A.split_selection(gens(spark, sf), "ord", 40)
 

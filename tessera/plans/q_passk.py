@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import passk as B
 from ..operators import sampling as R
 from ..operators import weights as I  # noqa: E741
+from ..operators.sampling import draw_sql
 from .registry import query
-from .views import GENS, K, STYLES, TEXTS, TRACES, gens, texts, traces
+from .views import GENS, K, STYLES, TEXTS, TRACES, gens, table, texts, traces
 
 KS = "ks(k) AS (VALUES " + ", ".join(f"({k})" for k in B.BUDGETS) + ")"
 PQ = "pq AS (SELECT question_id, count(*) AS n, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS c FROM gens GROUP BY question_id)"
@@ -175,17 +176,53 @@ def i13(spark, sf):
     return I.importance(gens(spark, sf), K, style="prefix_style").agg(F.avg(F.col("is_weight") * F.col("n_tokens")).alias("loss"))
 
 
+_SFT = "SELECT doc_id AS ord, doc_id AS question_id, lang AS author, text, CAST(length(text) AS BIGINT) AS trace_len, CAST(length(source) AS INTEGER) * 7 % 3 AS cluster_id, CASE WHEN doc_id % 9 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents"
+
+
+def _sft(spark, sf):
+    """Rows as training examples with clusters, in two splits."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("question_id"), F.col("lang").alias("author"), "text", F.length("text").cast("long").alias("trace_len"), (F.length("source") * 7 % 3).alias("cluster_id"))
+    return d.where("ord % 9 != 0"), d.where("ord % 9 = 0")
+
+
+@query("i11_cluster_prefix_build", f"""WITH s AS ({_SFT}), m AS (SELECT cluster_id, 'style_' || CAST(row_number() OVER (ORDER BY avg(trace_len), cluster_id) AS VARCHAR) AS style FROM s WHERE split = 'train' GROUP BY cluster_id)
+ SELECT ord, split, style, author AS oracle_style_name, md5('[' || style || ']' || chr(10) || regexp_replace(coalesce(text, ''), '^(?:\\[[^\\]]+\\]|<(style_\\d+)>)\\n', '')) AS digest FROM s JOIN m USING (cluster_id)""")
+def i11(spark, sf):
+    train, validation = _sft(spark, sf)
+    keys = ["question_id", "author"]
+    bare = lambda d: d.drop("cluster_id")
+    given = lambda d: d.select(*keys, "cluster_id")
+    out = I.cluster_prefixed(bare(train), bare(validation), given(train), given(validation), keys)
+    return out.select("ord", "split", "style", "oracle_style_name", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("i12_sft_tables", f"""WITH s AS (SELECT doc_id AS ord, source || '::q' || CAST(doc_id % 37 AS VARCHAR) AS question_id, lang AS author, source AS instruction, trim(coalesce(text, '')) AS trace FROM documents WHERE lang IN ('en', 'de') AND trim(coalesce(text, '')) <> ''),
+ k AS (SELECT DISTINCT question_id FROM s), r AS (SELECT question_id, row_number() OVER (ORDER BY question_id DESC) AS i, count(*) OVER () AS n FROM k), t AS (SELECT s.*, CASE WHEN i <= least(greatest(1, round_even(0.1 * n, 0)), n - 1) THEN 'validation' ELSE 'train' END AS split FROM s JOIN r USING (question_id))
+ SELECT ord, variant, split, CASE author WHEN 'en' THEN 0 ELSE 1 END AS style_id, CASE variant WHEN 'prefixed' THEN '[' || author || ']' || chr(10) ELSE '' END || instruction AS user_text, md5(trace) AS digest FROM t, (VALUES ('standard'), ('prefixed')) v(variant)""")
+def i12(spark, sf):
+    rows = traces(spark, sf).withColumnRenamed("source_dataset", "instruction")
+    out = I.sft_tables(rows, ["en", "de"])
+    chat = F.from_json("messages", "array<struct<role:string,content:string>>")
+    return out.select("ord", "variant", "split", "style_id", chat[0]["content"].alias("user_text"), F.md5(chat[1]["content"].cast("binary")).alias("digest"))
+
+
 # ---------------------------------------------------------------- sampling
 
 
-@query("r3_r10_random_labels")
+@query("r3_r10_random_labels", f"WITH {TRACES} SELECT ord, CAST({draw_sql('7', '6', 'ord')} % 6 AS INTEGER) AS label FROM traces")
 def r3(spark, sf):
-    return traces(spark, sf).select("ord", R.random_label(F.col("ord"), 6, 7).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return traces(spark, sf).select("ord", R.random_label(F.col("ord"), 6, 7).alias("label"))
 
 
-@query("r4_question_split")
+@query("r4_question_split", f"WITH {TRACES}, k AS (SELECT DISTINCT question_id AS q FROM traces), r AS (SELECT q, row_number() OVER (ORDER BY {draw_sql('0', 'q')}, q) AS i, count(*) OVER () AS n FROM k) SELECT ord, CASE WHEN i <= greatest(1, round_even(0.1 * n, 0)) THEN 'test' ELSE 'train' END AS split FROM traces JOIN r ON question_id = q")
 def r4(spark, sf):
-    return R.split_by_key(traces(spark, sf), "question_id", 0.1).groupBy("split").agg(F.countDistinct("question_id").alias("questions"))
+    return R.split_by_key(traces(spark, sf), "question_id", 0.1).select("ord", "split")
+
+
+@query("r9_random_halves", f"WITH {GENS}, p AS (SELECT ord, row_number() OVER (PARTITION BY question_id, prefix_style ORDER BY ord) AS i FROM gens), s AS (SELECT ord, s AS split, {draw_sql('0', 's', 'i')} % 2 AS half FROM p, range(1, 9) t(s)) SELECT split, half, count(*) AS n, CAST(sum(ord) AS BIGINT) AS total FROM s GROUP BY ALL")
+def r9(spark, sf):
+    h = R.random_halves(gens(spark, sf), ["question_id", "prefix_style"], "ord", 8)
+    return h.groupBy("split", "half").agg(F.count("*").alias("n"), F.sum("ord").alias("total"))
 
 
 @query("r5_tail_split", f"WITH {TRACES}, k AS (SELECT DISTINCT question_id FROM traces), r AS (SELECT question_id, row_number() OVER (ORDER BY question_id DESC) AS i, count(*) OVER () AS n FROM k) SELECT ord, CASE WHEN i <= least(greatest(1, round_even(0.1 * n, 0)), n - 1) THEN 'validation' ELSE 'train' END AS split FROM traces JOIN r USING (question_id)")
@@ -217,11 +254,11 @@ def r11(spark, sf):
     return rows.join(labels, ["b", "i"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("r12_sign_flip")
+@query("r12_sign_flip", f"WITH {GENS}, c AS (SELECT question_id, avg(n_tokens) - 500 AS cost FROM gens GROUP BY ALL), d AS (SELECT b, avg(cost * (2 * ({draw_sql('0', 'b', 'question_id')} % 2) - 1)) AS d FROM c, range(1, 200) t(b) GROUP BY b), o AS (SELECT avg(cost) AS observed FROM c) SELECT observed, (count(*) FILTER (abs(d) >= abs(observed)) + 1) / (count(*) + 1) AS p_value FROM d, o GROUP BY observed")
 def r12(spark, sf):
     """Two-sided sign-flip test of a paired cost against zero: (draws at least as far + 1) / (B + 1)."""
     cost = gens(spark, sf).groupBy("question_id").agg((F.avg("n_tokens") - 500).alias("cost"))
-    draws = cost.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(199)))).groupBy("b").agg(F.avg(F.col("cost") * (2 * F.pmod(F.xxhash64("b", "question_id"), F.lit(2)) - 1)).alias("d"))
+    draws = cost.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(199)))).groupBy("b").agg(F.avg(F.col("cost") * (2 * (R.draw(0, F.col("b"), F.col("question_id")) % 2) - 1)).alias("d"))
     seen = cost.agg(F.avg("cost").alias("observed"))
     return draws.crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.sum((F.abs("d") >= F.abs("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))  # one row
 

@@ -289,7 +289,7 @@ def w12(spark, sf):
 def w15(spark, sf):
     """Whole questions in key order until 200 rows are reached; one row for each question is ordered."""
     n = traces(spark, sf).groupBy("question_id").agg(F.count("*").alias("n"))
-    return n.withColumn("upto", F.sum("n").over(W.orderBy("question_id").rowsBetween(W.unboundedPreceding, 0))).where("upto - n < 200").select("question_id", "n")
+    return K.running(n, ["question_id"], F.col("n"), "upto").where("upto - n < 200").select("question_id", "n")
 
 
 @query("w16_nucleus", f"WITH {GENS}, c AS (SELECT question_id, prefix_style, count(*) AS n FROM gens GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY question_id) AS p FROM c), r AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY question_id) AS t, row_number() OVER w AS i FROM p WINDOW w AS (PARTITION BY question_id ORDER BY n DESC, prefix_style ROWS UNBOUNDED PRECEDING)) SELECT question_id, prefix_style FROM r WHERE i = 1 OR upto * 10 <= t * 7")
@@ -304,8 +304,7 @@ def w16(spark, sf):
 @query("w17_ecdf", f"WITH {GENS}, q AS (SELECT question_id, avg({P}) AS p FROM gens GROUP BY ALL) SELECT question_id, row_number() OVER (ORDER BY p, question_id) / count(*) OVER () AS ecdf FROM q")
 def w17(spark, sf):
     q = gens(spark, sf).groupBy("question_id").agg(F.avg(F.col("correct").cast("double")).alias("p"))
-    n = q.agg(F.count("*").alias("n"))
-    return q.withColumn("r", F.row_number().over(W.orderBy("p", "question_id"))).crossJoin(F.broadcast(n)).select("question_id", (F.col("r") / F.col("n")).alias("ecdf"))  # one row
+    return K.ecdf(q, ["p", "question_id"]).select("question_id", "ecdf")
 
 
 # ---------------------------------------------------------------- order and sets

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import strip
 from ..operators import registry as RG
+from ..operators.sampling import draw, draw_sql
 from ..sources import io
 from .registry import query
 from .views import GENS, MSGS, STYLES, TEXTS, TRACES, gens, msgs, quoted, table, texts, traces
@@ -19,16 +18,9 @@ def s1(spark, sf):
     return io.read_config(spark, f"{sf}/documents.parquet", "src3", "source").select("doc_id", "source")
 
 
-def _scratch(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import uuid
-
-    return f"{folder or 'file://' + tempfile.mkdtemp()}/{uuid.uuid4().hex}"
-
-
 @query("s2_s3_k1_split_scan", f"WITH {TRACES} SELECT ord, trace_len FROM traces WHERE ord % 10 = 0")
 def s2(spark, sf):
-    path = _scratch(spark)
+    path = io.scratch(spark)
     io.write_split(traces(spark, sf).select("ord", "trace_len", F.when(F.col("ord") % 10 == 0, "validation").otherwise("train").alias("split")), path)
     return io.read_split(spark, path).select("ord", "trace_len")
 
@@ -45,7 +37,7 @@ def s5(spark, sf):
 
 @query("s6_s7_k4_jsonl", f"WITH {GENS} SELECT CAST(question_id AS VARCHAR) AS question_id, prefix_style, correct, CAST(n_tokens AS BIGINT) AS n_tokens, finish_reason FROM gens")
 def s6(spark, sf):
-    path = _scratch(spark)
+    path = io.scratch(spark)
     io.write_jsonl(gens(spark, sf).select(F.col("question_id").cast("string"), "prefix_style", "correct", F.col("n_tokens").cast("long"), "finish_reason"), path)
     return io.read_jsonl(spark, path).select("question_id", "prefix_style", "correct", "n_tokens", "finish_reason")
 
@@ -56,6 +48,18 @@ def s8(spark, sf):
     return c.select("conv_id", "turn", io.first_text("output", "text").alias("output"))
 
 
+@query("s9_matrix_scan", "SELECT r AS row, CAST(3 * r + 1.5 AS DOUBLE) AS total FROM range(40) t(r)")
+def s9(spark, sf):
+    import io as std
+
+    import numpy as np
+
+    path, held = io.scratch(spark), std.BytesIO()
+    np.savez(held, z_s=np.outer(np.arange(40), np.ones(3)) + 0.5)
+    io.write_bytes(spark, f"{path}/z.npz", held.getvalue())
+    return io.read_vectors(spark, path, "z_s").select("row", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("s10_w14_contiguity", "SELECT i * 100 AS row_start, (i + 1) * 100 AS row_end, i AS shard_id FROM range(8) t(i)")
 def s10(spark, sf):
     shards = spark.range(8).select((F.col("id") * 100).alias("row_start"), ((F.col("id") + 1) * 100).alias("row_end"), F.col("id").alias("shard_id"))
@@ -75,10 +79,10 @@ def s12(spark, sf):
     return table(spark, sf, "pages").where(F.col("url").rlike(r"example\.(com|org)/en/")).select("page_id")
 
 
-@query("s13_s14_problem_union", "SELECT 'b' || CAST(item_id AS VARCHAR) AS question_id, text AS question, CAST(item_id AS VARCHAR) AS answer, 'bench' AS subject FROM benchmark UNION ALL SELECT CAST(doc_id AS VARCHAR), text, CAST(n_chars AS VARCHAR), lang FROM documents WHERE doc_id < 50")
+@query("s13_s14_problem_union", "SELECT 'b' || CAST(item_id AS VARCHAR) AS question_id, text AS question, CAST(item_id AS VARCHAR) AS answer, 'bench' AS subject FROM benchmark UNION ALL SELECT CAST(doc_id AS VARCHAR), text, CAST(n_chars AS VARCHAR), lang FROM documents")
 def s13(spark, sf):
     a = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("unique_id"), F.col("text").alias("problem"), F.col("item_id").alias("answer"), F.lit(0).alias("row"))
-    b = table(spark, sf, "documents").where("doc_id < 50").select(F.col("text").alias("Question"), F.col("n_chars").alias("Answer"), F.col("lang").alias("subject"), F.col("doc_id").alias("row"))
+    b = table(spark, sf, "documents").select(F.col("text").alias("Question"), F.col("n_chars").alias("Answer"), F.col("lang").alias("subject"), F.col("doc_id").alias("row"))
     return io.problems(a, "row", "bench").unionByName(io.problems(b, "row")).drop("level")
 
 
@@ -104,6 +108,45 @@ def s20(spark, sf):
     return table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
 
 
+@query("k2_plain_write", "SELECT doc_id, source, n_chars FROM documents")
+def k2(spark, sf):
+    path = io.scratch(spark)
+    io.write_plain(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), path)
+    return io.read_table(spark, path)
+
+
+@query("k3_dual_write", f"WITH {TRACES} SELECT 'plain' AS variant, ord, CAST(length(trace) AS BIGINT) AS n FROM traces UNION ALL SELECT 'prefixed', ord, CAST(length(trace) + length(author) + 3 AS BIGINT) FROM traces")
+def k3(spark, sf):
+    path = io.scratch(spark)
+    io.write_two(traces(spark, sf).select("ord", "author", "trace"), f"{path}/plain", f"{path}/prefixed", F.concat(F.lit("["), "author", F.lit("]\n")), "trace")
+    part = lambda v: spark.read.parquet(f"{path}/{v}").select(F.lit(v).alias("variant"), "ord", F.length("trace").cast("long").alias("n"))
+    return part("plain").unionByName(part("prefixed"))
+
+
+@query("k5_done_marker", "SELECT count(*) AS n, true AS before_none FROM events")
+def k5(spark, sf):
+    """The marker of a written table holds its rows; without one there is none."""
+    path = io.scratch(spark)
+    before = io.done_rows(spark, path)
+    n = io.write_jsonl(gens(spark, sf).select("ord", "prefix_style"), path)
+    io.mark_done(spark, path, n)
+    return spark.createDataFrame([(io.done_rows(spark, path), before is None)], "n bigint, before_none boolean")
+
+
+@query("k7_meta_file", f"WITH {TRACES} SELECT author, count(*) AS n, count(DISTINCT question_id) AS questions FROM traces GROUP BY author")
+def k7(spark, sf):
+    path = io.scratch(spark)
+    io.write_meta(traces(spark, sf).groupBy("author").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("questions")), path)
+    return spark.read.schema("author string, n bigint, questions bigint").json(path)
+
+
+@query("k8_tidy_profile", f"WITH {GENS} SELECT prefix_style, 'n_tokens' AS feature, count(*) AS n, min(n_tokens) AS least FROM gens GROUP BY prefix_style")
+def k8(spark, sf):
+    path = io.scratch(spark)
+    io.write_csv(gens(spark, sf).groupBy("prefix_style").agg(F.lit("n_tokens").alias("feature"), F.count("*").alias("n"), F.min("n_tokens").alias("least")), path)
+    return spark.read.schema("prefix_style string, feature string, n bigint, least int").option("header", True).csv(path)
+
+
 @query("k9_markdown_table", f"WITH {GENS} SELECT '| ' || prefix_style || ' | ' || CAST(count(*) AS VARCHAR) || ' | ' || printf('%.1f', 100 * avg(CAST(correct AS DOUBLE))) || '% |' AS line FROM gens GROUP BY prefix_style")
 def k9(spark, sf):
     g = gens(spark, sf).groupBy("prefix_style").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("p"))
@@ -184,9 +227,9 @@ def p16(spark, sf):
     return g.join(full, "question_id", "left_semi").groupBy("question_id").agg(F.count("*").alias("n"))
 
 
-@query("p18_hash_gate")
+@query("p18_hash_gate", f"WITH {GENS} SELECT ord, question_id FROM gens WHERE {draw_sql('0', 'question_id')} % 4 = 0")
 def p18(spark, sf):
-    return gens(spark, sf).where(F.crc32(F.col("question_id").cast("string").cast("binary")) % 4 == 0).select("ord", "question_id")
+    return gens(spark, sf).where(draw(0, F.col("question_id")) % 4 == 0).select("ord", "question_id")
 
 
 RUNS = ["alpha-one-base_checkpoint-120-bench-eosfix", "alpha-one_checkpoint-80-bench", "alpha-one_checkpoint-200-bench-eosfix", "alpha-one-4b-final_checkpoint-20-bench-eosfix", "alpha-two_checkpoint-x-bench", "alpha-one_checkpoint-9-bench-single-style_2", "zeta"]

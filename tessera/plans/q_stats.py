@@ -28,12 +28,13 @@ def v2(spark, sf):
     return v.select("vec_id", V.cosine(F.col("c"), F.col("z")).alias("cosine"), F.size(V.concat(F.col("c"), F.col("z"))).cast("long").alias("n"), V.total(V.heads(F.col("z"), 2, 16)[1]).alias("head2"))
 
 
-BATCH = f"WITH {VECS}, b AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, {UNIT('z')} AS u FROM vecs WHERE vec_id < 64)"
+#: A batch is 64 rows in a row.
+BATCH = f"WITH {VECS}, b AS (SELECT vec_id // 64 AS batch, vec_id // 2 AS pair, vec_id % 2 AS side, {UNIT('z')} AS u FROM vecs)"
 
 
-@query("v3_v9_contrastive", f"{BATCH}, s AS (SELECT a.pair, a.side, a.pair = o.pair AS mate, {D}(a.u, o.u) / 0.07 AS s FROM b a JOIN b o ON (a.pair, a.side) <> (o.pair, o.side)), l AS (SELECT ln(sum(exp(s))) - max(CASE WHEN mate THEN s END) AS l FROM s GROUP BY pair, side) SELECT avg(l) AS value FROM l")
+@query("v3_v9_contrastive", f"{BATCH}, s AS (SELECT a.pair, a.side, a.pair = o.pair AS mate, {D}(a.u, o.u) / 0.07 AS s FROM b a JOIN b o ON a.batch = o.batch AND (a.pair, a.side) <> (o.pair, o.side)), l AS (SELECT ln(sum(exp(s))) - max(CASE WHEN mate THEN s END) AS l FROM s GROUP BY pair, side) SELECT avg(l) AS value FROM l")
 def v3(spark, sf):
-    b = vecs(spark, sf).where("vec_id < 64").select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), F.col("z").alias("v"))
+    b = vecs(spark, sf).select(F.floor(F.col("vec_id") / 64).alias("batch"), F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), F.col("z").alias("v"))
     return V.contrastive(b)
 
 
@@ -58,9 +59,9 @@ def v6(spark, sf):
     return V.length_decorrelation(vecs(spark, sf), "z", "label")
 
 
-@query("v7_similarity_entropy", f"{BATCH}, s AS (SELECT a.pair, a.side, {D}(a.u, o.u) / 0.1 AS s FROM b a JOIN b o ON (a.pair, a.side) <> (o.pair, o.side)), e AS (SELECT ln(sum(exp(s))) - sum(exp(s) * s) / sum(exp(s)) AS h FROM s GROUP BY pair, side) SELECT -avg(h) AS value FROM e")
+@query("v7_similarity_entropy", f"{BATCH}, s AS (SELECT a.pair, a.side, {D}(a.u, o.u) / 0.1 AS s FROM b a JOIN b o ON a.batch = o.batch AND (a.pair, a.side) <> (o.pair, o.side)), e AS (SELECT ln(sum(exp(s))) - sum(exp(s) * s) / sum(exp(s)) AS h FROM s GROUP BY pair, side) SELECT -avg(h) AS value FROM e")
 def v7(spark, sf):
-    return V.similarity_entropy(vecs(spark, sf).where("vec_id < 64"), "vec_id", "z")
+    return V.similarity_entropy(vecs(spark, sf).withColumn("batch", F.floor(F.col("vec_id") / 64)), "vec_id", "z", batch="batch")
 
 
 @query("v8_v10_group_diversity", f"WITH {VECS}, u AS (SELECT vec_id, question_id, {UNIT('z')} AS u FROM vecs) SELECT avg(greatest(0, {D}(a.u, b.u) - 0.1)) AS diversity, 0.5 * avg(greatest(0, {D}(a.u, b.u) - 0.1)) + 1 AS total FROM u a JOIN u b ON a.question_id = b.question_id AND a.vec_id < b.vec_id")
@@ -159,6 +160,28 @@ def c3(spark, sf):
     return p.agg(F.avg("ll").alias("mean_ll"), (-2 * F.avg("ll") * F.count("*") + (3 - 1 + 2 * 3 * 32) * F.log(F.count("*"))).alias("bic"), F.sum((F.col("cluster_id") == 1).cast("long")).alias("n1"))
 
 
+@query("k6_saved_model", f"{_LL} SELECT vec_id, cluster_id FROM e")
+def k6(spark, sf):
+    """The fixed model written and read again; it assigns as before."""
+    from ..sources.io import scratch
+
+    path = scratch(spark)
+    C.save_gmm(spark, C.fixed([0.5, 0.3, 0.2], [0.1, -0.2, 0.0], [1.0, 0.5, 2.0], 32), path)
+    return C.predict(vecs(spark, sf), "z", C.load_gmm(spark, path)).select("vec_id", "cluster_id")
+
+
+@query("c5_refit_on_all")
+def c5(spark, sf):
+    _, given = C.select_and_refit(vecs(spark, sf), "vec_id", "question_id", "z", [2, 3], spark, max_iter=10)
+    return given.select("vec_id", "cluster_id")
+
+
+@query("c6_full_sweep")
+def c6(spark, sf):
+    table_, _ = C.full_sweep(vecs(spark, sf), "vec_id", "z", [2, 3], spark, max_iter=10)
+    return table_
+
+
 @query("c8_kmeans")
 def c8(spark, sf):
     return C.kmeans(vecs(spark, sf), "z", 4, n_init=2, seed=3).groupBy("cluster_id").agg(F.count("*").alias("n"))
@@ -267,18 +290,19 @@ def m18(spark, sf):
     return S.jaccard_pairs(gens(spark, sf).where("correct"), "prefix_style", "question_id")
 
 
-TOK = r"list_filter(regexp_extract_all(lower(trace), '\w\w+'), lambda x: true)"
-TFSQL = f"""WITH {TRACES}, s AS (SELECT ord, trace FROM traces WHERE ord < 90 AND trace_len < 4000 AND author = 'en'), w AS (SELECT ord, {TOK} AS w FROM s), g AS (SELECT ord, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT ord, term, count(*) AS tf FROM g GROUP BY ALL),
- v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 400), n AS (SELECT count(DISTINCT ord) AS n FROM s), x AS (SELECT ord, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN v USING (term), n), u AS (SELECT ord, term, x / sqrt(sum(x * x) OVER (PARTITION BY ord)) AS x FROM x)"""
+TOK = r"regexp_extract_all(lower(trace), '[\p{L}\p{N}_][\p{L}\p{N}_]+')"
+TFSQL = f"""WITH {TRACES}, w AS (SELECT ord, question_id, {TOK} AS w FROM traces), g AS (SELECT ord, question_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT ord, any_value(question_id) AS question_id, term, count(*) AS tf FROM g GROUP BY ord, term),
+ v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 4096), n AS (SELECT count(DISTINCT ord) AS n FROM traces), x AS (SELECT ord, question_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN v USING (term), n), u AS (SELECT ord, question_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY ord)) AS x FROM x)"""
 
 
 @query("m19_tfidf", f"{TFSQL} SELECT ord, term, x FROM u")
 def m19(spark, sf):
-    t = traces(spark, sf).where("ord < 90 AND trace_len < 4000 AND author = 'en'")
-    return TF.tfidf(t, "ord", "trace", features=400, min_df=2)
+    return TF.tfidf(traces(spark, sf), "ord", "trace", features=4096, min_df=2)
 
 
-@query("m20_tfidf_distance", f"{TFSQL} SELECT a.ord AS a, b.ord AS b, 1 - sum(a.x * b.x) AS distance FROM u a JOIN u b ON a.term = b.term AND a.ord < b.ord GROUP BY ALL")
+@query("m20_tfidf_distance", f"{TFSQL} SELECT a.question_id, a.ord AS a, b.ord AS b, 1 - sum(a.x * b.x) AS distance FROM u a JOIN u b ON a.question_id = b.question_id AND a.term = b.term AND a.ord < b.ord GROUP BY ALL")
 def m20(spark, sf):
-    t = traces(spark, sf).where("ord < 90 AND trace_len < 4000 AND author = 'en'")
-    return TF.pair_distances(TF.tfidf(t, "ord", "trace", features=400, min_df=2), "ord")
+    """The texts of each question, as its answers are compared with each other."""
+    t = traces(spark, sf)
+    x = TF.tfidf(t, "ord", "trace", features=4096, min_df=2)
+    return TF.pair_distances(x.join(t.select("ord", "question_id"), "ord"), "ord", "question_id")

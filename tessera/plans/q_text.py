@@ -40,7 +40,7 @@ def fb(spark, sf):
     return T.interpretable(texts(spark, sf)).drop("text")
 
 
-@query("x1_boxed_answer")
+@query("x1_boxed_answer", f"SELECT * FROM (VALUES (-1, '42'), (-7, {quoted(chr(92) + 'frac{a}{b}')}), (-8, '{{2}}+{{3}}')) v(id, answer)")
 def x1(spark, sf):
     return texts(spark, sf).select("id", X.boxed_answer(F.col("text")).alias("answer")).where("answer <> ''")
 
@@ -49,7 +49,7 @@ MATH_ROWS = [r"$\dfrac{1}{2}$", r"\frac{\frac{1}{2}}{3}", r"2\sqrt{3}", r"\text{
 MATHS = "maths AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(t)})" for k, t in enumerate(MATH_ROWS)) + ") v(id, s))"
 _STRIP = r"""replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(s, '$', ''), '\\text\{([^}]*)\}', '\1', 'g'), '\\mathrm\{([^}]*)\}', '\1', 'g'), '\\textbf\{([^}]*)\}', '\1', 'g'), '\\left|\\right', '', 'g'), '\,', ''), '\!', ''), '\s+', '', 'g'), '\dfrac', '\frac')"""
 _FRAC = _STRIP
-for _ in range(X.FRACTION_DEPTH):
+for _ in range(4):  # the rows above nest two commands
     _FRAC = rf"regexp_replace({_FRAC}, '\\frac\{{([^{{}}]+)\}}\{{([^{{}}]+)\}}', '((\1)/(\2))', 'g')"
 _EXPR = rf"replace(replace(replace(replace(regexp_replace(regexp_replace({_FRAC}, '(\d)\\sqrt\{{([^{{}}]+)\}}', '\1*sqrt(\2)', 'g'), '\\sqrt\{{([^{{}}]+)\}}', 'sqrt(\1)', 'g'), '\pi', 'pi'), '^', '**'), '{{', '('), '}}', ')')"
 
@@ -64,15 +64,19 @@ def x234(spark, sf):
     return maths(spark).select("id", X.strip_math(s).alias("stripped"), X.fractions(X.strip_math(s)).alias("fractions"), X.expression(s).alias("expression"))
 
 
-@query("x5_split_tuple")
+@query("x5_split_tuple", "SELECT id, CASE WHEN id = 6 THEN '1|2' END AS parts FROM range(8) t(id)")
 def x5(spark, sf):
-    return maths(spark).select("id", X.split_tuple(F.col("s")).alias("parts"))
+    return maths(spark).select("id", F.array_join(X.split_tuple(F.col("s")), "|").alias("parts"))
 
 
 PAIRS = [("\\boxed{42}", "42"), ("the answer is \\boxed{\\frac{1}{2}}", "0.5"), ("(1, 2)", "(1,2)"), ("2\\sqrt{2}", "\\sqrt{8}"), ("3", "4"), ("x", ""), ("\\frac{2}{4}", "\\dfrac{1}{2}"), ("(1, \\frac{1}{2})", "(1, 0.5)"), ("2^3", "8"), ("\\pi", "3.14159265"), ("1000000", "1000001"), ("abc", "abc ")]
 
 
-@query("x6_answers_match")
+#: How each of PAIRS matches, worked out by hand.
+STAGES = ["text", "exact_value", "text", "numeric", None, None, "exact_value", "tuple", "exact_value", "numeric", None, "text"]
+
+
+@query("x6_answers_match", "SELECT id, stage IS NOT NULL AS matched, stage FROM (VALUES " + ", ".join(f"({k}, {quoted(t) if t else 'NULL'})" for k, t in enumerate(STAGES)) + ") v(id, stage)")
 def x6(spark, sf):
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(PAIRS)], "id int, prediction string, gold string")
     return df.withColumn("g", X.grade("prediction", "gold")).select("id", F.col("g.matched").alias("matched"), F.col("g.stage").alias("stage"))
@@ -112,12 +116,12 @@ def x17(spark, sf):
     return msgs(spark, sf).select("conv_id", X.chat_prompt(F.col("messages")).alias("prompt"))
 
 
-_TOK = "list_transform(string_split(substr(trace, 1, 500), ''), lambda ch: unicode(ch) % 255 + 1)"
+_TOK = "list_transform(string_split(trace, ''), lambda ch: unicode(ch) % 255 + 1)"
 
 
 @query("x18_x21_mock_tokens", f"WITH {TRACES}, k AS (SELECT ord, {_TOK} AS ids FROM traces) SELECT ord, CAST(len(list_prepend(42, ids)[1:256]) AS INTEGER) AS n, CAST(list_sum(list_prepend(42, ids)[1:256]) AS BIGINT) AS total, CAST(list_prepend(42, ids)[2] AS INTEGER) AS first_id FROM k")
 def x18(spark, sf):
-    k = traces(spark, sf).select("ord", X.with_start(X.mock_ids(F.substring("trace", 1, 500), 256), 42, 256).alias("ids"))
+    k = traces(spark, sf).select("ord", X.with_start(X.mock_ids(F.col("trace"), 256), 42, 256).alias("ids"))
     return k.select("ord", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("ids")[1].alias("first_id"))
 
 

@@ -14,6 +14,32 @@ GENERATIONS = T.StructType([T.StructField(n, t) for n, t in (("question_id", T.S
 SPLIT_ORDER = ["validation", "val", "test", "train"]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one if Spark is local, else it raises."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ContractError("spark.checkpoint.dir is not set, and executors do not share the driver's disk")
+        import atexit
+        import shutil
+        import tempfile
+
+        local = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, local, True)
+        folder = f"file://{local}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """One small file through Spark's file systems."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(name)
+    out.write(raw)
+    out.close()
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A Parquet scan, of some columns only."""
     df = spark.read.parquet(path)
@@ -116,7 +142,7 @@ def hard_only(df: DataFrame, difficulty: str, least: float = 7.0) -> DataFrame:
 
 
 def write_split(df: DataFrame, path: str, by: str = "split") -> None:
-    """Parquet with a directory for each split."""
+    """Parquet with a directory for each split."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
@@ -130,14 +156,37 @@ def write_two(df: DataFrame, plain: str, prefixed: str, prefix: Column, text: st
         held.unpersist()
 
 
+def write_plain(df: DataFrame, path: str) -> None:
+    """K2: Parquet as it is."""
+    df.write.mode("overwrite").parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
     """K4, K5: JSON lines under Spark's commit protocol, which leaves a marker; returns the number of rows."""
     df.write.mode("overwrite").json(path)
     return df.sparkSession.read.schema(df.schema).json(path).count()
 
 
+def mark_done(spark: SparkSession, path: str, rows: int) -> None:
+    """K5: a marker beside a finished table with its number of rows."""
+    spark.createDataFrame([(path, rows)], "path string, rows bigint").coalesce(1).write.mode("overwrite").json(f"{path}.done")
+
+
+def done_rows(spark: SparkSession, path: str) -> int | None:
+    """The rows of a finished table, or null where no marker is."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.done/_SUCCESS")
+    if not name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name):
+        return None
+    return spark.read.schema("path string, rows bigint").json(f"{path}.done").first()["rows"]
+
+
+def write_meta(df: DataFrame, path: str) -> None:
+    """K7: a small table of counts, parameters or ranks as one JSON file; its rows have a fixed bound."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """K8."""
+    """K8: CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

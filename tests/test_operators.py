@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import clustering as C
 from tessera.operators import passk as B
+from tessera.operators import ranks as K
 from tessera.operators import sampling as R
 from tessera.operators import stats as S
 from tessera.operators import weights as I  # noqa: E741
@@ -224,6 +225,80 @@ def test_density_clusters():
 # ---------------------------------------------------------------- contracts, sources, streams
 
 
+def test_running_sums_over_bins(spark):
+    """Ranks over many bins, with a value that a third of the rows share and nulls."""
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 50 == 7 else 5 if k % 3 == 0 else int(rng.integers(0, 40)), k, int(rng.integers(0, 9))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "v int, k int, n int").repartition(7)
+    out = {r["k"]: r["upto"] for r in K.running(df, ["v", "k"], F.col("n"), "upto", bin_rows=100).collect()}
+    total = 0
+    for v, k, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        total += n
+        assert out[k] == total
+    names = spark.createDataFrame([(f"q{k % 211}::{k}", 1) for k in range(900)], "q string, n int")
+    out = K.running(names, ["q"], F.col("n"), "r", bin_rows=64).orderBy("q").collect()
+    assert [r["r"] for r in out] == list(range(1, 901))
+
+
+def test_moments_match_numpy(spark):
+    x = np.random.default_rng(5).standard_normal((500, 9)) + 100
+    df = spark.createDataFrame([(k, r[:5].tolist(), r[5:].tolist()) for k, r in enumerate(x)], "k int, a array<double>, b array<double>").repartition(6)
+    got = {(r["i"], r["j"]): (r["cov_samp"], r["cov_pop"]) for r in V.covariance(df, "k", "a").collect()}
+    want = np.cov(x[:, :5].T)
+    assert len(got) == 25 and all(abs(got[i, j][0] - want[i, j]) < 1e-9 and abs(got[i, j][1] - want[i, j] * 499 / 500) < 1e-9 for i in range(5) for j in range(5))
+    a, b = x[:, :5] - x[:, :5].mean(0), x[:, 5:] - x[:, 5:].mean(0)
+    cka = np.linalg.norm(a.T @ b) ** 2 / (np.linalg.norm(a.T @ a) * np.linalg.norm(b.T @ b))
+    assert abs(V.linear_cka(df, "a", "b").first()[0] - cka) < 1e-9
+    nuclear = np.linalg.svd(a.T @ b / np.linalg.norm(a) / np.linalg.norm(b), compute_uv=False).sum()
+    assert abs(V.procrustes(df, "a", "b") - (2 - 2 * nuclear)) < 1e-9
+
+
+def test_refit_sweep_and_saved_model(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.normal(0, 0.1, (90, 3)) + [1, 0, 0], rng.normal(0, 0.1, (60, 3)) + [0, 1, 0]))
+    df = spark.createDataFrame([(k, k % 30, r.tolist()) for k, r in enumerate(x)], "id int, q int, v array<double>").repartition(4)
+    model, given = C.select_and_refit(df, "id", "q", "v", [2], spark)
+    sides = {}
+    for r in given.collect():
+        sides.setdefault(r["cluster_id"], set()).add(r["id"] < 90)
+    assert len(sides) == 2 and all(len(s) == 1 for s in sides.values())
+    C.save_gmm(spark, model, f"{tmp_path}/model")
+    back = C.load_gmm(spark, f"{tmp_path}/model")
+    assert all(np.array_equal(getattr(model, f), getattr(back, f)) for f in ("weight", "mean", "var"))
+    table, parts = C.full_sweep(df, "id", "v", [2, 3], spark)
+    rows = {r["k"]: r for r in table.collect()}
+    assert rows[2]["best_silhouette"] and not rows[3]["best_silhouette"] and sum(r["best_bic"] for r in rows.values()) == 1
+    assert parts.groupBy("k").count().where("count = 150").count() == 2
+
+
+def test_density_size_by_silhouette():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.05, (60, 2)) + m for m in ([0, 0], [3, 0], [0, 3])])
+    lab = C.choose_density(x)
+    assert sorted(Counter(lab[lab >= 0]).values()) == [60, 60, 60] or (len(set(lab) - {-1}) == 3 and (lab == -1).mean() <= 0.1)
+    assert abs(C.sample_silhouette(x, np.repeat([0, 1, 2], 60)) - 0.97) < 0.03
+
+
+def test_fractions_of_any_depth(spark):
+    text = "x"
+    for k in range(9):
+        text = rf"\frac{{{text}}}{{{k}}}"
+    out = spark.createDataFrame([(text, "1/" + "+".join(["1"] * 300), f"1/300", None)], "s string, a string, b string, n string")
+    r = out.select(X.fractions(F.col("s")).alias("s"), X.grade("a", "b").alias("g"), X.fractions(F.col("n")).alias("n")).first()
+    assert "frac" not in r["s"] and r["s"].count("/") == 9 and r["n"] is None and not r["g"]["matched"]
+    assert X._same("(" + "+".join(["1"] * 300) + ")", "300", "", "") == "exact_value"
+
+
+def test_folding_guard_finds_every_match(spark):
+    rows = ["WA\u0130T", "alternat\u0130vely", "\u017fo", "o\u212a", "hm\u0131m", "SO", "\u00dfo well", "Step one"] + CRAFTED
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    low = T.folded(F.col("t"))
+    for p in T.NEEDLES:
+        fold = p not in (T.MATH, T.CODE_BLOCK)
+        both = df.select("t", T.found(F.col("t"), p, fold).alias("plain"), T.found(F.col("t"), p, fold, low=low).alias("guarded")).collect()
+        assert all(r["plain"] == r["guarded"] for r in both), p
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([(1, "a"), (1, None)], "k int, v string")
     for bad in (lambda: contracts.unique(df, "k"), lambda: contracts.not_null(df, "v"), lambda: contracts.covered(df, "v", 0.99)):
