@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import spread, table
 from .common import BYTE, MASK64, STEP, Tables, bucket_count, chunks, group_starts, grouped, mix, pick, powers, spans, text_array
 
 LENGTH, GRAM = 200, 40
@@ -74,13 +75,13 @@ def residues(buf: np.ndarray, length: int, base: int) -> np.ndarray:
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first start, number of starts, hash, whether the hash has several places) of each run of starts with one anchor hash.
 
-    Runs end with their document and at multiples of RUN in it, so they do not depend on what else is in ``buf``.
+    Runs end with their document, and after RUN starts. They depend on the text alone, so copies have
+    the same runs wherever they stand.
     """
     width, out = length - gram + 1, []
-    valid, cut = np.ones(len(buf), bool), np.zeros(len(buf) + 1, bool)
+    valid = np.ones(len(buf), bool)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
         valid[max(a, b - length + 1) : b] = False
-        cut[a:b:RUN] = True
     for a in range(0, max(0, len(buf) - length + 1), SEGMENT):
         part = buf[a : a + SEGMENT + length - 1]
         h = window_hashes(prefix_sums(part, STEP), gram, STEP)
@@ -92,7 +93,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         place = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64((1 << POS_BITS) - 1)).astype(np.int64)
         good, best = valid[a : a + n], h[place]
-        turn = (best[1:] != best[:-1]) | cut[a + 1 : a + n]
+        turn = best[1:] != best[:-1]
         change, stop = np.ones(n, bool), np.ones(n, bool)
         change[1:], stop[:-1] = turn | ~good[:-1], turn | ~good[1:]
         first, last = np.flatnonzero(change & good), np.flatnonzero(stop & good)
@@ -102,10 +103,15 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
     first, count, h, low, high, many = (np.concatenate(x) for x in zip(*out))
     new = np.ones(len(first), bool)  # a run that crosses the end of a segment comes in two parts
-    new[1:] = (first[1:] != first[:-1] + count[:-1]) | (h[1:] != h[:-1]) | cut[first[1:]]
+    new[1:] = (first[1:] != first[:-1] + count[:-1]) | (h[1:] != h[:-1]) | ~valid[first[1:] - 1]
     at = np.flatnonzero(new)
     end = np.append(at[1:], len(first)) - 1
-    return first[at], np.add.reduceat(count, at), h[at], np.logical_or.reduceat(many, at) | (low[at] != high[end])
+    first, count, h, many = first[at], np.add.reduceat(count, at), h[at], np.logical_or.reduceat(many, at) | (low[at] != high[end])
+    parts = -(-count // RUN)
+    if (parts == 1).all():
+        return first, count, h, many
+    step = spans(np.zeros(len(parts), np.int64), parts).astype(np.int64) * RUN
+    return np.repeat(first, parts) + step, np.minimum(RUN, np.repeat(count, parts) - step), np.repeat(h, parts), np.repeat(many, parts)
 
 
 def _anchor_blobs(buckets: int, length: int, gram: int):
@@ -425,5 +431,5 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", len
 
 
 def op9_suffixes(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], digest=True)
+    out = remove_repeats(spread(table(spark, sf_dir, "documents")), ["doc_id"], digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
