@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import spread, table
 from .common import chunks, pick, span_hashes, word_bounds
 
 LABELLERS = ("symbols", "marks", "shouting", "outcry", "echo", "squeeze", "lines", "prose")
 #: Rows the scorer is fitted on, chosen by a hash of the id; all rows if there are fewer.
 TRAIN_ROWS = 20_000
 DIMS = 1 << 13
-#: Words under which labellers do not vote.
-SHORT = 12
+#: Labellers do not vote on texts of fewer words and fewer bytes that are no blank.
+SHORT, SHORT_BYTES = 12, 300
 
 _GROUPS = ["\n", " \t\r\x0b\x0c", "0123456789", ".", ",", "!", "?", "#", "*", "$", "%", "&", "|", "<>", "-_", "()[]{}", "'\"", ":;", "/\\@+=~^`"]
 CLASS = np.zeros(256, np.uint8)  # 0: lower-case letters and bytes of other characters
@@ -40,12 +41,19 @@ def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def short_texts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    starts, ends, words = word_bounds(buf, off)
+    doc = np.repeat(np.arange(len(words)), words)
+    return (words < SHORT) & (np.bincount(doc, weights=ends - starts, minlength=len(words)) < SHORT_BYTES)
+
+
 def votes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The votes of each labeller on each document: 1 good, -1 bad, 0 none."""
     starts, ends, words = word_bounds(buf, off)
     doc = np.repeat(np.arange(len(words)), words)
     n = np.maximum(words, 1)
     solid = np.maximum(np.bincount(doc, weights=ends - starts, minlength=len(words)), 1)
+    judged = ~short_texts(buf, off)
     h = span_hashes(buf, starts, ends)
     echo = np.zeros(len(h), bool)
     if len(h) > 1:
@@ -61,7 +69,7 @@ def votes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     tight, dup = np.ones(len(words)), np.zeros(len(words))
     for k in range(len(words)):
         raw = buf[off[k] : off[k + 1]].tobytes()
-        if words[k] >= SHORT:
+        if judged[k]:
             tight[k] = len(zlib.compress(raw, 1)) / len(raw)
             parts = raw.split(b"\n")
             dup[k] = len(parts) - len(set(parts))
@@ -76,7 +84,7 @@ def votes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         say(dup > 0.4 * lines),
         say((short < 0.04 * n) & (words >= 40), (short > 0.1 * n) & (stops > 0.02 * n) & (stops < 0.4 * n)),
     ])
-    return np.where(words >= SHORT, out, 0).T.astype(np.int8)
+    return np.where(judged, out, 0).T.astype(np.int8)
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
@@ -146,15 +154,16 @@ def features(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient steps."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, times: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
+    """Logistic regression on soft labels by accelerated gradient steps; a row counts ``times``."""
     w = np.zeros(DIMS)
     if not rows:
         return w
     idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    weight = np.where(target >= 0.5, 0.5 / max(1e-9, (target >= 0.5).mean()), 0.5 / max(1e-9, (target < 0.5).mean()))
-    weight = np.minimum(weight, 10) / len(rows)
+    good = (times * (target >= 0.5)).sum() / times.sum()
+    weight = np.where(target >= 0.5, 0.5 / max(1e-9, good), 0.5 / max(1e-9, 1 - good))
+    weight = np.minimum(weight, 10) * times / times.sum()
     before, step = w, 4.0
     for k in range(rounds):
         ahead = w + k / (k + 3) * (w - before)
@@ -170,9 +179,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     where the text is too short to judge. The columns ``also`` stay beside the verdict of their row.
 
     The vote counts cover all documents; only the scorer's weights come from at most about
-    ``train_rows`` rows, chosen by a hash of id and text. A null or empty text, and one of under
-    SHORT words, has no votes and is kept. Rows with a null id and
-    repeated rows are judged each; an empty table gives no rows.
+    ``train_rows`` rows, chosen by a hash of id and text; rows that share both are one with their
+    number. A null or empty text, and one of under SHORT words and SHORT_BYTES bytes, has no votes
+    and is kept. A score of exactly 0.5 is kept. Very long texts are judged whole. Rows with a null
+    id and repeated rows are judged each; an empty table gives no rows. Columns that are not named
+    are not read.
     """
     slim = pick(docs, id_col, text_col)
 
@@ -199,11 +210,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
                 )
 
     def fitted(batches):
-        rows = sorted((h, i, v, t) for b in batches for h, i, v, t in zip(*(c.to_pylist() for c in b.columns)))
-        w = fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v)) for _, i, v, _ in rows], np.array([r[3] for r in rows]))
+        rows = sorted((h, i, v, t, n) for b in batches for h, i, v, t, n in zip(*(c.to_pylist() for c in b.columns)))
+        w = fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v)) for _, i, v, _, _ in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows], float))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    sample = picked.mapInArrow(featured, "h bigint, idx binary, val binary, target double").repartition(1)
+    sample = picked.mapInArrow(featured, "h bigint, idx binary, val binary, target double").groupBy("h").agg(*[F.first(c).alias(c) for c in ("idx", "val", "target")], F.count("*").alias("n")).repartition(1)
     got = sample.mapInArrow(fitted, "w binary").collect()
     weights = np.frombuffer(got[0]["w"]) if got else np.zeros(DIMS)
 
@@ -215,7 +226,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
             for i, j, buf, off in chunks(b.column(names.index(text_col))):
                 z = np.array([float(weights[at] @ val) for at, val in features(buf, off)])
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                short = word_bounds(buf, off)[2] < SHORT
+                short = short_texts(buf, off)
                 post = [good.get(k, 0.5) for k in pattern(votes(buf, off)).tolist()]
                 yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)).slice(i, j - i) for c in given], pa.array(post, pa.float64()), pa.array(np.round(score, 9)), pa.array((score >= 0.5) | short)], names=[*given, "posterior", "score", "kept"])
 
@@ -224,4 +235,4 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classify(spread(table(spark, sf_dir, "documents")))
