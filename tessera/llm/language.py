@@ -2,8 +2,8 @@
 
 Every letter has a random vector of +1 and -1. A trigram is the element-wise product of its
 letters' vectors, each rolled by its place, so order matters; a text is the sum of the vectors of
-its trigrams, and a language the sum over its texts. A text gets the language whose centred
-prototype has the largest cosine with it.
+its trigrams, and a language the sum over its texts. A text gets the language whose prototype has
+the largest cosine with it, and that cosine as its score.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import spread, table
 from .common import bucket_of, chunks, pick
 
-DIMS, SEED = 256, 20240607
+DIMS, SEED = 1024, 20240607
 #: Letter classes: 0 what is no letter, 1-26 the letters a-z, the rest other letters by code point.
 CLASSES = 64
 UNKNOWN = "und"
@@ -109,7 +110,8 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str], text_col: str =
     profiles reach the driver: DIMS numbers for each language. A text that is null or has no
     letter gets ``und`` and score 0, as does every text if nothing was learned. A text with
     letters but no trigram gets the language that comes first. Ties go to the first language in
-    code-point order. Repeated rows get the same answer each; an empty table gives no rows.
+    code-point order. Repeated rows get the same answer each; an empty table gives no rows. A very
+    long text is a chunk of its own, read whole; columns that are not named are not read.
     """
     rows = prototypes(train.where(F.col(f"`{lang_col}`").isNotNull()), text_col, lang_col).collect()
     langs = sorted({r["lang"] for r in rows})
@@ -117,9 +119,6 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str], text_col: str =
     for r in rows:
         proto[langs.index(r["lang"]), r["pos"]] = r["total"]
     proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
-    mean = proto.mean(axis=0) if len(langs) > 1 else np.zeros(DIMS)
-    centred = proto - mean
-    centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
     names = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches):
@@ -147,13 +146,11 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str], text_col: str =
                     vectors[lo:hi] = np.bincount(flat, minlength=(hi - lo) * len(used)).reshape(hi - lo, -1).astype(np.float32) @ table
                 v = vectors.astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                v -= mean
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                cosine = np.round(v @ centred.T, 9)
+                cosine = np.round(v @ proto.T, 9)
                 best = cosine.argmax(axis=1)
                 known = has_letter(buf, off)
                 pred += names[np.where(known, best, len(langs))].tolist()
-                score += np.where(known, np.clip((1 + cosine.max(axis=1)) / 2, 0, 1), 0.0).tolist()
+                score += np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(b.num_columns - 1)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -161,7 +158,7 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str], text_col: str =
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(table(spark, sf_dir, "documents"))
     held = F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False))
     train = docs.where(bucket_of("doc_id", 4) != 2)
     return identify(docs.withColumn("held_out", held), train, ["doc_id", "held_out"])
