@@ -23,10 +23,12 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local, for others would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set, and executors do not share the driver's disk")
     if not hasattr(spark, "_tessera_folder"):
         import tempfile
 
@@ -216,12 +218,13 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str, parts: int | None =
     return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def streamed(df: DataFrame, keys: list[str], then: list[str], fn, schema: str) -> DataFrame:
+def streamed(df: DataFrame, keys: list[str], then: list[str], fn, schema: str, parts: int | None = None) -> DataFrame:
     """``fn(batches) -> iterable of RecordBatch`` over partitions of whole groups of ``keys``, sorted by them and by ``then``, nulls first.
 
     Nothing holds a group whole, so a group may be larger than memory.
     """
-    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(fn, schema)
+    spread = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return spread.sortWithinPartitions(*keys, *then).mapInArrow(fn, schema)
 
 
 def _last_group(table: pa.Table, keys: list[str]) -> int:

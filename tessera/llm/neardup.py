@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import spread, table
 from .common import LOWER, Tables, chunks, group_starts, grouped, mix, pick, span_hashes, word_bounds
 from .graph import components, local_labels
 
@@ -261,4 +262,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85, n_bands=32, rows=6)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), width=3, percent=85, n_bands=32, rows=6)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import spread, table
 from .common import PLAIN, chunks, group_starts, pick, span_hashes, spans
 
 #: Bytes of text whose words are told apart together, and bytes of different words that are indexed together.
@@ -381,6 +382,6 @@ def op4_pieces(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).withColumn("ids_crc32", F.crc32("ids"))
+    ids = encode(spread(table(spark, sf_dir, "documents")), model).withColumn("ids_crc32", F.crc32("ids"))
     back = decode(ids, model, ["doc_id", "n_pieces", "ids_crc32"])
     return back.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
