@@ -54,13 +54,21 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+        self.names: list[str] = []
         atexit.register(_remove, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables of this query but these."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+            self.names.remove(name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             _remove(self.spark, f"{self.root}/{name}")

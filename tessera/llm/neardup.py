@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not blocks.where("nb > 1").isEmpty():
         links = links.unionByName(_large_links(tables.write(sized.where("nb > 1"), "big"), stars, tables, percent))
     final = tables.write(components(links, tables, "linked"), "components")
+    tables.keep("sketch", "classes", "components")
     named = rows_of.select("doc_id", *same).join(classes, same, "left").join(final.withColumnRenamed("node", "fnode"), F.col("node") == F.col("fnode"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

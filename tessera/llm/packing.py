@@ -250,8 +250,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``ids`` (little-endian uint32), ``doc_tokens``, ``sequence_id`` and ``offset``. Every
     sequence has ``window`` ids or a power of two, so none needs padding. A null or empty text
     is the end id alone; a row with a null id is packed with that null; repeated rows are
-    packed as often as they occur; an empty table gives no rows. ``sequence_id`` holds the
-    number of the input partition above 40 bits, so it is unique and the same on a retry.
+    packed as often as they occur; an empty table gives no rows. A very long text is tokenised and
+    cut whole; other columns are not read, so none can clash. Documents of equal length are laid in
+    their order. ``sequence_id`` holds the number of the input partition above 40 bits, so it is
+    unique and the same on a retry.
     """
     ident = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {ident}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
