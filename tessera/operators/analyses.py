@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.vectors import nearest_centroid
 from . import passk, stats
 from .ranks import name_clusters, rank_quartile
-from .sampling import random_halves
+from .sampling import draw, random_halves
 
 
 def rate(c: Column) -> Column:
@@ -24,7 +24,7 @@ def extract_records(gens: DataFrame, text: str, key: str, most: int = 4, mod: in
     from ..functions.text import handcrafted
 
     r = F.row_number().over(W.partitionBy("question_id", "prefix_style").orderBy(key))
-    gate = F.crc32(F.col("question_id").cast("string").cast("binary")) % mod == 0
+    gate = draw(0, F.col("question_id")) % mod == 0
     return handcrafted(gens.withColumn("sampled", gate & (r <= most)), text)
 
 

@@ -10,8 +10,9 @@ from ..operators import clustering as C
 from ..operators import stats as S
 from ..operators.sampling import draw_sql
 from .q_passk import KS, PQ, PQS, unbiased_sql
+from .q_text import HANDCRAFTED
 from .registry import ORACLE_SQL, query
-from .views import GENS, K, STYLES, VECS, gens, table, vecs
+from .views import GENS, K, STYLES, TEXTS, VECS, gens, spread, table, vecs
 
 P = "CAST(correct AS DOUBLE)"
 SPACE = ["f1", "f2", "f3"]
@@ -19,7 +20,7 @@ SPACE = ["f1", "f2", "f3"]
 
 def recs(spark, sf):
     """Records with a small style space: one generation for each document."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t")))
     w = F.greatest(F.lit(1), F.size(T.words_of(F.col("t"))))
     return d.withColumn("w", w).select(
         F.col("doc_id").alias("ord"), (F.col("doc_id") % 60).alias("question_id"), F.concat(F.lit("style_"), F.col("doc_id") % 4 + 1).alias("prefix_style"), (F.col("doc_id") % 3 == 0).alias("correct"), "lang",
@@ -41,9 +42,12 @@ def _basis(spark, sf):
     return A.basis(recs(spark, sf), "lang", "len", SPACE)
 
 
-@query("a1_extract_records")
+_SAMPLED = f"SELECT doc_id AS ord, {draw_sql('0', 'doc_id % 60')} % 4 = 0 AND row_number() OVER (PARTITION BY doc_id % 60 ORDER BY doc_id) <= 4 AS sampled FROM documents"
+
+
+@query("a1_extract_records", f"SELECT ord, sampled, {', '.join(T.PROFILE_FEATURES)} FROM ({HANDCRAFTED.replace(TEXTS, 'texts AS (SELECT doc_id AS id, text FROM documents)')}) JOIN ({_SAMPLED}) ON ord = id")
 def a1(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), (F.col("doc_id") % 60).alias("question_id"), F.lit("style_1").alias("prefix_style"), "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("ord"), (F.col("doc_id") % 60).alias("question_id"), F.lit("style_1").alias("prefix_style"), "text")
     return A.extract_records(d, "text", "ord").select("ord", "sampled", *T.PROFILE_FEATURES)
 
 

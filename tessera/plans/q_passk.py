@@ -95,7 +95,7 @@ def b10(spark, sf):
     return q.groupBy("k").agg(F.avg(B.plug_in(F.col("c") / F.col("n"), F.col("k"))).alias("pass_at_k"))
 
 
-@query("b11_regrade", None)
+@query("b11_regrade", f"WITH {TEXTS} SELECT abs(id) % 3 AS question_id, count(*) AS n, CAST(count(*) FILTER (id = -1 OR trim(text) = '42') AS BIGINT) AS c FROM texts GROUP BY ALL")  # of the crafted texts only the first answers 42
 def b11(spark, sf):
     """Grades all texts, the crafted ones among them, against a gold answer again and recomputes the success rate."""
     from ..functions.parse import grade

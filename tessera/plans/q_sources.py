@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import strip
 from ..operators import registry as RG
+from ..operators.ranks import running
 from ..operators.sampling import draw, draw_sql
 from ..sources import io
 from .registry import query
@@ -187,7 +187,7 @@ def p5(spark, sf):
 def p6(spark, sf):
     """Only the distinct values are ranked."""
     t = traces(spark, sf)
-    codes = t.select("source_dataset").distinct().withColumn("code", (F.row_number().over(W.orderBy("source_dataset")) - 1).cast("int"))
+    codes = running(t.select("source_dataset").distinct(), ["source_dataset"], F.lit(1), "r").select("source_dataset", (F.col("r") - 1).cast("int").alias("code"))
     return t.join(codes, "source_dataset").select("ord", "code")
 
 

@@ -14,14 +14,14 @@ _lit = lambda s: f"CAST((length(t) - length(replace(t, '{s}', ''))) / {len(s)} A
 _BASE = rf"""b0 AS (SELECT id, coalesce(text, '') AS t FROM texts), b AS (SELECT id, t, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS w, length(regexp_replace(t, '\s+', '', 'g')) AS letters,
  len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: regexp_matches(x, '\S'))) AS sents FROM b0)"""
 _piv = {f"piv_{k}": _n(p) for k, p in T.PIVOTS.items()}
-_HAND = f"""WITH {TEXTS}, {_BASE}, c AS (SELECT *, CAST(greatest(1, w) AS DOUBLE) AS n_words, {", ".join(f"{e} AS {k}" for k, e in _piv.items())}, {_n(T.BACKTRACK)} AS n_backtrack, {_lit("=")} AS n_equals, {_lit("$")} AS n_dollar,
+HANDCRAFTED = f"""WITH {TEXTS}, {_BASE}, c AS (SELECT *, CAST(greatest(1, w) AS DOUBLE) AS n_words, {", ".join(f"{e} AS {k}" for k, e in _piv.items())}, {_n(T.BACKTRACK)} AS n_backtrack, {_lit("=")} AS n_equals, {_lit("$")} AS n_dollar,
  {_lit(chr(92) + "boxed")} AS n_boxed, {_n(T.NUMBERED_STEP, "mi")} AS n_steps, {_lit("?")} AS n_question, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS DOUBLE) AS n_lines FROM b),
  d AS (SELECT *, {" + ".join(_piv)} AS piv_total, 100.0 / n_words AS per FROM c)
  SELECT id, CAST(length(t) AS DOUBLE) AS n_chars, n_words, n_lines, CASE WHEN w > 0 THEN letters / w ELSE 0 END AS avg_word_len, n_words / greatest(1, sents) AS avg_sent_len_words, {", ".join(_piv)}, piv_total, n_backtrack, n_equals, n_dollar, n_boxed, n_steps, n_question,
  {", ".join(f"piv_{k} * per AS dens_{k}" for k in T.PIVOTS)}, piv_total * per AS dens_piv_total, n_backtrack * per AS dens_backtrack, n_equals * per AS dens_equals, n_boxed * per AS dens_boxed, n_question * per AS dens_question, n_steps * per AS dens_steps, n_lines * per AS lines_per_100w FROM d"""
 
 
-@query("fa_handcrafted_features", _HAND)
+@query("fa_handcrafted_features", HANDCRAFTED)
 def fa(spark, sf):
     return T.handcrafted(texts(spark, sf)).drop("text")
 

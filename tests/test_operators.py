@@ -299,6 +299,60 @@ def test_folding_guard_finds_every_match(spark):
         assert all(r["plain"] == r["guarded"] for r in both), p
 
 
+def test_ridge_is_the_closed_form(spark):
+    from tessera.operators import probes as P
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 4))
+    y = x @ np.array([2.0, -1.0, 0.5, 0.0]) + 0.1 * rng.standard_normal(400)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "v array<double>, y double")
+    r = P.ridge(df, "v", F.col("y"), [1e-6]).first()
+    fold = [f["f"] for f in df.select(F.pmod(F.xxhash64("v"), F.lit(5)).alias("f")).collect()]
+    test = np.array(fold) == 0
+    one = np.hstack([x, np.ones((400, 1))])
+    w = np.linalg.lstsq(one[~test], y[~test], rcond=None)[0]
+    err = y[test] - one[test] @ w
+    assert abs(r["mae"] - abs(err).mean()) < 1e-3 and abs(r["r2"] - (1 - (err**2).sum() / ((y[test] - y[test].mean()) ** 2).sum())) < 1e-3
+
+
+def test_means_keep_separated_groups(spark):
+    rng = np.random.default_rng(9)
+    m = np.vstack([rng.normal(c, 0.2, (50, 3)) for c in (-4, 0, 4)])
+    got = [r["cluster_id"] for r in C.kmeans(_batch(spark, m), "v", 3, n_init=3).orderBy("id").collect()]
+    assert [len(set(got[k : k + 50])) for k in (0, 50, 100)] == [1, 1, 1] and len(set(got)) == 3
+
+
+def test_cluster_prefixes_and_training_tables(spark):
+    rows = [(q, a, f"[style_9]\ntext {q} {a}", 10 * q + len(a)) for q in range(6) for a in ("x", "yy")]
+    df = spark.createDataFrame(rows, "question_id int, author string, text string, trace_len int")
+    given = df.select("question_id", "author", (F.col("question_id") % 2).alias("cluster_id"))
+    train, held = df.where("question_id < 4"), df.where("question_id >= 4")
+    keys = ["question_id", "author"]
+    out = I.cluster_prefixed(train, held, given.where("question_id < 4"), given.where("question_id >= 4"), keys)
+    for r in out.collect():
+        style = "style_1" if r["question_id"] % 2 == 0 else "style_2"
+        assert r["text"] == f"[{style}]\ntext {r['question_id']} {r['author']}" and r["oracle_style_name"] == r["author"]
+    with pytest.raises(contracts.ContractError):
+        I.cluster_prefixed(train, held, given.where("question_id < 3"), given.where("question_id >= 4"), keys)
+    meta = {(r["split"], r["style"]): (r["style_index"], r["n"]) for r in I.prefix_meta(out).collect()}
+    assert meta["train", "style_1"] == (1, 4) and meta["validation", "style_2"] == (2, 2)
+    raw = spark.createDataFrame([(q, a, "  ask ", t) for q in range(20) for a, t in (("x", "t"), ("yy", " "), ("z", "t"))], "question_id int, author string, instruction string, trace string")
+    sft = I.sft_tables(raw, ["yy", "x"]).collect()
+    assert len(sft) == 40 and {r["author"] for r in sft} == {"x"} and {r["style_id"] for r in sft} == {1}
+    assert {r["question_id"] for r in sft if r["split"] == "validation"} == {18, 19}
+    assert {r["messages"] for r in sft if r["variant"] == "prefixed"} == {'[{"role":"user","content":"[x]\\nask"},{"role":"assistant","content":"t"}]'}
+
+
+def test_small_inputs_go_to_all_cores(spark, tmp_path):
+    from tessera.plans.views import spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    assert spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.range(1000).repartition(9).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(many) is many
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([(1, "a"), (1, None)], "k int, v string")
     for bad in (lambda: contracts.unique(df, "k"), lambda: contracts.not_null(df, "v"), lambda: contracts.covered(df, "v", 0.99)):
