@@ -34,11 +34,13 @@ from .common import Tables, pick, streamed
 
 TREES, BITS, SEED = 32, 64, 77
 #: Bits of a routing string, entries of a shard, and queries that are searched at once.
-ROUTE_BITS, SHARD_ROWS, QUERY_ROWS = 16, 4096, 1024
+ROUTE_BITS, SHARD_ROWS, QUERY_ROWS = 16, 8192, 512
 #: Queries that are answered exactly to choose the numbers below, shards in which they are tried, and the share of neighbours wanted of each choice.
 PROBES, TRIED, TARGET = 64, 24, 0.97
 #: Candidates (with repeats over trees) that all trees of a shard gather, as a multiple of its entries.
-LADDER = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)
+LADDER = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 1.0, 1.5, 3.0)
+#: Ranges of this many entries (with repeats), as a multiple of the shard's, cost more than the whole shard.
+WHOLE = 1.0
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -46,6 +48,17 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(top**2 - (x * x).sum(axis=1), 0))[:, None]])
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """The bit length of each number."""
+    out = np.zeros(len(x), np.int64)
+    x = x.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        big = x >= np.uint64(1) << np.uint64(step)
+        out += np.where(big, step, 0)
+        x = np.where(big, x >> np.uint64(step), x)
+    return out + (x > 0)
+
+
 class Forest:
     """Sorted hash strings of one shard."""
 
@@ -70,12 +83,16 @@ class Forest:
         full = np.hstack([q, np.zeros((len(q), 1))])
         h = [self._strings(full, p) for p in self.planes]
         low, high = np.zeros((len(h), len(q)), np.int64), np.full((len(h), len(q)), self.size, np.int64)
-        open_ = np.ones(len(q), bool)
-        for level in range(BITS, 0, -1):  # from the longest prefix, all trees a bit shorter at a time
+        open_, longest = np.ones(len(q), bool), np.zeros(len(q), np.int64)
+        for keys, strings in zip(self.keys, h):  # down to the longest prefix
+            at = np.searchsorted(keys, strings)
+            for beside in (keys[np.maximum(at - 1, 0)], keys[np.minimum(at, self.size - 1)]):
+                longest = np.maximum(longest, BITS - _bits(beside ^ strings))
+        for level in range(int(longest.max(initial=0)), 0, -1):  # and up again, all trees a bit shorter at a time
             mask = np.uint64((1 << BITS) - (1 << (BITS - level)))
-            some = np.flatnonzero(open_)
+            some = np.flatnonzero(open_ & (longest >= level))
             if not len(some):
-                break
+                continue
             a = np.stack([np.searchsorted(k, s[some] & mask, "left") for k, s in zip(self.keys, h)])
             b = np.stack([np.searchsorted(k, s[some] | ~mask, "right") for k, s in zip(self.keys, h)])
             done = (b - a).sum(axis=0) >= want
@@ -256,21 +273,27 @@ def _by_shard(batches):
 
 
 def search(forest: Forest, x: np.ndarray, ids: list[list[int]], q: np.ndarray, k: int, gather: float):
-    """For each query the (score, id) of its best k + 1 candidates with different ids, and how many entries were scored."""
+    """For each query the (-score, id) of its best k + 1 candidates with different ids, and how many entries were scored."""
     low, high = forest.ranges(q, forest.wanted(gather))
+    whole = (high - low).sum(axis=0) >= WHOLE * forest.size
+    every = dict(zip(np.flatnonzero(whole).tolist(), q[whole] @ x.T)) if whole.any() else {}
     for j in range(len(q)):
-        cand = np.flatnonzero(forest.near(low[:, j], high[:, j]))
-        scored = len(cand)
-        if len(cand) > k + 1:
+        cand, fast = (None, every[j]) if whole[j] else (np.flatnonzero(forest.near(low[:, j], high[:, j])), None)
+        if fast is None:
             fast = x[cand] @ q[j]
-            edge = np.partition(fast, len(fast) - k - 1)[len(fast) - k - 1]
-            cand = cand[fast >= edge - 1e-9 * (1 + abs(edge))]
+        scored = len(fast)
+        if scored > k + 1:
+            edge = np.partition(fast, scored - k - 1)[scored - k - 1]
+            best = np.flatnonzero(fast >= edge - 1e-9 * (1 + abs(edge)))
+            cand = best if cand is None else cand[best]
+        elif cand is None:
+            cand = np.arange(scored)
         score = (x[cand] * q[j]).sum(axis=1)  # the same for an entry in any shard
         out, seen = [], set()
         for s, i in sorted((-s, i) for s, c in zip(score.tolist(), cand.tolist()) for i in ids[c]):
             if i not in seen and len(out) <= k:
                 seen.add(i)
-                out.append((-s, i))
+                out.append((s, i))
         yield out, scored
 
 
@@ -298,7 +321,9 @@ def _searched(k: int, gather: float, trees: int):
                 for lo in range(0, z - a, QUERY_ROWS):
                     some = part.slice(lo, QUERY_ROWS)
                     found = list(search(forest, x, ids, _matrix(some.column("v")), k, gather))
-                    best = pa.array([[{"far": -s, "vec_id": i} for s, i in f] for f, _ in found], pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))
+                    flat = [r for f, _ in found for r in f]
+                    rank = pa.StructArray.from_arrays([pa.array([r[0] for r in flat], pa.float64()), pa.array([r[1] for r in flat], pa.int64())], ["far", "vec_id"])
+                    best = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(f) for f, _ in found]))), pa.int32()), rank)
                     yield pa.RecordBatch.from_arrays([keys.slice(lo, QUERY_ROWS), best, pa.array([n for _, n in found], pa.int64())], names=["key", "best", "scored"])
 
     return run
@@ -362,8 +387,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     found = streamed(placed.unionByName(sent), ["shard"], ["ask"], _searched(k, gather, trees), "key binary, best array<struct<far: double, vec_id: bigint>>, scored bigint", 2 * router.shards)
     per = found.join(asked, "key").groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"), F.sum("scored").alias("scored"))  # k + 1 from each visited shard
     ids = F.transform("best", lambda x: x["vec_id"])
-    once = F.slice(F.filter("best", lambda x, i: (x["vec_id"] != F.col("query_id")) & (F.array_position("names", x["vec_id"]) == i + 1)), 1, k)
-    best = per.withColumn("names", ids).select("query_id", once.alias("best"), "scored")
+    others = F.filter("best", lambda x: x["vec_id"] != F.col("query_id"))
+    once = F.filter("best", lambda x, i: (x["vec_id"] != F.col("query_id")) & (F.array_position("names", x["vec_id"]) == i + 1))  # an id with several vectors
+    chosen = F.when(F.size(F.array_distinct("names")) == F.size("names"), others).otherwise(once)
+    best = per.withColumn("names", ids).select("query_id", F.slice(chosen, 1, k).alias("best"), "scored")
     return best.select("query_id", F.posexplode("best").alias("p", "b"), "scored").select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"), "scored")
 
 
