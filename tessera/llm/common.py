@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Bytes that a writer of an intermediate table holds before it ends a row group.
+GROUP_BYTES = 1 << 25
 MASK64 = (1 << 64) - 1
 
 
@@ -60,7 +62,7 @@ class Tables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         self.names.append(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, *names: str) -> None:
@@ -101,11 +103,14 @@ def text_array(col) -> pa.Array:
 
 def chunks(col, most: int = CHUNK_BYTES):
     """Yields (first row, end row, bytes as uint8, offsets from 0 of each row and the end)."""
-    arr = text_array(col)
+    arr = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_binary())
     n = len(arr)
     if not n:
         return
     off = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset : arr.offset + n + 1]
+    if arr.null_count and np.diff(off)[arr.is_null().to_numpy(zero_copy_only=False)].any():  # nulls that hold bytes
+        yield from chunks(text_array(col), most)
+        return
     data = np.frombuffer(arr.buffers()[2] or b"", dtype=np.uint8)
     i = 0
     while i < n:

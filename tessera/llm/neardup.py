@@ -127,7 +127,7 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     col = np.cumsum(shared) - 1
     keep = shared[code]
     row, code = row[keep], col[code[keep]]
-    total, step = np.zeros((m, m), np.float32), max(64, (1 << 22) // m)
+    total, step = np.zeros((m, m), np.float32), max(64, (1 << 20) // m)
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
     width = int(shared.sum())

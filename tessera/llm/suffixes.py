@@ -30,7 +30,7 @@ from .common import BYTE, MASK64, STEP, Tables, bucket_count, chunks, group_star
 
 LENGTH, GRAM = 200, 40
 #: Starts whose anchors are found at once; positions need fewer than POS_BITS bits.
-SEGMENT, POS_BITS = 1 << 20, 21
+SEGMENT, POS_BITS = 1 << 19, 21
 #: Different regions of one anchor hash beyond which fingerprints replace the suffix array.
 HOT = 2000
 #: Starts of one run at most.
@@ -300,7 +300,7 @@ def _string_blobs(length: int, buckets: int):
     def run(batches):
         for b in batches:
             ids = [b.column(k).to_numpy() for k in ("h", "fp1", "fp2", "times")]
-            for i, j, buf, off in chunks(b.column("region")):
+            for i, j, buf, off in chunks(b.column("region"), SEGMENT):
                 count = np.diff(off) - length + 1
                 starts = spans(off[:-1], count).astype(np.int64)
                 owner = np.repeat(np.arange(i, j), count)
