@@ -385,13 +385,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     placed = entries.mapInArrow(_shards_of(router), f"shard bigint, key binary, v {kind}, ids array<bigint>").withColumn("ask", F.lit(False))
     sent = queries.mapInArrow(_visits_of(router, visits), f"shard bigint, key binary, v {kind}").withColumns({"ids": F.lit(None).cast("array<bigint>"), "ask": F.lit(True)})
     found = streamed(placed.unionByName(sent), ["shard"], ["ask"], _searched(k, gather, trees), "key binary, best array<struct<far: double, vec_id: bigint>>, scored bigint", 2 * router.shards)
-    per = found.join(asked, "key").groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"), F.sum("scored").alias("scored"))  # k + 1 from each visited shard
-    ids = F.transform("best", lambda x: x["vec_id"])
-    others = F.filter("best", lambda x: x["vec_id"] != F.col("query_id"))
-    once = F.filter("best", lambda x, i: (x["vec_id"] != F.col("query_id")) & (F.array_position("names", x["vec_id"]) == i + 1))  # an id with several vectors
-    chosen = F.when(F.size(F.array_distinct("names")) == F.size("names"), others).otherwise(once)
-    best = per.withColumn("names", ids).select("query_id", F.slice(chosen, 1, k).alias("best"), "scored")
-    return best.select("query_id", F.posexplode("best").alias("p", "b"), "scored").select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"), "scored")
+    lists = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    # each different query vector is merged once, k + 1 from each visited shard; then its ids take their lists
+    merged = found.groupBy("key").agg(lists("best").alias("best"), F.sum("scored").alias("scored")).select("key", F.slice(_once("best"), 1, k + 1).alias("best"), "scored")
+    per = merged.join(asked, "key").groupBy("query_id").agg(lists("best").alias("best"), F.sum("scored").alias("scored"))  # one list, unless an id has several vectors
+    others = F.filter(_once("best"), lambda x: x["vec_id"] != F.col("query_id"))
+    best = per.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("p", "b"), "scored")
+    return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"), "scored")
+
+
+def _once(best: str):
+    """A sorted list with the first entry of each id only; ids repeat where one has several vectors."""
+    names = F.transform(best, lambda x: x["vec_id"])
+    first = F.filter(best, lambda x, i: F.array_position(names, x["vec_id"]) == i + 1)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.col(best)).otherwise(first)
 
 
 def _measured(entries: DataFrame, queries: DataFrame, router: Router, kind: str, k: int, trees: int, target: float) -> tuple[int, float]:
