@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .centroids import OP13_SQL, op13_centroids
+from .chat import OP12_SQL, op12_chat
+from .codes import OP11_SQL, op11_codes
 from .language import op7_language
 from .lm import op2_lm
 from .neardup import op6_neardup
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_suffixes": op9_suffixes,
     "op10_rules": op10_rules,
+    "op11_codes": op11_codes,
+    "op12_chat": op12_chat,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_urls": OP1_SQL,
     "op10_rules": OP10_SQL,
+    "op11_codes": OP11_SQL,
+    "op12_chat": OP12_SQL,
+    "op13_centroids": OP13_SQL,
 }

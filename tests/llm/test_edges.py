@@ -72,13 +72,14 @@ def test_rules(docs, none):
 
 def test_rules_follow_the_habits_of_a_source(spark):
     """One document with many symbols is usual in a source of listings and far out in one of prose; a source of few documents leans on its language."""
-    words = lambda k, n: [f"w{k}x{j * j % 1009}" for j in range(n)]
+    words = lambda k, n: [f"w{k:04}x{j * j % 1009:04}" for j in range(n)]  # noqa: E731  equally long, so that only signs set documents apart
     listing = lambda k: " ".join(w + (" %" if j % 2 == k % 2 else "") for j, w in enumerate(words(k, 120)))
     rows = [(k, " ".join(words(k, 120)), "en", "prose") for k in range(1200)] + [(2000 + k, listing(k), "en", "code") for k in range(1200)]
     same = listing(7777)
     rows += [(5000, same, "en", "prose"), (5001, same, "en", "code"), (5002, same, "en", "new"), (5003, " ".join(words(3, 120)), "en", "new")]
     out = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert (out[5000]["failed"], out[5000]["kept"]) == ("symbols", False) and out[5001]["kept"] and out[5003]["kept"]
+    assert "symbols" in out[5000]["failed"].split(",") and not out[5000]["kept"]  # the signs are short words too, so the mean word length is far out as well
+    assert out[5001]["kept"] and out[5003]["kept"]
     assert sum(r["kept"] for r in out.values()) >= 2402
 
 
