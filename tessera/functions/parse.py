@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import algebra
 from .text import strip
 
 PREFIX = r"(?U)^(?:\[[^\]]+\]|<(style_\d+)>)\n"
@@ -92,7 +93,7 @@ def split_tuple(s: Column) -> Column:
 class _Value:
     """Recursive descent over + - * / ** sqrt pi and parentheses, exact while it can be.
 
-    X7: no clock bounds it; powers have bounded exponents and bases, nesting ends with the
+    X7: no clock bounds it; powers have at most ``BITS`` bits, nesting ends with the
     interpreter's stack, and the work is otherwise in proportion to the text.
     """
 
@@ -127,9 +128,11 @@ class _Value:
         if self.peek() == "**":
             self.take()
             e = self.sign()
-            if abs(e) > 200 or abs(v) > 1e60:
+            if not (isinstance(v, Fraction) and isinstance(e, Fraction) and e.denominator == 1):
+                return float(v) ** float(e)
+            if abs(e) * max(v.numerator.bit_length(), v.denominator.bit_length()) > algebra.BITS:
                 raise ValueError("too large")
-            return v**e if isinstance(v, Fraction) and isinstance(e, Fraction) and e.denominator == 1 else float(v) ** float(e)
+            return v ** int(e)
         return v
 
     def atom(self):
@@ -161,11 +164,20 @@ def _same(a: str, b: str, a_plain: str, b_plain: str) -> str | None:
     pairs = [(x, y) for x in (_value(a), _value(a_plain)) for y in (_value(b), _value(b_plain)) if x is not None and y is not None]
     if any(isinstance(x, Fraction) and isinstance(y, Fraction) and x == y for x, y in pairs):
         return "exact_value"
-    if any(abs(float(x) - float(y)) <= 1e-6 for x, y in pairs if not isinstance(x, complex) and not isinstance(y, complex)):
+    if any(_near(x, y) for x, y in pairs):
         return "numeric"
+    if any(algebra.same(x, y) for x in {a, a_plain} for y in {b, b_plain}):
+        return "symbolic"
     return None
 
 
+def _near(x, y) -> bool:
+    try:
+        return not isinstance(x, complex) and not isinstance(y, complex) and abs(float(x) - float(y)) <= 1e-6
+    except OverflowError:  # a fraction beyond the doubles
+        return abs(Fraction(x) - Fraction(y)) <= Fraction(1, 10**6)
+
+
 def _value_stage(a: Column, b: Column, a_plain: Column, b_plain: Column) -> Column:
     """How two answers agree as values: element by element for lists, null if they do not."""
 
@@ -188,8 +200,9 @@ def grade(prediction: str, gold: str) -> Column:
     """struct(matched, stage) of a prediction against a gold answer.
 
     The prediction is its last boxed answer, else the whole. Equal text after ``strip_math``
-    matches in SQL; only what is left is evaluated, element by element for lists, exactly with
-    fractions and else within 1e-6. What the grammar cannot read does not match.
+    matches in SQL; only what is left is evaluated, element by element for lists: exactly with
+    fractions, within 1e-6, and by canonical forms where there are symbols. What no grammar can
+    read does not match; ``2x`` without a sign is not read.
     """
     boxed = boxed_answer(F.col(prediction))
     pred = F.when(boxed != "", boxed).otherwise(strip(F.col(prediction)))
