@@ -257,8 +257,10 @@ def without_legacy(text: Column) -> Column:
     return F.regexp_replace(text, r"(?iU)^\[(?:DFS|BFS)\]\s*", "")
 
 
-def special_tokens(k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(F.lit("<style_"), i.cast("string"), F.lit(">")))
+def special_tokens(k: int | Column) -> Column:
+    """``<style_1>`` to ``<style_k>``."""
+    n = k.cast("int") if isinstance(k, Column) else F.lit(k)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("<style_"), i.cast("string"), F.lit(">")))).otherwise(F.array().cast("array<string>"))
 
 
 def chat_prompt(messages: Column) -> Column:

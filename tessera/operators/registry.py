@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def checkpoint_step(name: Column) -> Column:
@@ -52,6 +51,7 @@ def parse_bool(s: Column) -> Column:
 
 
 def best(runs: DataFrame, keys: list[str], prefer: str, name: str = "eval_dir") -> DataFrame:
-    """Of each key the run whose name holds ``prefer``, then the latest checkpoint, then the first name."""
-    order = W.partitionBy(*keys).orderBy(F.desc(F.contains(F.col(name), F.lit(prefer)).cast("int")), F.desc("ckpt_step"), name)
-    return runs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """Of each key the run whose name holds ``prefer``, then the latest checkpoint, then the first name: a minimum, so no group is sorted."""
+    rest = [c for c in runs.columns if c not in keys]
+    rank = F.struct((~F.contains(F.col(name), F.lit(prefer))).alias("a"), (-F.col("ckpt_step")).alias("b"), F.col(name).alias("c"))
+    return runs.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_best")).select(*keys, "_best.*").select(*runs.columns)

@@ -310,12 +310,16 @@ def w17(spark, sf):
 # ---------------------------------------------------------------- order and sets
 
 
-@query("o1_o2_o3_orders", f"SELECT 'style_' || CAST(i AS VARCHAR) AS name, i AS place FROM range(1, 13) t(i) UNION ALL SELECT 'other', 13")
+@query("o1_o2_o3_orders", """SELECT name, CAST(row_number() OVER (ORDER BY CASE WHEN name = 'other' THEN 99 ELSE CAST(substr(name, 7) AS INTEGER) END) AS BIGINT) AS place, CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS lexical,
+ CAST(CASE name WHEN 'style_7' THEN 0 WHEN 'other' THEN 1 WHEN 'style_2' THEN 2 ELSE 3 END AS INTEGER) AS ordinal FROM (SELECT DISTINCT CASE WHEN doc_id % 13 = 12 THEN 'other' ELSE 'style_' || CAST(doc_id % 13 + 1 AS VARCHAR) END AS name FROM documents)""")
 def o1(spark, sf):
+    """Distinct names of a code table's size, in natural, code point and custom order."""
     from ..operators.passk import style_order
 
-    names = spark.range(1, 13).select(F.concat(F.lit("style_"), "id").alias("name")).unionByName(spark.createDataFrame([("other",)], "name string"))
-    return names.withColumn("place", F.row_number().over(W.orderBy(style_order("name"))).cast("long"))
+    k = F.col("doc_id") % 13
+    names = table(spark, sf, "documents").select(F.when(k == 12, "other").otherwise(F.concat(F.lit("style_"), (k + 1).cast("string"))).alias("name")).distinct()
+    ordinal = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(("style_7", "other", "style_2")) for x in (n, i)]), F.col("name")), F.lit(3))
+    return names.select("name", F.row_number().over(W.orderBy(style_order("name"))).cast("long").alias("place"), F.row_number().over(W.orderBy("name")).cast("long").alias("lexical"), ordinal.alias("ordinal"))
 
 
 @query("o4_o5_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

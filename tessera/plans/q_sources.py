@@ -10,7 +10,7 @@ from ..operators.ranks import running
 from ..operators.sampling import draw, draw_sql
 from ..sources import io
 from .registry import query
-from .views import GENS, MSGS, STYLES, TEXTS, TRACES, gens, msgs, quoted, table, texts, traces
+from .views import GENS, MSGS, STYLES, TEXTS, TRACES, gens, msgs, table, texts, traces
 
 
 @query("s1_config_scan", "SELECT doc_id, source FROM documents WHERE source = 'src3'")
@@ -35,11 +35,18 @@ def s5(spark, sf):
     return io.read_table(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity"]).where("l_quantity > 45")
 
 
-@query("s6_s7_k4_jsonl", f"WITH {GENS} SELECT CAST(question_id AS VARCHAR) AS question_id, prefix_style, correct, CAST(n_tokens AS BIGINT) AS n_tokens, finish_reason FROM gens")
+@query("s6_s7_k4_jsonl", f"WITH {GENS} SELECT CAST(question_id AS VARCHAR) AS question_id, prefix_style, correct, CAST(n_tokens AS BIGINT) AS n_tokens, finish_reason, true AS strict_raises FROM gens WHERE ord % 7 <> 0 AND ord % 11 <> 0")
 def s6(spark, sf):
+    """Lines of generations, some cut off and some blank: the tolerant scan leaves these out, the strict one raises at the first that is cut."""
     path = io.scratch(spark)
-    io.write_jsonl(gens(spark, sf).select(F.col("question_id").cast("string"), "prefix_style", "correct", F.col("n_tokens").cast("long"), "finish_reason"), path)
-    return io.read_jsonl(spark, path).select("question_id", "prefix_style", "correct", "n_tokens", "finish_reason")
+    rows = gens(spark, sf).select("ord", F.to_json(F.struct(F.col("question_id").cast("string").alias("question_id"), "prefix_style", "correct", F.col("n_tokens").cast("long").alias("n_tokens"), "finish_reason")).alias("line"))
+    io.write_lines(rows.select(F.when(F.col("ord") % 11 == 0, "").when(F.col("ord") % 7 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))), path)
+    try:
+        io.read_jsonl(spark, path, strict=True).write.format("noop").mode("overwrite").save()
+        raises = False
+    except Exception as e:  # noqa: BLE001  Spark's own kinds of error
+        raises = "MALFORMED" in str(e).upper()
+    return io.read_jsonl(spark, path).select("question_id", "prefix_style", "correct", "n_tokens", "finish_reason", F.lit(raises).alias("strict_raises"))
 
 
 @query("s8_fallback_fields", "SELECT conv_id, turn, substr(coalesce(nullif(CASE WHEN role = 'user' THEN '' ELSE text END, ''), nullif(text, ''), ''), 1, 2000) AS output FROM conversations")
@@ -48,35 +55,49 @@ def s8(spark, sf):
     return c.select("conv_id", "turn", io.first_text("output", "text").alias("output"))
 
 
-@query("s9_matrix_scan", "SELECT r AS row, CAST(3 * r + 1.5 AS DOUBLE) AS total FROM range(40) t(r)")
-def s9(spark, sf):
-    import io as std
+MATRIX_ROWS = 256
 
-    import numpy as np
 
-    path, held = io.scratch(spark), std.BytesIO()
-    np.savez(held, z_s=np.outer(np.arange(40), np.ones(3)) + 0.5)
-    io.write_bytes(spark, f"{path}/z.npz", held.getvalue())
-    return io.read_vectors(spark, path, "z_s").select("row", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
+@query("s9_matrix_scan", f"SELECT vec_id // {MATRIX_ROWS} AS shard, vec_id % {MATRIX_ROWS} AS row, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings")
+def s9(spark, sf):
+    """The embeddings as archives of 256 rows each, written and scanned again."""
+    path = io.scratch(spark)
+    io.write_matrices(table(spark, sf, "embeddings").withColumn("shard", F.floor(F.col("vec_id") / MATRIX_ROWS)), "shard", "vec_id", "embedding", "z_s", path)
+    return io.read_matrices(spark.read.parquet(path), "z_s", "shard").select("shard", "row", F.col("vector")[0].alias("first"), F.element_at("vector", -1).alias("last"))
 
 
-@query("s10_w14_contiguity", "SELECT i * 100 AS row_start, (i + 1) * 100 AS row_end, i AS shard_id FROM range(8) t(i)")
+@query("s10_w14_contiguity", f"SELECT vec_id // {MATRIX_ROWS} AS shard_id, min(vec_id) AS row_start, max(vec_id) + 1 AS row_end FROM embeddings GROUP BY 1")
 def s10(spark, sf):
-    shards = spark.range(8).select((F.col("id") * 100).alias("row_start"), ((F.col("id") + 1) * 100).alias("row_end"), F.col("id").alias("shard_id"))
-    return io.contiguous(shards, 800)
+    shards = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / MATRIX_ROWS).alias("shard_id")).agg(F.min("vec_id").alias("row_start"), (F.max("vec_id") + 1).alias("row_end"))
+    return io.contiguous(shards)
 
 
-CURVES = ['{"pass_at_k": {"1": 0.25, "8": 0.51239}}', '{"pass_at_k_cluster_prefix": {"1": 0.5}, "pass_at_k": {"1": 0.1}}', '{"pass_at_k": {}, "pass_at_k_standard": {"8": 0.75}}', '{"other": 1}']
+@query("s11_curve_files", f"""WITH {GENS}, q AS (SELECT question_id, avg(CAST(correct AS DOUBLE)) AS p FROM gens GROUP BY question_id)
+ SELECT question_id, CASE WHEN question_id % 4 < 2 THEN round(p * 100, 2) END AS pass_1, CASE question_id % 4 WHEN 0 THEN round(p / 2 * 100, 2) WHEN 2 THEN round(p * 100, 2) END AS pass_8 FROM q""")
+def s11(spark, sf):
+    """Result texts of each question, in the three forms that such files have and one that holds no curve."""
+    p, half = F.col("p").cast("string"), (F.col("p") / 2).cast("string")
+    told = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [
+        told('{"pass_at_k": {"1": ', p, ', "8": ', half, "}}"), told('{"pass_at_k_cluster_prefix": {"1": ', p, '}, "pass_at_k": {"1": 0.1}}'),
+        told('{"pass_at_k": {}, "pass_at_k_standard": {"8": ', p, "}}"), F.lit('{"other": 1}'),
+    ]
+    q = gens(spark, sf).groupBy("question_id").agg(F.avg(F.col("correct").cast("double")).alias("p"))
+    return q.withColumn("text", F.element_at(F.array(*forms), (F.col("question_id") % 4 + 1).cast("int"))).select("question_id", *io.curve_values(F.col("text"), [1, 8]))
 
 
-@query("s11_curve_files", "SELECT id, p1 AS pass_1, p8 AS pass_8 FROM (VALUES (0, 25.0, 51.24), (1, 50.0, NULL), (2, NULL, 75.0), (3, NULL, NULL)) v(id, p1, p8)")
-def s11(spark, sf):
-    return spark.createDataFrame(list(enumerate(CURVES)), "id int, text string").select("id", *io.curve_values(F.col("text"), [1, 8]))
+_LISTED = ["customer", "conversations"]
 
 
-@query("s12_directory_scan", "SELECT page_id FROM pages WHERE regexp_matches(url, 'example\\.(com|org)/en/')")
+@query("s12_directory_scan", " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, count(*) AS n FROM {n}" for n in _LISTED))
 def s12(spark, sf):
-    return table(spark, sf, "pages").where(F.col("url").rlike(r"example\.(com|org)/en/")).select("page_id")
+    """The tables of the folder whose names match, and how many rows their files hold."""
+    files = io.list_files(spark, sf, glob="*.parquet", keep=r"^c.*s\.parquet$|^customer", drop=r"events")
+    parts = [io.read_table(spark, f"{sf}/{r['name']}").agg(F.lit(r["name"]).alias("name"), F.count("*").alias("n")) for r in files.select("name").distinct().orderBy("name").collect()]  # tables of a folder
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("s13_s14_problem_union", "SELECT 'b' || CAST(item_id AS VARCHAR) AS question_id, text AS question, CAST(item_id AS VARCHAR) AS answer, 'bench' AS subject FROM benchmark UNION ALL SELECT CAST(doc_id AS VARCHAR), text, CAST(n_chars AS VARCHAR), lang FROM documents")
@@ -97,15 +118,19 @@ def s17(spark, sf):
     return traces(spark, sf).groupBy("question_id").agg(F.min("ord").alias("ord"), F.min_by(F.substring("trace", 1, 100), "ord").alias("head"))
 
 
-@query("s18_mock_traces", "SELECT CAST(q AS VARCHAR) AS question_id, CAST(q AS VARCHAR) || ' <answer>' || CAST(i AS VARCHAR) || '</answer>' AS trace FROM range(1, 3) a(q), range(4) b(i)")
+@query("s18_mock_traces", f"WITH {TRACES}, q AS (SELECT DISTINCT question_id FROM traces) SELECT question_id, question_id || ' <answer>' || CAST(i AS VARCHAR) || '</answer>' AS trace FROM q, range(4) b(i)")
 def s18(spark, sf):
-    q = spark.range(1, 3).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return q.select(F.col("id").cast("string").alias("question_id"), F.concat(F.col("id"), F.lit(" <answer>"), F.col("i"), F.lit("</answer>")).alias("trace"))
+    return io.mock_traces(traces(spark, sf).select("question_id").distinct(), "question_id", 4)
 
 
-@query("s20_count_contract", "SELECT count(*) AS n FROM embeddings")
+@query("s20_count_contract", "SELECT label, count(*) AS n, CAST(min(vec_id) AS BIGINT) AS least, false AS first_reused, true AS again_reused FROM embeddings GROUP BY label")
 def s20(spark, sf):
-    return table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
+    """A result computed once and scanned the second time, as its inputs, parameters and rows are the same."""
+    path, source = io.scratch(spark), table(spark, sf, "embeddings")
+    compute = lambda: source.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    _, first = io.scan_or_compute(spark, path, source, {"by": "label"}, compute)
+    held, again = io.scan_or_compute(spark, path, source, {"by": "label"}, compute)
+    return held.select("label", "n", "least", F.lit(first).alias("first_reused"), F.lit(again).alias("again_reused"))
 
 
 @query("k2_plain_write", "SELECT doc_id, source, n_chars FROM documents")
@@ -232,23 +257,40 @@ def p18(spark, sf):
     return gens(spark, sf).where(draw(0, F.col("question_id")) % 4 == 0).select("ord", "question_id")
 
 
-RUNS = ["alpha-one-base_checkpoint-120-bench-eosfix", "alpha-one_checkpoint-80-bench", "alpha-one_checkpoint-200-bench-eosfix", "alpha-one-4b-final_checkpoint-20-bench-eosfix", "alpha-two_checkpoint-x-bench", "alpha-one_checkpoint-9-bench-single-style_2", "zeta"]
-SPECS = [("A", "one", "1x", "bench", "alpha-one*_checkpoint-*-bench"), ("B", "one-base", "1x", "bench", "alpha-one-base*_checkpoint-*-bench"), ("A", "two", "2x", "bench", "alpha-two_checkpoint-*-bench")]
+#: Specs of some sources: a wide pattern for each, and a longer one for one language.
+SPECS = [(f"src{k}", "any", "1x", "bench", f"src{k}-*_checkpoint-*-bench") for k in range(4)] + [(f"src{k}", "en", "1x", "bench", f"src{k}-en_checkpoint-*-bench") for k in range(4)]
+_STEP = "CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE CAST(doc_id AS VARCHAR) END"
+RUNSQL = f"runs AS (SELECT doc_id, source, lang, source || '-' || lang || CASE WHEN doc_id % 9 = 0 THEN '-4b-final' ELSE '' END || '_checkpoint-' || {_STEP} || '-bench' || CASE WHEN doc_id % 11 = 0 THEN '-single-style_2' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '-eosfix' ELSE '' END AS eval_dir FROM documents)"
+_RESOLVED = f"""{RUNSQL}, resolved AS (SELECT DISTINCT eval_dir, source AS arm, CASE WHEN lang = 'en' AND doc_id % 9 <> 0 THEN 'en' ELSE 'any' END AS student, CAST(CASE WHEN doc_id % 13 = 0 THEN -1 ELSE doc_id END AS INTEGER) AS ckpt_step,
+ CASE WHEN doc_id % 2 = 0 THEN 'eosfix' ELSE 'legacy' END AS protocol FROM runs WHERE source IN ('src0', 'src1', 'src2', 'src3') AND doc_id % 11 <> 0)"""
+
+
+def runs(spark, sf):
+    """Names of runs made from documents' sources, languages and ids."""
+    d = F.col("doc_id")
+    name = F.concat(
+        "source", F.lit("-"), "lang", F.when(d % 9 == 0, "-4b-final").otherwise(""), F.lit("_checkpoint-"), F.when(d % 13 == 0, "x").otherwise(d.cast("string")), F.lit("-bench"), F.when(d % 11 == 0, "-single-style_2").otherwise(""), F.when(d % 2 == 0, "-eosfix").otherwise("")
+    )
+    return table(spark, sf, "documents").select(name.alias("eval_dir"))
+
+
+def specs(spark):
+    return spark.createDataFrame(SPECS, "arm string, student string, scale string, benchmark string, pattern string")
 
 
-@query("p20_p21_registry_resolve", """SELECT * FROM (VALUES ('alpha-one-base_checkpoint-120-bench-eosfix', 'B', 'one-base', 120, 'eosfix'), ('alpha-one_checkpoint-80-bench', 'A', 'one', 80, 'legacy'), ('alpha-one_checkpoint-200-bench-eosfix', 'A', 'one', 200, 'eosfix'),
- ('alpha-one-4b-final_checkpoint-20-bench-eosfix', 'A', 'one', 20, 'eosfix'), ('alpha-two_checkpoint-x-bench', 'A', 'two', -1, 'legacy')) v(eval_dir, arm, student, ckpt_step, protocol)""")
+@query("p20_p21_registry_resolve", f"WITH {_RESOLVED} SELECT eval_dir, arm, student, ckpt_step, protocol FROM resolved")
 def p20(spark, sf):
-    runs = spark.createDataFrame([(r,) for r in RUNS], "eval_dir string")
-    specs = spark.createDataFrame(SPECS, "arm string, student string, scale string, benchmark string, pattern string")
-    return RG.resolve(runs, specs).select("eval_dir", "arm", "student", "ckpt_step", "protocol")
+    return RG.resolve(runs(spark, sf), specs(spark)).select("eval_dir", "arm", "student", "ckpt_step", "protocol")
 
 
-@query("p22_protocol", "SELECT * FROM (VALUES (1, 'eosfix'), (2, 'legacy'), (3, 'eosfix'), (4, 'eosfix'), (5, 'legacy')) v(id, protocol)")
+@query("p22_protocol", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'eosfix' WHEN 1 THEN 'legacy' WHEN 2 THEN 'eosfix' WHEN 3 THEN 'eosfix' ELSE 'legacy' END AS protocol FROM documents")
 def p22(spark, sf):
-    rows = [(1, "a", '{"eos_fix": true}', None), (2, "a-eosfix", '{"eos_fix": false}', None), (3, "a-eosfix", "{}", None), (4, "a", None, '{"finish_reason": "stop"}'), (5, "a", "not json", '{"x": 1}')]
-    df = spark.createDataFrame(rows, "id int, name string, result string, head string")
-    return df.select("id", RG.protocol(F.col("name"), F.col("result"), F.col("head")).alias("protocol"))
+    """The flag in the result decides before the name, the name before the first generation."""
+    k = F.col("doc_id") % 5
+    name = F.concat("source", F.when(k.isin(1, 2), "-eosfix").otherwise(""))
+    result = F.when(k == 0, '{"eos_fix": true}').when(k == 1, '{"eos_fix": false}').when(k == 2, "{}").when(k == 4, "not json")
+    head = F.when(k == 3, F.to_json(F.struct(F.lit("stop").alias("finish_reason"), "lang"))).when(k == 4, F.to_json(F.struct("lang")))
+    return table(spark, sf, "documents").select("doc_id", RG.protocol(name, result, head).alias("protocol"))
 
 
 @query("p23_name_cascade", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'English' WHEN contains(url, '/fr/') THEN 'French' WHEN regexp_matches(url, '/(de|es)/') THEN 'Other' ELSE url END AS label FROM pages")
@@ -259,13 +301,12 @@ def p23(spark, sf):
 BOOLS = ["true", " YES", "1", "no", "False", "0", "y", "n", "maybe"]
 
 
-@query("p24_parse_bool", "SELECT s, CASE WHEN lower(trim(s)) IN ('1', 'true', 'yes', 'y') THEN true WHEN lower(trim(s)) IN ('0', 'false', 'no', 'n') THEN false END AS b FROM (VALUES " + ", ".join(f"({quoted(b)})" for b in BOOLS) + ") v(s)")
+@query("p24_parse_bool", "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 6 THEN true WHEN 8 THEN NULL ELSE false END AS b, CASE quality WHEN 1 THEN true WHEN 0 THEN false END AS quality FROM labels")
 def p24(spark, sf):
-    return spark.createDataFrame([(b,) for b in BOOLS], "s string").select("s", RG.parse_bool(F.col("s")).alias("b"))
+    told = F.element_at(F.array(*[F.lit(b) for b in BOOLS]), (F.col("doc_id") % 9 + 1).cast("int"))
+    return table(spark, sf, "labels").select("doc_id", RG.parse_bool(told).alias("b"), RG.parse_bool(F.concat(F.lit(" "), F.col("quality").cast("string"))).alias("quality"))
 
 
-@query("g19_a25_best_run", "SELECT * FROM (VALUES ('A', 'one', 'bench', 'alpha-one-4b-final_checkpoint-20-bench-eosfix'), ('B', 'one-base', 'bench', 'alpha-one-base_checkpoint-120-bench-eosfix')) v(arm, student, benchmark, eval_dir)")
+@query("g19_a25_best_run", f"WITH {_RESOLVED} SELECT arm, student, 'bench' AS benchmark, arg_min(eval_dir, (NOT contains(eval_dir, '4b-final'), -ckpt_step, eval_dir)) AS eval_dir FROM resolved WHERE protocol = 'eosfix' GROUP BY arm, student")
 def g19(spark, sf):
-    runs = spark.createDataFrame([(r,) for r in RUNS], "eval_dir string")
-    specs = spark.createDataFrame(SPECS, "arm string, student string, scale string, benchmark string, pattern string")
-    return RG.best(RG.resolve(runs, specs).where("protocol = 'eosfix'"), ["arm", "student", "benchmark"], "4b-final").select("arm", "student", "benchmark", "eval_dir")
+    return RG.best(RG.resolve(runs(spark, sf), specs(spark)).where("protocol = 'eosfix'"), ["arm", "student", "benchmark"], "4b-final").select("arm", "student", "benchmark", "eval_dir")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import parse as X
 from ..functions import text as T
 from .registry import query
-from .views import MSGS, TEXTS, TRACES, msgs, quoted, texts, traces
+from .views import MSGS, TEXTS, TRACES, msgs, quoted, table, texts, traces
 
 _n = lambda p, flags="i": f"CAST(len(regexp_extract_all(t, '(?{flags}){p.replace(chr(39), chr(39) * 2)}')) AS DOUBLE)"
 _lit = lambda s: f"CAST((length(t) - length(replace(t, '{s}', ''))) / {len(s)} AS DOUBLE)"
@@ -45,8 +45,8 @@ def x1(spark, sf):
     return texts(spark, sf).select("id", X.boxed_answer(F.col("text")).alias("answer")).where("answer <> ''")
 
 
-MATH_ROWS = [r"$\dfrac{1}{2}$", r"\frac{\frac{1}{2}}{3}", r"2\sqrt{3}", r"\text{ab} \left( x \right)", r"3^2 \pi", "1, 2", "(1,\\, 2)", r"\mathrm{cm}\! 5"]
-MATHS = "maths AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(t)})" for k, t in enumerate(MATH_ROWS)) + ") v(id, s))"
+MATH_ROWS = [r"$\dfrac{@}{2}$", r"\frac{\frac{1}{@}}{3}", r"2\sqrt{@}", r"\text{ab} \left( @ \right)", r"3^@ \pi", "@, 2", "(@,\\, 2)", r"\mathrm{cm}\! @"]
+MATHS = "maths AS (SELECT doc_id AS id, replace(CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in enumerate(MATH_ROWS)) + " END, '@', CAST(doc_id AS VARCHAR)) AS s FROM documents)"
 _STRIP = r"""replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(s, '$', ''), '\\text\{([^}]*)\}', '\1', 'g'), '\\mathrm\{([^}]*)\}', '\1', 'g'), '\\textbf\{([^}]*)\}', '\1', 'g'), '\\left|\\right', '', 'g'), '\,', ''), '\!', ''), '\s+', '', 'g'), '\dfrac', '\frac')"""
 _FRAC = _STRIP
 for _ in range(4):  # the rows above nest two commands
@@ -54,41 +54,58 @@ for _ in range(4):  # the rows above nest two commands
 _EXPR = rf"replace(replace(replace(replace(regexp_replace(regexp_replace({_FRAC}, '(\d)\\sqrt\{{([^{{}}]+)\}}', '\1*sqrt(\2)', 'g'), '\\sqrt\{{([^{{}}]+)\}}', 'sqrt(\1)', 'g'), '\pi', 'pi'), '^', '**'), '{{', '('), '}}', ')')"
 
 
-def maths(spark):
-    return spark.createDataFrame(list(enumerate(MATH_ROWS)), "id int, s string")
+def maths(spark, sf):
+    """A formula for each document, with its id as a number in it."""
+    form = F.element_at(F.array(*[F.lit(t) for t in MATH_ROWS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.replace(form, F.lit("@"), F.col("doc_id").cast("string")).alias("s"))
 
 
 @query("x2_x3_x4_math_normalise", f"WITH {MATHS} SELECT id, {_STRIP} AS stripped, {_FRAC} AS fractions, {_EXPR} AS expression FROM maths")
 def x234(spark, sf):
     s = F.col("s")
-    return maths(spark).select("id", X.strip_math(s).alias("stripped"), X.fractions(X.strip_math(s)).alias("fractions"), X.expression(s).alias("expression"))
+    return maths(spark, sf).select("id", X.strip_math(s).alias("stripped"), X.fractions(X.strip_math(s)).alias("fractions"), X.expression(s).alias("expression"))
 
 
-@query("x5_split_tuple", "SELECT id, CASE WHEN id = 6 THEN '1|2' END AS parts FROM range(8) t(id)")
+@query("x5_split_tuple", "SELECT doc_id AS id, CASE doc_id % 8 WHEN 6 THEN CAST(doc_id AS VARCHAR) || '|2' END AS parts, lang || '|{' || source || ',x}|(1,2)' AS nested FROM documents")
 def x5(spark, sf):
-    return maths(spark).select("id", F.array_join(X.split_tuple(F.col("s")), "|").alias("parts"))
+    nested = F.concat(F.lit("("), "lang", F.lit(", {"), "source", F.lit(",x}, (1,2))"))
+    both = maths(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), nested.alias("nested")), "id")
+    return both.select("id", F.array_join(X.split_tuple(F.col("s")), "|").alias("parts"), F.array_join(X.split_tuple(F.col("nested")), "|").alias("nested"))
 
 
-PAIRS = [("\\boxed{42}", "42"), ("the answer is \\boxed{\\frac{1}{2}}", "0.5"), ("(1, 2)", "(1,2)"), ("2\\sqrt{2}", "\\sqrt{8}"), ("3", "4"), ("x", ""), ("\\frac{2}{4}", "\\dfrac{1}{2}"), ("(1, \\frac{1}{2})", "(1, 0.5)"), ("2^3", "8"), ("\\pi", "3.14159265"), ("1000000", "1000001"), ("abc", "abc ")]
+#: Predictions and golds over the numbers a and b of a document, with the way they match, worked out by hand. ``@`` is the document's text.
+PAIRS = [
+    ("@ so \\boxed{(x+<a>)*(x-<a>)}", "x^2-<aa>", "symbolic"), ("@ \\boxed{x^2-<aa>-1}", "(x+<a>)*(x-<a>)", None), ("@ \\boxed{\\frac{y}{<a>}+\\frac{y}{<b>}}", "<sum>*y/<ab>", "symbolic"),
+    ("@ \\boxed{\\frac{<a>}{<b>}}", "\\dfrac{<aa>}{<ab>}", "exact_value"), ("(<a>, <b>)", "(<a>,<b>)", "text"), ("(\\frac{<a>}{<b>}, x+1)", "(<aa>/<ab>, 1 + x)", "tuple"), ("\\boxed{<a>\\sqrt{x}}", "\\sqrt{<aa>*x}", "symbolic"),
+    ("@ \\boxed{<a>} or \\boxed{<b>}", "<b>", "text"), ("\\sqrt{<aa>*3}", "<a>\\sqrt{3}", "numeric"), ("x+<a>", "y+<a>", None), ("<a>", "<a>.5", None), ("\\frac{x^2+<a>*x}{x+<a>}", "x", "symbolic"),
+]
+_PAIR_NUMBERS = {"a": "a", "b": "b", "aa": "a * a", "ab": "a * b", "sum": "a + b"}
 
 
-#: How each of PAIRS matches, worked out by hand.
-STAGES = ["text", "exact_value", "text", "numeric", None, None, "exact_value", "tuple", "exact_value", "numeric", None, "text"]
+@query("x6_answers_match", f"SELECT id, stage IS NOT NULL AS matched, stage FROM (SELECT doc_id AS id, CASE doc_id % {len(PAIRS)} " + " ".join(f"WHEN {k} THEN {quoted(t) if t else 'NULL'}" for k, (_, _, t) in enumerate(PAIRS)) + " END AS stage FROM documents)")
+def x6(spark, sf):
+    """Every document's text with an answer at its end, graded against another form of it."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 7 + 2).alias("a"), (F.col("doc_id") % 5 + 1).alias("b"))
 
+    def filled(side: int):
+        out = F.element_at(F.array(*[F.lit(p[side]) for p in PAIRS]), (F.col("doc_id") % len(PAIRS) + 1).cast("int"))
+        for name, e in _PAIR_NUMBERS.items():
+            out = F.replace(out, F.lit(f"<{name}>"), F.expr(e).cast("string"))
+        return F.replace(out, F.lit("@"), F.col("text"))
 
-@query("x6_answers_match", "SELECT id, stage IS NOT NULL AS matched, stage FROM (VALUES " + ", ".join(f"({k}, {quoted(t) if t else 'NULL'})" for k, t in enumerate(STAGES)) + ") v(id, stage)")
-def x6(spark, sf):
-    df = spark.createDataFrame([(k, *p) for k, p in enumerate(PAIRS)], "id int, prediction string, gold string")
-    return df.withColumn("g", X.grade("prediction", "gold")).select("id", F.col("g.matched").alias("matched"), F.col("g.stage").alias("stage"))
+    graded = d.select("doc_id", filled(0).alias("prediction"), filled(1).alias("gold")).withColumn("g", X.grade("prediction", "gold"))
+    return graded.select(F.col("doc_id").alias("id"), F.col("g.matched").alias("matched"), F.col("g.stage").alias("stage"))
 
 
-@query("x8_x9_x10_normalise_answer", f"""WITH {TRACES}, r AS (SELECT * FROM (VALUES (1, '142.0'), (2, '7.50'), (3, '{{:}}x'), (4, 'work #### 1,234'), (5, '<answer> 17 </answer>'), (6, '12:30'), (7, '5.000')) v(id, s))
- SELECT id, CASE WHEN regexp_matches(s, '^-*\\d+\\.0$') THEN regexp_replace(s, '\\.0$', '') ELSE replace(replace(s, '{{:', ':'), ':}}', ':') END AS normalised, CASE WHEN contains(s, '####') THEN trim(replace(string_split(s, '####')[-1], ',', '')) ELSE s END AS tail,
- CASE WHEN regexp_matches(s, '(?i)<answer>\\s*(.*?)\\s*</answer>') THEN regexp_extract(s, '(?i)<answer>\\s*(.*?)\\s*</answer>', 1) ELSE 'Unknown' END AS tagged FROM r""".replace("\\\\", "\\"))
+@query("x8_x9_x10_normalise_answer", """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN CAST(n_chars AS VARCHAR) || '.50' WHEN 2 THEN CAST(doc_id AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR) ELSE CAST(n_chars AS VARCHAR) END AS normalised,
+ CASE WHEN doc_id % 3 = 0 THEN regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') ELSE CAST(n_chars AS VARCHAR) || '000' END AS tail, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'Unknown' END AS tagged FROM documents""".replace("\\\\", "\\"))
 def x8(spark, sf):
-    rows = [(1, "142.0"), (2, "7.50"), (3, "{:}x"), (4, "work #### 1,234"), (5, "<answer> 17 </answer>"), (6, "12:30"), (7, "5.000")]
-    s = F.col("s")
-    return spark.createDataFrame(rows, "id int, s string").select("id", X.normalise_answer(s).alias("normalised"), X.hash_tail(s).alias("tail"), X.tagged_answer(s).alias("tagged"))
+    """Numbers, clock times, marked tails and tags put around the documents."""
+    d, n, text = F.col("doc_id"), F.col("n_chars").cast("string"), F.coalesce("text", F.lit(""))
+    told = F.when(d % 4 == 0, F.concat(F.lit(" "), n, F.lit(".0"))).when(d % 4 == 1, F.concat(n, F.lit(".50"))).when(d % 4 == 2, F.concat(d.cast("string"), F.lit("{:}"), n)).otherwise(n)
+    tail = F.when(d % 3 == 0, text).otherwise(F.concat(text, F.lit(" #### "), n, F.lit(",000 ")))
+    tag = F.when(d % 2 == 0, F.concat(text, F.lit("\n<ANSWER> "), d.cast("string"), F.lit("  </Answer> <answer>no</answer>"))).otherwise(text)
+    return table(spark, sf, "documents").select(d.alias("id"), X.normalise_answer(told).alias("normalised"), X.hash_tail(tail).alias("tail"), X.tagged_answer(tag).alias("tagged"))
 
 
 @query("x11_x12_x13_prefix", rf"""WITH {TEXTS}, p AS (SELECT id, 'style_' || CAST(abs(id) % 6 + 1 AS VARCHAR) AS style, coalesce(text, '') AS text FROM texts)
@@ -100,9 +117,11 @@ def x11(spark, sf):
     return p.select("id", hard.alias("hard"), X.with_prefix(F.col("style"), F.col("text"), "special").alias("special"), X.without_prefix(F.col("text")).alias("stripped"), X.respelled(hard).alias("respelled"))
 
 
-@query("x14_special_tokens", "SELECT '<style_' || CAST(i AS VARCHAR) || '>' AS token FROM range(1, 10) t(i)")
+@query("x14_special_tokens", "SELECT lang, '<style_' || CAST(unnest(range(1, count(DISTINCT source) + 1)) AS VARCHAR) || '>' AS token FROM documents GROUP BY lang")
 def x14(spark, sf):
-    return spark.range(1).select(F.explode(X.special_tokens(9)).alias("token"))
+    """The tokens that each language's sources need."""
+    per = table(spark, sf, "documents").groupBy("lang").agg(F.countDistinct("source").alias("k"))
+    return per.select("lang", F.explode(X.special_tokens(F.col("k"))).alias("token"))
 
 
 @query("x15_x16_constant_prefix", rf"""WITH {TEXTS}, t AS (SELECT id, coalesce(text, '') AS text FROM texts) SELECT id, '[style_1]' || chr(10) || regexp_replace(text, '^(?:\[[^\]]+\]|<(style_\d+)>)\n', '') AS constant, regexp_replace('[dfs] ' || text, '(?i)^\[(?:DFS|BFS)\]\s*', '') AS no_legacy FROM t""")

@@ -76,20 +76,41 @@ def first_text(*cols: str, most: int = 2000) -> Column:
 
 
 def contiguous(shards: DataFrame, total: int | None = None) -> DataFrame:
-    """Shard ranges in order; raises unless each starts where the one before ends."""
-    from pyspark.sql import Window as W
+    """Shard ranges (row_start, row_end); raises unless each starts where another ends, from 0 on, without overlap.
 
-    rows = shards.withColumn("_before", F.lag("row_end", 1, 0).over(W.orderBy("row_start")))  # one row for each shard
-    bad = rows.where("row_start <> _before").limit(1).collect()
+    Starts meet ends in a join, so no task holds the order of all shards.
+    """
+    ends = shards.select(F.col("row_end").alias("row_start")).distinct()
+    bad = shards.where("row_start <> 0").join(ends, "row_start", "left_anti").orderBy("row_start").limit(1).collect()
     if bad:
         raise ContractError(f"shards are not contiguous at {bad[0].asDict()}")
-    if total is not None and shards.agg(F.max("row_end")).first()[0] != total:
+    last, held = shards.agg(F.max("row_end"), F.sum(F.col("row_end") - F.col("row_start"))).first()
+    if held != last:
+        raise ContractError(f"shards overlap or leave rows out: {held} rows up to {last}")
+    if total is not None and last != total:
         raise ContractError("shards do not cover the table")
-    return rows.drop("_before")
+    return shards
 
 
-def read_vectors(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A matrix of an ``.npz`` file as rows (row, vector). One task holds one file."""
+def write_matrices(df: DataFrame, shard: str, row: str, vector: str, name: str, path: str) -> None:
+    """Each shard's vectors in row order as one ``.npz`` archive, in a table (shard, content). A shard is one value, so shards should have a fixed size."""
+
+    def run(key, rows):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        held = io.BytesIO()
+        np.savez(held, **{name: np.array(rows.sort_values(row)[vector].tolist(), np.float64)})
+        return pd.DataFrame({shard: [key[0]], "content": [held.getvalue()]})
+
+    kind = df.schema[shard].dataType.simpleString()
+    df.select(shard, row, vector).groupBy(shard).applyInPandas(run, f"{shard} {kind}, content binary").write.mode("overwrite").parquet(path)
+
+
+def read_matrices(files: DataFrame, name: str, *keep: str) -> DataFrame:
+    """The matrix ``name`` of each archive in the column ``content`` as rows (row, vector) beside the columns ``keep``. One task holds one archive."""
 
     def run(frames):
         import io
@@ -98,11 +119,58 @@ def read_vectors(spark: SparkSession, path: str, name: str) -> DataFrame:
         import pandas as pd
 
         for f in frames:
-            for raw in f["content"]:
-                m = np.load(io.BytesIO(raw), allow_pickle=False)[name]
-                yield pd.DataFrame({"row": np.arange(len(m)), "vector": [r.tolist() for r in m.astype(np.float64)]})
+            for k in range(len(f)):
+                m = np.load(io.BytesIO(f["content"].iloc[k]), allow_pickle=False)[name]
+                yield pd.DataFrame({**{c: [f[c].iloc[k]] * len(m) for c in keep}, "row": np.arange(len(m)), "vector": [r.tolist() for r in m.astype(np.float64)]})
+
+    kinds = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in keep)
+    return files.select("content", *keep).mapInPandas(run, f"{kinds}row bigint, vector array<double>")
+
+
+def read_vectors(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A matrix of the ``.npz`` files at a path as rows (row, vector)."""
+    return read_matrices(spark.read.format("binaryFile").load(path), name)
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*", keep: str = "", drop: str | None = None) -> DataFrame:
+    """(name, path, bytes) of the files below ``root`` whose first folder or file name matches ``keep`` and not ``drop``.
+
+    ``glob`` prunes file names in the listing; contents are not read. A table that is a folder has a row for each of its files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    # the names below the root, whatever scheme the store puts before it
+    below = F.regexp_extract("path", "/" + r"\Q" + root.rstrip("/").rsplit("/", 1)[-1] + r"\E" + r"/([^/]+)", 1)
+    rows = files.select(below.alias("name"), "path", F.col("length").alias("bytes")).where(F.col("name").rlike(keep))
+    return rows.where(~F.col("name").rlike(drop)) if drop else rows
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row bigint, vector array<double>")
+
+def mock_traces(questions: DataFrame, key: str, each: int) -> DataFrame:
+    """``each`` traces for every question, whose answers are numbered."""
+    rows = questions.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    return rows.select(key, F.concat(F.col(key).cast("string"), F.lit(" <answer>"), F.col("_i").cast("string"), F.lit("</answer>")).alias("trace"))
+
+
+def scan_or_compute(spark: SparkSession, path: str, source: DataFrame, parameters: dict, compute) -> tuple[DataFrame, bool]:
+    """The table at ``path`` if it was made from the same files of ``source`` with the same parameters and still
+    has its rows, else ``compute()`` written there. Returns it and whether it was reused.
+
+    The fingerprint holds the parameters, the plan's columns and every file's path, size and time of change.
+    """
+    import json
+
+    files = spark.read.format("binaryFile").load(source.inputFiles()) if source.inputFiles() else None
+    marks = "" if files is None else files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "length", "modificationTime"))), "\n"), 256)).first()[0]
+    text = json.dumps([parameters, source.schema.simpleString(), marks], sort_keys=True, default=str)
+    held = done_mark(spark, path)
+    if held and held["path"] == text:
+        table = spark.read.parquet(path)
+        if table.count() == held["rows"]:
+            return table, True
+    remove(spark, f"{path}.done")  # a computation that breaks off leaves no valid marker
+    compute().write.mode("overwrite").parquet(path)
+    table = spark.read.parquet(path)
+    mark_done(spark, path, table.count(), text)
+    return table, False
 
 
 def curve_values(text: Column, budgets: list[int]) -> list[Column]:
@@ -167,17 +235,33 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.schema(df.schema).json(path).count()
 
 
-def mark_done(spark: SparkSession, path: str, rows: int) -> None:
-    """K5: a marker beside a finished table with its number of rows."""
-    spark.createDataFrame([(path, rows)], "path string, rows bigint").coalesce(1).write.mode("overwrite").json(f"{path}.done")
+def write_lines(df: DataFrame, path: str) -> None:
+    """Text lines as they are, from a table's only column."""
+    df.write.mode("overwrite").text(path)
 
 
-def done_rows(spark: SparkSession, path: str) -> int | None:
-    """The rows of a finished table, or null where no marker is."""
+def mark_done(spark: SparkSession, path: str, rows: int, what: str | None = None) -> None:
+    """K5: a marker beside a finished table with its number of rows, and what it was made from."""
+    spark.createDataFrame([(what or path, rows)], "path string, rows bigint").coalesce(1).write.mode("overwrite").json(f"{path}.done")
+
+
+def done_mark(spark: SparkSession, path: str):
+    """The marker's row, or null where no marker is."""
     name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.done/_SUCCESS")
     if not name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name):
         return None
-    return spark.read.schema("path string, rows bigint").json(f"{path}.done").first()["rows"]
+    return spark.read.schema("path string, rows bigint").json(f"{path}.done").first()
+
+
+def done_rows(spark: SparkSession, path: str) -> int | None:
+    """The rows of a finished table, or null where no marker is."""
+    mark = done_mark(spark, path)
+    return mark["rows"] if mark else None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def write_meta(df: DataFrame, path: str) -> None:
