@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import nearest_centroid, unit, vector_mean
+from ..functions.vectors import unit, vector_mean
 from .sampling import split_by_key
 
 REG = 1e-3
@@ -211,125 +211,6 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, most: int = 5000)
     return drawn.select(F.col(label).cast("long"), vec).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
-def size_candidates(n: int) -> list[int]:
-    """Minimal cluster sizes to try: about 0.2 % to 5 % of the rows, at least 5."""
-    return sorted({max(5, int(n * f)) for f in (0.002, 0.005, 0.01, 0.02, 0.05)})
-
-
-def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
-    """Density clusters by excess of mass over the tree of mutual reachability; -1 is noise.
-
-    Works on a bounded sample in memory.
-    """
-    n, near = len(x), max(2, least // 2)
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    core = np.partition(d, min(near, n - 1), axis=1)[:, min(near, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    best, link, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    edges, at = [], 0
-    for _ in range(n - 1):  # Prim's tree
-        inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
-        nxt = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[nxt], link[nxt], nxt))
-        at = nxt
-    parent, members = list(range(n)), {i: [i] for i in range(n)}
-    born: dict[int, float] = {}
-    mass: dict[int, float] = {}
-    kids: dict[int, list[int]] = {}
-    cluster: dict[int, int | None] = {i: None for i in range(n)}
-    held: dict[int, np.ndarray] = {}
-    serial = 0
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def close(c, lam):  # a cluster ends going upwards: what stayed in it counts from here
-        mass[c] += len(held[c]) * (0 - lam)
-        born[c] = lam
-
-    for w, a, b in sorted(edges):
-        lam, ra, rb = 1 / max(w, 1e-12), root(a), root(b)
-        ca, cb = cluster[ra], cluster[rb]
-        joined = members[ra] + members[rb]
-        if ca is not None and cb is not None:
-            for c in (ca, cb):
-                close(c, lam)
-            kids[serial], mass[serial], held[serial] = [ca, cb], lam * len(joined), np.array(joined)
-            new, serial = serial, serial + 1
-        elif ca is not None or cb is not None:
-            new = ca if ca is not None else cb
-            small = members[rb] if ca is not None else members[ra]
-            mass[new] += lam * len(small)
-            held[new] = np.array(joined)
-        elif len(joined) >= least:
-            kids[serial], mass[serial], held[serial] = [], lam * len(joined), np.array(joined)
-            new, serial = serial, serial + 1
-        else:
-            new = None
-        parent[rb] = ra
-        members[ra], cluster[ra] = joined, new
-    pick: dict[int, bool] = {}
-    value: dict[int, float] = {}
-    for c in range(serial - 1):  # the last is the whole, which is no cluster
-        below = sum(value[k] for k in kids[c])
-        pick[c], value[c] = mass[c] >= below, max(mass[c], below)
-    labels, count = np.full(n, -1), 0
-    top = kids.get(serial - 1, []) if serial else []
-    stack = list(top)
-    while stack:
-        c = stack.pop()
-        if pick.get(c):
-            labels[held[c]] = count
-            count += 1
-        else:
-            stack += kids[c]
-    return labels
-
-
-def sample_silhouette(x: np.ndarray, lab: np.ndarray) -> float:
-    """C13 of a sample in memory, noise left out; -1 with under two clusters."""
-    x, lab = x[lab >= 0], lab[lab >= 0]
-    names = np.unique(lab)
-    if len(names) < 2:
-        return -1.0
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    sums = np.stack([d[:, lab == n].sum(axis=1) for n in names], axis=1)
-    size = np.array([(lab == n).sum() for n in names])
-    own, at = np.searchsorted(names, lab), np.arange(len(lab))
-    a = sums[at, own] / np.maximum(size[own] - 1, 1)
-    other = sums / size
-    other[at, own] = np.inf
-    b = other.min(axis=1)
-    return float(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
-
-
-def choose_density(x: np.ndarray, most_clusters: int = 20) -> np.ndarray:
-    """C11: of the candidate sizes the labels with the best silhouette among those with 2..``most_clusters`` clusters and at most a
-    tenth noise; if none is so, the best by (silhouette, -noise)."""
-    tried = [density_clusters(x, m) for m in size_candidates(len(x))]
-    scored = [(sample_silhouette(x, lab), -float((lab == -1).mean()), k) for k, lab in enumerate(tried)]
-    fits = [r for r in scored if 2 <= tried[r[2]].max() + 1 <= most_clusters and -r[1] <= 0.1]
-    return tried[max(fits or scored, key=lambda r: (r[0], r[1], -r[2]))[2]]
-
-
-def density_assign(df: DataFrame, key: str, vec: str, spark: SparkSession, most: int = 2000) -> DataFrame:
-    """Density clusters of the size that C11 chooses on at most ``most`` rows drawn by hash; every row, noise included, then goes
-    to the nearest centroid. Clusters too small for the sample are not found."""
-    rows = df.orderBy(F.xxhash64(key), key).limit(most).select(key, vec).collect()
-    x = np.array([r[vec] for r in rows])
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    lab = choose_density(x)
-    if lab.max() < 0:
-        return df.withColumn("cluster_id", F.lit(0).cast("long"))
-    found = spark.createDataFrame([(int(c), x[lab == c].mean(axis=0).tolist()) for c in range(lab.max() + 1)], "label bigint, centroid array<double>")
-    return nearest_centroid(df.withColumn("_u", unit(F.col(vec))), found, "_u", "cluster_id").drop("_u", "cluster_id_far")
-
-
 def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Mean of unit vectors for each label; noise is left out."""
     return vector_mean(df.where(F.col(label) != -1).withColumn("_u", unit(F.col(vec))), [label], "_u")

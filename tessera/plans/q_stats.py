@@ -187,10 +187,18 @@ def c8(spark, sf):
     return C.kmeans(vecs(spark, sf), "z", 4, n_init=2, seed=3).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
+def _density(spark, sf, rows):
+    from ..operators import density as D
+
+    return D, D.fit(rows, "vec_id", "z", most_noise=0.1)
+
+
 @query("c9_c10_c11_c12_density_clusters")
 def c9(spark, sf):
     """Density clusters of the chosen size, noise sent to the nearest centroid."""
-    return C.density_assign(vecs(spark, sf), "vec_id", "z", spark).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    v = vecs(spark, sf)
+    D, model = _density(spark, sf, v)
+    return D.resolved(model, D.assigned(model), v, "vec_id", "z").groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 _SIL = f"WITH {VECS}, p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(sqrt(list_sum(list_transform(list_zip(a.z, b.z), lambda q: pow(q[1] - q[2], 2))))) AS d, count(*) AS n FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM p GROUP BY vec_id) SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM s"

@@ -215,13 +215,6 @@ def test_mixture_finds_two_groups(spark):
     assert len(set(got[:60])) == len(set(got[60:])) == 1 and got[0] != got[-1]
 
 
-def test_density_clusters():
-    rng = np.random.default_rng(6)
-    x = np.vstack([rng.normal(0, 0.1, (40, 2)), rng.normal(5, 0.1, (40, 2)), rng.uniform(-20, 20, (6, 2))])
-    lab = C.density_clusters(x, 10)
-    assert len(set(lab[:40])) == len(set(lab[40:80])) == 1 and lab[0] != lab[40] and min(lab[0], lab[40]) >= 0 and (lab[80:] == -1).sum() >= 4
-
-
 # ---------------------------------------------------------------- contracts, sources, streams
 
 
@@ -271,14 +264,6 @@ def test_refit_sweep_and_saved_model(spark, tmp_path):
     assert parts.groupBy("k").count().where("count = 150").count() == 2
 
 
-def test_density_size_by_silhouette():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(0, 0.05, (60, 2)) + m for m in ([0, 0], [3, 0], [0, 3])])
-    lab = C.choose_density(x)
-    assert sorted(Counter(lab[lab >= 0]).values()) == [60, 60, 60] or (len(set(lab) - {-1}) == 3 and (lab == -1).mean() <= 0.1)
-    assert abs(C.sample_silhouette(x, np.repeat([0, 1, 2], 60)) - 0.97) < 0.03
-
-
 def test_fractions_of_any_depth(spark):
     text = "x"
     for k in range(9):
