@@ -7,7 +7,9 @@ chunk of its own, so memory follows the longest document and not the batch.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
+import sys
 import uuid
 
 import numpy as np
@@ -117,6 +119,17 @@ def chunks(col, most: int = CHUNK_BYTES):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    released()
+
+
+def released() -> None:
+    """Gives memory that is free in this Python worker back to the system: workers outlive their tasks, and what they hold counts beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
 
 
 # ---------------------------------------------------------------- hashes
@@ -227,6 +240,7 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str, parts: int | None =
                 size = sum(b.nbytes for b in held)
         if held:
             yield from fn(pa.Table.from_batches(held))
+        released()
 
     return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
