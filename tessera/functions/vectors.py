@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,20 +195,28 @@ def linear_cka(df: DataFrame, a: str, b: str) -> DataFrame:
     return ab.select(F.col("s").alias("ab")).crossJoin(aa.select(F.col("s").alias("aa"))).crossJoin(bb.select(F.col("s").alias("bb"))).select((F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("cka"))  # one row each
 
 
-def procrustes(df: DataFrame, a: str, b: str) -> float:
-    """Disparity 2 - 2 * (sum of singular values) of the cross product of centred tables of unit norm.
+def principal(df: DataFrame, vec: str, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading principal axes of a vector column (dims x components) and their variances, from its summed Gram blocks.
 
-    Only the dims x dims cross product and two traces reach the driver.
+    Only the dims x dims matrix reaches the driver. An axis points where its largest part is positive.
     """
-    import numpy as np
+    rows = cross_moments(df, vec, vec).orderBy("i").collect()
+    values, axes = np.linalg.eigh(np.array([r["row"] for r in rows]) / rows[0]["n"])
+    order = np.argsort(-values, kind="stable")[:components]
+    axes = axes[:, order]
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]), np.maximum(values[order], 0)
+
 
-    def trace(x):
-        d = df.select(F.posexplode(x).alias("i", "p")).groupBy("i").agg(F.var_pop("p").alias("v"))
-        return d.agg(F.sum("v")).first()[0]
+def procrustes(df: DataFrame, a: str, b: str, components: int = 64) -> float:
+    """Disparity 2 - 2 * (sum of singular values) between the leading ``components`` principal parts of two tables, centred and of unit norm.
 
+    The cross product of the reduced columns is that of the whole ones between both sets of axes, so
+    no row is projected; three dims x dims matrices reach the driver.
+    """
     rows = cross_moments(df, a, b).orderBy("i").collect()
     ab = np.array([r["row"] for r in rows]) / rows[0]["n"]
-    return float(2 - 2 * np.linalg.svd(ab / np.sqrt(trace(a) * trace(b)), compute_uv=False).sum())
+    (pa, va), (pb, vb) = (principal(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), x, components) for x in (a, b))
+    return float(2 - 2 * np.linalg.svd(pa.T @ ab @ pb / np.sqrt(va.sum() * vb.sum()), compute_uv=False).sum())
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str, name: str, how: str = "dot") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.vectors import nearest_centroid
 from . import passk, stats
-from .ranks import name_clusters, rank_quartile
+from .ranks import beside, name_clusters, quantiles, rank_quartile
 from .sampling import draw, random_halves
 
 
@@ -74,12 +74,13 @@ def text_separation(df: DataFrame, styles: list[str], text: str, key: str, featu
 
     docs = df.select("question_id", "prefix_style").distinct()
     full = docs.groupBy("question_id").agg(F.count("*").alias("s")).where(F.col("s") == len(styles))
-    rows = df.join(F.broadcast(full.select("question_id")), "question_id", "left_semi").withColumn("doc", F.concat_ws("/", "question_id", "prefix_style"))  # one row a question, so that texts stay in place
+    rows = df.join(full.select("question_id"), "question_id", "left_semi").withColumn("doc", F.concat_ws("/", "question_id", "prefix_style"))
     x = weights(joined_terms(rows, "doc", key, text), rows, "doc", features).withColumn("question_id", F.split("doc", "/")[0])
     per = pair_distances(x, "doc", "question_id").groupBy("question_id").agg((F.sum("distance")).alias("s"), F.count("*").alias("c"))
     pairs = len(styles) * (len(styles) - 1) / 2
     d = full.select(F.col("question_id").cast("string")).join(per, "question_id", "left").select(((F.coalesce("s", F.lit(0.0)) + (pairs - F.coalesce("c", F.lit(0)))) / pairs).alias("d"))  # pairs without a common term are 1 apart
-    return d.agg(F.count("*").alias("n_questions"), F.avg("d").alias("mean_distance"), F.percentile("d", F.lit(0.5)).alias("median_distance"), rate(F.col("d") < 0.05).alias("collapse_rate"))
+    whole = d.agg(F.count("*").alias("n_questions"), F.avg("d").alias("mean_distance"), rate(F.col("d") < 0.05).alias("collapse_rate"))
+    return beside(whole, quantiles(d, [], "d", {"median_distance": 0.5}), [])
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -143,15 +144,16 @@ def cell_rates(df: DataFrame, style: str = "prefix_style") -> DataFrame:
 def usefulness(df: DataFrame, styles: int, least: int) -> DataFrame:
     """Over questions with ``least`` samples of every style: gap of the best style over the mean, its quartiles and shares over 0.05 and 0.1."""
     q = cell_rates(df).groupBy("question_id").agg(F.count("*").alias("s"), F.min("n").alias("m"), (F.max("p") - F.avg("p")).alias("gap")).where((F.col("s") == styles) & (F.col("m") >= least))
-    at = lambda x: F.percentile("gap", F.lit(x))
-    return q.agg(F.count("*").alias("n_questions"), F.avg("gap").alias("mean_gap"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"), rate(F.col("gap") > 0.05).alias("over_05"), rate(F.col("gap") > 0.1).alias("over_10"))
+    whole = q.agg(F.count("*").alias("n_questions"), F.avg("gap").alias("mean_gap"), rate(F.col("gap") > 0.05).alias("over_05"), rate(F.col("gap") > 0.1).alias("over_10"))
+    return beside(whole, quantiles(q, [], "gap", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), [])
 
 
 def usefulness_variance(df: DataFrame, least: int) -> DataFrame:
     """Over questions with two styles of ``least`` samples: variance of their rates, and the bits style tells about success."""
     q = cell_rates(df).where(F.col("n") >= least).groupBy("question_id").agg(F.count("*").alias("s"), F.var_pop("p").alias("v")).where("s >= 2")
     j = q.join(stats.mutual_information(df, "prefix_style", "correct", True, "question_id"), "question_id")
-    return j.agg(F.count("*").alias("n_questions"), F.avg("s").alias("mean_styles"), F.avg("v").alias("mean_var"), F.percentile("v", F.lit(0.5)).alias("median_var"), F.avg("mi").alias("mean_mi"), rate(F.col("v") > 0.0025).alias("var_over"), rate(F.col("mi") > 0.02).alias("mi_over"))
+    whole = j.agg(F.count("*").alias("n_questions"), F.avg("s").alias("mean_styles"), F.avg("v").alias("mean_var"), F.avg("mi").alias("mean_mi"), rate(F.col("v") > 0.0025).alias("var_over"), rate(F.col("mi") > 0.02).alias("mi_over"))
+    return beside(whole, quantiles(j, [], "v", {"median_var": 0.5}), [])
 
 
 def assignment_usefulness(df: DataFrame, free: DataFrame, styles: int) -> DataFrame:
@@ -195,8 +197,8 @@ def stop_probe(df: DataFrame, limit: int) -> DataFrame:
 
 def length_statistics(df: DataFrame) -> DataFrame:
     """Quantiles and coefficient of variation of lengths for each style."""
-    q = lambda p: F.percentile("n_tokens", F.lit(p))
-    return df.groupBy("prefix_style").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), (F.stddev_pop("n_tokens") / F.avg("n_tokens")).alias("cv"))
+    whole = df.groupBy("prefix_style").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), (F.stddev_pop("n_tokens") / F.avg("n_tokens")).alias("cv"))
+    return beside(whole, quantiles(df, ["prefix_style"], "n_tokens", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), ["prefix_style"])
 
 
 def swap_matrix(df: DataFrame, source: str, target: str, cost: str) -> DataFrame:

@@ -1,13 +1,19 @@
-"""Supervised probes with Spark ML (M1-M5, M7, M8). Splits are by question, seeded by hash."""
+"""Supervised probes (M1-M5, M7, M8) on rows with a ``split``: forests and ridge from Spark ML, linear probes over sparse rows."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import random_label, split_by_key
+from ..sources.io import scratch
+from . import linear
+from .sampling import permuted, split_by_key, stratified_split  # noqa: F401  for callers beside the probes
 from .stats import classification, safe_corr
 
+SCORES = "accuracy double, macro_f1 double, majority double, n_test bigint, n_train bigint"
+
 
 def length_features(traces: DataFrame) -> DataFrame:
     """Three plain features of the text, for probes."""
@@ -30,41 +36,88 @@ def _coded(df: DataFrame, label: str) -> DataFrame:
 
 def _scored(out: DataFrame, train: DataFrame) -> DataFrame:
     base = out.groupBy("y").count().agg((F.max("count") / F.sum("count")).alias("majority"))
-    return classification(out, "y", "prediction").crossJoin(base).crossJoin(out.agg(F.count("*").alias("n_test")))  # one row each
+    whole = classification(out, "y", "prediction").crossJoin(base).crossJoin(out.agg(F.count("*").alias("n_test"))).crossJoin(train.agg(F.count("*").alias("n_train")))  # one row each
+    return whole.select("accuracy", "macro_f1", "majority", "n_test", "n_train")
+
+
+@dataclass
+class Probe:
+    """``scores``: one row (accuracy, macro_f1, majority, n_test, n_train); ``importances`` (feature, importance), the largest first, where the probe has them."""
+
+    scores: DataFrame
+    importances: DataFrame | None = None
 
 
-def forest_probe(df: DataFrame, features: list[str], label: str, question: str, trees: int = 300, shuffle: bool = False) -> DataFrame:
-    """M1, M2, M8: accuracy, macro F1 and the majority's share of a random forest on held-out questions.
+def forest_probe(df: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 10) -> Probe:
+    """M1, M2, M8: a random forest trained on the rows whose ``split`` is ``train`` and judged on the others.
 
-    Leaves hold at least 5 rows and classes weigh alike. ``shuffle`` replaces labels by random ones: the null.
+    Leaves hold at least 5 rows and classes weigh alike.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    if shuffle:
-        df = df.withColumn(label, random_label(F.xxhash64(*features), 4, 11).cast("string"))
-    parts = VectorAssembler(inputCols=features, outputCol="x").transform(_coded(split_by_key(df, question, 0.3), label))
-    train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
-    model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, minInstancesPerNode=5, maxDepth=10, seed=1).fit(train)
-    return _scored(model.transform(test).select("y", "prediction"), train)
-
-
-def text_probe(df: DataFrame, text: str, label: str, question: str, features: int = 20_000, min_df: int = 3) -> DataFrame:
-    """M3, M4, M7: multinomial logistic regression on sublinear tf-idf of words and word pairs."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    parts = _coded(split_by_key(df, question, 0.3), label)
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0))
-    grams = F.concat(words, F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>")))
-    parts = parts.withColumn("terms", grams).persist()
-    train = parts.where("split = 'train'")
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=min_df).fit(train).transform(parts)
-    sub = array_to_vector(F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0)))
-    counted = counted.withColumn("x", sub)
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / max(1, train.count()), maxIter=30).fit(counted.where("split = 'train'"))
-    return _scored(model.transform(counted.where("split = 'test'")).select("y", "prediction"), train)
+    parts = VectorAssembler(inputCols=features, outputCol="x").transform(_coded(df, label)).select("x", "y", "w", "split").persist()
+    try:
+        train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
+        model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, minInstancesPerNode=5, maxDepth=depth, seed=1).fit(train)
+        rows = _scored(model.transform(test).select("y", "prediction"), train).collect()
+    finally:
+        parts.unpersist()
+    spark = df.sparkSession
+    told = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
+    return Probe(spark.createDataFrame(rows, SCORES), spark.createDataFrame(told, "feature string, importance double"))
+
+
+def _linear(df: DataFrame, label: str, features: int, fit) -> DataFrame:
+    """Scores of a linear model over sparse rows (at, x, split) with a label; the rows are written once, as every round reads them."""
+    path = scratch(df.sparkSession)
+    _coded(df, label).select("y", "w", "at", "x", "split").write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    classes = int(rows.agg(F.max("y")).first()[0]) + 1
+    return _scored(linear.predicted(test, fit(train, classes)), train)
+
+
+def text_probe(df: DataFrame, text: str, label: str, features: int = 20_000, min_df: int = 3, rounds: int = 100) -> DataFrame:
+    """M3: multinomial logistic regression on sublinear tf-idf of words and word pairs, over sparse rows with a ``split``.
+
+    Vocabulary and idf come from all rows, C is 1 and classes weigh alike.
+    """
+    words = linear.vocabulary(df, text, features, min_df)
+    rows = linear.tfidf_rows(df.select(label, "split", text), text, words)
+    return _linear(rows, label, len(words.at), lambda train, k: linear.logistic(train, k, len(words.at), rounds=rounds))
+
+
+def vector_probe(df: DataFrame, vec: str, label: str, epochs: int = 20) -> DataFrame:
+    """M4: one-against-rest log loss by stochastic gradient steps on vectors with a ``split``."""
+    size = df.select(F.size(vec)).first()[0]
+    return _linear(linear.dense_rows(df.select(label, "split", vec), vec), label, size, lambda train, k: linear.sgd(train, k, size, epochs))
+
+
+def identifiability(df: DataFrame, sets: dict[str, list[str]], text: str, label: str, question: str, trees: int = 300, least_texts: int = 200) -> DataFrame:
+    """M7: (probe, accuracy, macro_f1, over_chance, n_train, n_test, note): a forest on each set of features and the lexical probe from
+    ``least_texts`` texts on, then the ``best`` of the first set and the lexical probe.
+
+    With one label there is nothing to tell apart, and a split without train or test rows is
+    degenerate: then one row says so. A probe whose split is degenerate is left out.
+    """
+    spark, k = df.sparkSession, df.select(label).distinct().count()
+    out = "probe string, accuracy double, macro_f1 double, over_chance double, n_train bigint, n_test bigint, note string"
+    if k < 2:
+        return spark.createDataFrame([(None, None, None, None, 0, 0, "single label: identifiability undefined")], out)
+    rows = split_by_key(df, question, 0.3).persist()
+    try:
+        if rows.select("split").distinct().count() < 2:
+            return spark.createDataFrame([(None, None, None, None, 0, 0, "degenerate question split")], out)
+        got = {name: forest_probe(rows, cols, label, trees).scores.first() for name, cols in sets.items()}
+        texts = split_by_key(df.where(F.col(text).isNotNull()), question, 0.3)
+        if texts.count() >= least_texts and texts.select("split").distinct().count() == 2:
+            got["tfidf_logreg"] = text_probe(texts, text, label).first()
+    finally:
+        rows.unpersist()
+    told = [(name, r["accuracy"], r["macro_f1"], r["accuracy"] - 1 / k, r["n_train"], r["n_test"], None) for name, r in got.items()]
+    best = max((r["accuracy"] for name, r in got.items() if name in (next(iter(sets)), "tfidf_logreg")))
+    return spark.createDataFrame([*told, ("best", best, None, best - 1 / k, None, None, None)], out)
 
 
 def ridge(df: DataFrame, vec: str, target: Column, alphas: list[float], folds: int = 5) -> DataFrame:

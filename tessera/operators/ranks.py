@@ -81,11 +81,47 @@ def rank_quartile(df: DataFrame, col: str, tie: str) -> DataFrame:
     return r.withColumn("bucket", cuts[0] + cuts[1] + cuts[2]).drop("_r", "_n")
 
 
+#: Pieces that an order of values is cut into for exact quantiles.
+PIECES = 256
+
+
+def beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """``a`` with the columns that ``b`` has for its group, null groups included; rows without a group there get nulls."""
+    if not by:
+        return a.crossJoin(F.broadcast(b))  # one row
+    right = b.withColumnsRenamed({c: f"_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(right, on, "left").drop(*[f"_{c}" for c in by])
+
+
+def quantiles(df: DataFrame, by: list[str], col: str, at: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of each group, one column for each name in ``at``; nulls are left out.
+
+    Values are counted first, then cut into pieces at approximate quantiles of all of them; a piece
+    sorts its own values and begins after the counts of those before. So no task holds a group's values.
+    """
+    hist = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_m"))
+    edges = hist.agg(F.percentile_approx(col, F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)]), 10_000).alias("e")).first()["e"] or []
+    cuts = F.array(*[F.lit(e) for e in sorted(set(edges))])
+    held = hist.withColumn("_piece", F.size(F.filter(cuts, lambda e: e < F.col(col))) if edges else F.lit(0))
+    totals = held.groupBy(*by, "_piece").agg(F.sum("_m").alias("_t"))
+    run = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*by, "_piece", F.coalesce(F.sum("_t").over(run), F.lit(0)).alias("_before"), F.sum("_t").over(W.partitionBy(*by)).alias("_n"))  # PIECES rows for each group
+    upto = beside(held, before, [*by, "_piece"]).withColumn("_upto", F.col("_before") + F.sum("_m").over(W.partitionBy(*by, "_piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0)))
+    first = lambda place: F.min(F.when(F.col("_upto") > place, F.col(col)))
+    place = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in at.items()}
+    ends = [x for name, p in place.items() for x in (first(F.floor(p)).cast("double").alias(f"_lo_{name}"), first(F.ceil(p)).cast("double").alias(f"_hi_{name}"))]
+    got = upto.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    between = lambda n: F.when(F.floor(place[n]) == F.ceil(place[n]), F.col(f"_lo_{n}")).otherwise((F.ceil(place[n]) - place[n]) * F.col(f"_lo_{n}") + (place[n] - F.floor(place[n])) * F.col(f"_hi_{n}"))
+    return got.select(*by, *[between(n).alias(n) for n in at])
+
+
 def digitise(df: DataFrame, col: str, at: list[float], name: str) -> DataFrame:
     """How many exact quantiles lie at or below the value."""
-    cuts = df.agg(F.percentile(col, F.array(*[F.lit(q) for q in at])).alias("_q"))
-    j = df.crossJoin(F.broadcast(cuts))  # one row
-    return j.withColumn(name, sum(((F.col(col) >= F.col("_q")[i]).cast("int") for i in range(len(at))), F.lit(0))).drop("_q")
+    j = beside(df, quantiles(df, [], col, {f"_q{i}": q for i, q in enumerate(at)}), [])
+    return j.withColumn(name, sum(((F.col(col) >= F.col(f"_q{i}")).cast("int") for i in range(len(at))), F.lit(0))).drop(*[f"_q{i}" for i in range(len(at))])
 
 
 def winners(df: DataFrame, by: str, style: str, value: str) -> DataFrame:

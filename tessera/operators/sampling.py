@@ -19,9 +19,48 @@ def draw_sql(*parts: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
 
 
+#: Pieces that a group's order is cut into: a group of any size is sorted by so many tasks.
+PIECES = 256
+
+
+def _placed(df: DataFrame, by: list[str], order: list[Column], piece: Column, name: str) -> DataFrame:
+    """Adds the row's place within its group, where ``piece`` cuts the order: pieces are sorted alone and begin after the counts of those before."""
+    held = df.withColumn("_piece", piece)
+    counts = held.groupBy(*by, "_piece").agg(F.count("*").alias("_m"))
+    before = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_piece").alias("_p"), F.coalesce(F.sum("_m").over(W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    on = F.col("_piece") == F.col("_p")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = held.join(before, on)
+    own = F.row_number().over(W.partitionBy(*by, "_piece").orderBy(*order))
+    return joined.withColumn(name, F.col("_before") + own).select(*df.columns, name)
+
+
 def hash_order(df: DataFrame, by: list[str], key: str, seed: int, name: str) -> DataFrame:
-    """Adds the row's place within its group in the order of a hash of (seed, key)."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(draw(seed, F.col(key)), F.col(key))))
+    """Adds the row's place within its group in the order of a hash of (seed, key). Pieces are the hash's leading bits, so they are even."""
+    d = draw(seed, F.col(key))
+    return _placed(df, by, [d, F.col(key)], F.shiftright(d, 52 - (PIECES.bit_length() - 1)), name)
+
+
+def permuted(df: DataFrame, key: str, label: str, name: str, seed: int = 0) -> DataFrame:
+    """(key, name): the labels of all rows dealt out again among all rows, by a permutation of the whole table.
+
+    Rows and labels are placed in two independent orders by hash, and meet at equal places; an order is cut
+    at drawn rows, so no task holds it whole. Every label keeps its count.
+    """
+    from .ranks import running
+
+    place = lambda cols, n: running(df.select(*cols).withColumn("_h", draw(seed + n, F.col(key))), ["_h", key], F.lit(1), "_place")
+    rows = place([key], 1).select(key, "_place")
+    labels = place([key, label], 2).select(F.col(label).alias(name), "_place")
+    return rows.join(labels, "_place").select(key, name)
+
+
+def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 0) -> DataFrame:
+    """M2, M4: adds ``split``: of each class round(fraction * rows) rows, the first by hash, are ``test``; nulls are a class of their own."""
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.round(F.count("*") * fraction).cast("long").alias("_test"))
+    placed = hash_order(df, [label], key, seed, "_r").join(sizes, F.col(label).eqNullSafe(F.col("_l")))
+    return placed.withColumn("split", F.when(F.col("_r") <= F.col("_test"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def per_group_cap(df: DataFrame, by: list[str], key: str, most: int, seed: int = 0) -> DataFrame:
@@ -58,9 +97,11 @@ def random_halves(df: DataFrame, by: list[str], key: str, splits: int, seed: int
     """Every row once for each of ``splits`` (``split`` 1..splits) with ``half`` 0 or 1.
 
     The halves come from a hash of (split, place ``i`` of the row in its group), so all groups share
-    a split's halves, as they would share one permutation.
+    a split's halves, as they would share one permutation. Keys are numbers; pieces of a group's order end at quantiles of the key.
     """
-    placed = df.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(key)))
+    edges = [e for e in df.agg(F.percentile_approx(key, F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)]), 10_000).alias("e")).first()["e"] or []]
+    piece = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col(key))) if edges else F.lit(0)
+    placed = _placed(df, by, [F.col(key)], piece, "i")
     return placed.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits)))).withColumn("half", (draw(seed, F.col("split"), F.col("i")) % 2).cast("int"))
 
 

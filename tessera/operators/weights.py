@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import one_to_one
 from ..functions.parse import with_prefix, without_prefix
 from .ranks import name_clusters
+from .ranks import beside, quantiles
 from .sampling import draw, hash_order, tail_split
 
 EPS = 0.01
@@ -45,8 +46,9 @@ def importance(df: DataFrame, n_styles: int, target: str = "uniform", eps: float
 
 def weight_stats(df: DataFrame, *by: str, col: str = "is_weight") -> DataFrame:
     """Count, mean, least, most, p50, p90, p99 and sum of the weights."""
-    q = lambda p: F.percentile(col, F.lit(p))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.min(col).alias("least"), F.max(col).alias("most"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.sum(col).alias("total"))
+    q = quantiles(df, list(by), col, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.min(col).alias("least"), F.max(col).alias("most"), F.sum(col).alias("total"))
+    return beside(out, q, list(by)).select(*by, "n", "mean", "least", "most", "p50", "p90", "p99", "total")
 
 
 def resample_equal(df: DataFrame, target: int, style: str = "style", key: str = "ord", seed: int = 0) -> DataFrame:
@@ -57,7 +59,7 @@ def resample_equal(df: DataFrame, target: int, style: str = "style", key: str =
     """
     ranked = hash_order(df, [style], key, seed, "_r")
     sizes = df.groupBy(style).agg(F.count("*").alias("_n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(target)))).withColumn("_r", F.when(F.col("_n") >= target, F.col("draw")).otherwise((draw(seed, F.col(style), F.col("draw")) % F.col("_n")) + 1).cast("int"))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(target)))).withColumn("_r", F.when(F.col("_n") >= target, F.col("draw")).otherwise((draw(seed, F.col(style), F.col("draw")) % F.col("_n")) + 1).cast("long"))
     return draws.select(style, "_r", "draw").join(ranked, [style, "_r"]).drop("_r")
 
 

@@ -207,10 +207,11 @@ def a22(spark, sf):
 
 @query("a24_identifiability")
 def a24(spark, sf):
-    from ..operators.probes import forest_probe
+    from ..operators import probes as PR
 
     r = recs(spark, sf)
-    real, null = (forest_probe(r, SPACE, "lang", "question_id", 10, s).select("accuracy", "majority") for s in (False, True))
+    null = r.drop("lang").join(PR.permuted(r.select("ord", "lang"), "ord", "lang", "lang", 24), "ord")
+    real, null = (PR.forest_probe(PR.split_by_key(x, "question_id", 0.3), SPACE, "lang", 300).scores.select("accuracy", "majority") for x in (r, null))
     return real.withColumn("labels", F.lit("author")).unionByName(null.withColumn("labels", F.lit("shuffled")))
 
 

@@ -242,16 +242,10 @@ def r8(spark, sf):
     return t.join(keys, "question_id", "left_semi").agg(F.countDistinct("question_id").alias("questions"))
 
 
-@query("r11_permuted_labels", f"WITH {GENS} SELECT prefix_style AS label, count(*) AS n FROM gens GROUP BY ALL")
+@query("r11_permuted_labels", f"WITH {GENS}, a AS (SELECT ord, row_number() OVER (ORDER BY {draw_sql('1', 'ord')}, ord) AS i FROM gens), b AS (SELECT prefix_style, row_number() OVER (ORDER BY {draw_sql('2', 'ord')}, ord) AS i FROM gens) SELECT ord, prefix_style AS label FROM a JOIN b USING (i)")
 def r11(spark, sf):
-    """Labels dealt out again among the rows of each hash block: every label keeps its count."""
-    from pyspark.sql import Window as W
-
-    block = F.pmod(F.xxhash64("ord"), F.lit(64))
-    a = gens(spark, sf).select("ord", "prefix_style", block.alias("b"))
-    place = lambda seed: F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64(F.lit(seed), "ord")))
-    rows, labels = a.select("b", "ord", place(1).alias("i")), a.select("b", F.col("prefix_style").alias("label"), place(2).alias("i"))
-    return rows.join(labels, ["b", "i"]).groupBy("label").agg(F.count("*").alias("n"))
+    """Labels dealt out again among all rows."""
+    return R.permuted(gens(spark, sf).select("ord", "prefix_style"), "ord", "prefix_style", "label")
 
 
 @query("r12_sign_flip", f"WITH {GENS}, c AS (SELECT question_id, avg(n_tokens) - 500 AS cost FROM gens GROUP BY ALL), d AS (SELECT b, avg(cost * (2 * ({draw_sql('0', 'b', 'question_id')} % 2) - 1)) AS d FROM c, range(1, 200) t(b) GROUP BY b), o AS (SELECT avg(cost) AS observed FROM c) SELECT observed, (count(*) FILTER (abs(d) >= abs(observed)) + 1) / (count(*) + 1) AS p_value FROM d, o GROUP BY observed")

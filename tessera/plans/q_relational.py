@@ -163,8 +163,9 @@ def g6(spark, sf):
 
 @query("g7_g10_quantiles_and_spread", f"WITH {GENS} SELECT prefix_style, quantile_cont(n_tokens, 0.5) AS p50, quantile_cont(n_tokens, 0.9) AS p90, quantile_cont(n_tokens, 0.99) AS p99, stddev_pop(n_tokens) AS sd_pop, stddev_samp(n_tokens) AS sd_samp FROM gens GROUP BY prefix_style")
 def g7(spark, sf):
-    q = lambda p: F.percentile("n_tokens", F.lit(p))
-    return gens(spark, sf).groupBy("prefix_style").agg(q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.stddev_pop("n_tokens").alias("sd_pop"), F.stddev_samp("n_tokens").alias("sd_samp"))
+    g = gens(spark, sf)
+    spread = g.groupBy("prefix_style").agg(F.stddev_pop("n_tokens").alias("sd_pop"), F.stddev_samp("n_tokens").alias("sd_samp"))
+    return K.beside(spread, K.quantiles(g, ["prefix_style"], "n_tokens", {"p50": 0.5, "p90": 0.9, "p99": 0.99}), ["prefix_style"])
 
 
 @query("g8_nearest_rank", f"WITH {GENS}, r AS (SELECT prefix_style, n_tokens, row_number() OVER (PARTITION BY prefix_style ORDER BY n_tokens) - 1 AS i, count(*) OVER (PARTITION BY prefix_style) AS n FROM gens) SELECT prefix_style, max(n_tokens) FILTER (i = n // 2) AS p50, max(n_tokens) FILTER (i = CAST(floor(0.99 * (n - 1)) AS BIGINT)) AS p99 FROM r GROUP BY prefix_style")

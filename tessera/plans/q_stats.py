@@ -9,6 +9,7 @@ from ..operators import clustering as C
 from ..operators import probes as PR
 from ..operators import stats as S
 from ..operators import tfidf as TF
+from ..operators.sampling import draw_sql
 from .registry import query
 from .views import GENS, STYLES, TEXTS, TRACES, VECS, gens, table, texts, traces, vecs
 
@@ -124,7 +125,7 @@ def v21(spark, sf):
 
 @query("v22_procrustes")
 def v22(spark, sf):
-    return spark.createDataFrame([(V.procrustes(vecs(spark, sf), "c", "z"),)], "disparity double")
+    return spark.createDataFrame([(k, V.procrustes(vecs(spark, sf), "c", "z", k)) for k in (64, 8)], "components int, disparity double")
 
 
 @query("v23_pooling", "SELECT conv_id, list_sum(l) / len(l) AS mean_pool, l[-1] AS last_pool FROM (SELECT conv_id, list(length(text) ORDER BY turn) AS l FROM conversations GROUP BY conv_id)")
@@ -238,12 +239,42 @@ def c18(spark, sf):
 
 @query("m1_m2_forest_probe")
 def m1(spark, sf):
-    return PR.forest_probe(PR.length_features(traces(spark, sf)), ["f1", "f2", "f3"], "author", "question_id", trees=10)
+    """300 trees on a split by question, 200 on a stratified split of rows."""
+    rows = PR.length_features(traces(spark, sf))
+    kinds = {"question": PR.split_by_key(rows, "question_id", 0.3), "rows": PR.stratified_split(rows, "author", "ord", 0.2)}
+    parts = [PR.forest_probe(split, ["f1", "f2", "f3"], "author", trees).scores.withColumn("split", F.lit(name)) for (name, split), trees in zip(kinds.items(), (300, 200))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("m2_forest_importances")
+def m2(spark, sf):
+    rows = PR.stratified_split(PR.length_features(traces(spark, sf)), "author", "ord", 0.2)
+    return PR.forest_probe(rows, ["f1", "f2", "f3"], "author", 200).importances
+
+
+@query("m2_m4_stratified_split", f"WITH {TRACES}, r AS (SELECT ord, author, row_number() OVER (PARTITION BY author ORDER BY {draw_sql('0', 'ord')}, ord) AS i, count(*) OVER (PARTITION BY author) AS n FROM traces) SELECT ord, CASE WHEN i <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r")
+def m2_split(spark, sf):
+    return PR.stratified_split(traces(spark, sf), "author", "ord", 0.2).select("ord", "split")
 
 
 @query("m3_m4_m7_text_probe")
 def m3(spark, sf):
-    return PR.text_probe(traces(spark, sf), "trace", "author", "question_id", features=512)
+    """The lexical probe at its full 20,000 features."""
+    return PR.text_probe(PR.split_by_key(traces(spark, sf), "question_id", 0.3), "trace", "author")
+
+
+@query("m4_sgd_probe")
+def m4(spark, sf):
+    """A linear probe of the labels from vectors, on a stratified split."""
+    v = vecs(spark, sf).select("vec_id", "label", "z")
+    return PR.vector_probe(PR.stratified_split(v, "label", "vec_id", 0.2), "z", "label")
+
+
+@query("m7_identifiability")
+def m7(spark, sf):
+    """All four probes of the author."""
+    t = traces(spark, sf)
+    return PR.identifiability(PR.length_features(t).join(t.select("ord", "trace"), "ord"), {"handcrafted_full": ["f1", "f2", "f3"], "handcrafted_density": ["f2", "f3"], "length_only": ["f1"]}, "trace", "author", "question_id")
 
 
 @query("m5_ridge")
@@ -253,7 +284,10 @@ def m5(spark, sf):
 
 @query("m8_shuffled_probe")
 def m8(spark, sf):
-    return PR.forest_probe(PR.length_features(traces(spark, sf)), ["f1", "f2", "f3"], "author", "question_id", trees=5, shuffle=True)
+    """The same probe on labels dealt out again among all rows."""
+    rows = PR.length_features(traces(spark, sf))
+    null = rows.drop("author").join(PR.permuted(rows.select("ord", "author"), "ord", "author", "author", 8), "ord")
+    return PR.forest_probe(PR.split_by_key(null, "question_id", 0.3), ["f1", "f2", "f3"], "author", 300).scores
 
 
 @query("m6_classification", "WITH x AS (SELECT lang AS t, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS g FROM documents), l AS (SELECT DISTINCT t AS l FROM x UNION SELECT DISTINCT g FROM x), f AS (SELECT l, (SELECT count(*) FROM x WHERE t = l AND g = l) AS h, (SELECT count(*) FROM x WHERE t = l) AS a, (SELECT count(*) FROM x WHERE g = l) AS b FROM l) SELECT sum(h) / sum(a) AS accuracy, avg(2 * h / (a + b)) AS macro_f1 FROM f")
@@ -308,9 +342,8 @@ def m19(spark, sf):
     return TF.tfidf(traces(spark, sf), "ord", "trace", features=4096, min_df=2)
 
 
-@query("m20_tfidf_distance", f"{TFSQL} SELECT a.question_id, a.ord AS a, b.ord AS b, 1 - sum(a.x * b.x) AS distance FROM u a JOIN u b ON a.question_id = b.question_id AND a.term = b.term AND a.ord < b.ord GROUP BY ALL")
+@query("m20_tfidf_distance", f"{TFSQL} SELECT a.ord // 16 AS batch, a.ord AS a, b.ord AS b, 1 - sum(a.x * b.x) AS distance FROM u a JOIN u b ON a.ord // 16 = b.ord // 16 AND a.term = b.term AND a.ord < b.ord GROUP BY ALL")
 def m20(spark, sf):
-    """The texts of each question, as its answers are compared with each other."""
-    t = traces(spark, sf)
-    x = TF.tfidf(t, "ord", "trace", features=4096, min_df=2)
-    return TF.pair_distances(x.join(t.select("ord", "question_id"), "ord"), "ord", "question_id")
+    """The answers of a question are compared with each other; sixteen texts in a row stand for them, at any size of the table."""
+    x = TF.tfidf(traces(spark, sf), "ord", "trace", features=4096, min_df=2)
+    return TF.pair_distances(x.withColumn("batch", F.floor(F.col("ord") / 16)), "ord", "batch")
