@@ -49,6 +49,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of a batch of rows that Spark hands to Python: both sides hold some copies of it.
+BATCH_BYTES = 1 << 23
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the batches that Python gets at ``BATCH_BYTES`` at most from now on; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = str(spark.conf.get(name)).lower()
+    unit = {"k": 10, "m": 20, "g": 30}.get(size.rstrip("b")[-1:], 0)
+    digits = size.rstrip("bkmg")
+    if not digits.isdigit() or not 0 < int(digits) << unit <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Tables:
     """Intermediate tables of one query, written to the shared folder and read again.
 
@@ -57,6 +71,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
         self.names: list[str] = []
         atexit.register(_remove, spark, self.root)
