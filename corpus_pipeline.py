@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables
+from tessera.llm.common import Tables, small_batches
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import classify
@@ -24,6 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Rows that the classifier keeps. It judges every row, those without an id, with a repeated one or the same text too;
     null, empty and short texts stay. An empty table gives no rows; other columns are left out, here and in the later stages.
     """
+    small_batches(spark)
     return classify(docs, also=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
@@ -31,6 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows within the fences of their language and source, which come from this stage's own input. Null, empty and short texts
     fail the base rule and go. Repeated rows are judged each, and those without an id like others.
     """
+    small_batches(spark)
     return judge(docs, also=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
@@ -52,6 +54,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeated passages leave the texts, with the characters they touch; every row stays, whatever its id. All occurrences
     go, as the operator judges its input; whole copies are gone before. A null text becomes an empty one.
     """
+    small_batches(spark)
     out = remove_repeats(docs, ["doc_id", "lang", "source"], whole_chars=True)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
@@ -60,6 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every row's ids in sequences; rows that share an id, or have none, are packed each. A null text is its end id alone."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
