@@ -141,9 +141,9 @@ def full_sweep(df: DataFrame, key: str, vec: str, ks: list[int], spark: SparkSes
     of at most ``sample`` rows; ties go to the smaller size.
     """
     rows, parts = [], []
-    units = df.select(key, unit(F.col(vec)).alias(vec)).persist()
+    units = df.select(key, unit(F.col(vec)).alias(vec))
     for k in ks:
-        model = fit_gmm(units, vec, k, n_init, max_iter, normalise=False)
+        model = fit_gmm(units, vec, k, n_init, max_iter, normalise=False)  # holds its rows while it runs
         given = predict(units, vec, model)
         a = given.agg(F.sum("ll").alias("ll"), F.count("*").alias("n"), F.countDistinct("cluster_id").alias("used")).first()
         d = model.mean.shape[1]
@@ -176,9 +176,12 @@ def kmeans(df: DataFrame, vec: str, k: int, n_init: int = 10, seed: int = 0) ->
     from pyspark.ml.functions import array_to_vector
 
     data = df.withColumn("_f", array_to_vector(F.col(vec))).persist()
-    runs = [KMeans(featuresCol="_f", predictionCol="cluster_id", k=k, seed=seed + i).fit(data) for i in range(n_init)]
-    best = min(runs, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).drop("_f")
+    try:
+        runs = [KMeans(featuresCol="_f", predictionCol="cluster_id", k=k, seed=seed + i).fit(data) for i in range(n_init)]
+        best = min(runs, key=lambda m: m.summary.trainingCost)
+    finally:
+        data.unpersist()
+    return best.transform(df.withColumn("_f", array_to_vector(F.col(vec)))).drop("_f")
 
 
 def silhouette(df: DataFrame, key: str, label: str, vec: str, most: int = 5000) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
+
 SPARSE = "at array<int>, x array<double>"
 #: Fixed: what a word is.
 WORD = r"(?u)\b\w\w+\b"
@@ -188,18 +190,22 @@ def logistic(rows: DataFrame, classes: int, features: int, c: float = 1.0, round
     return v.reshape(classes, features + 1)
 
 
-def sgd(rows: DataFrame, classes: int, features: int, epochs: int = 20, alpha: float = 1e-4, step: float = 0.5, batches_a_round: int = 8) -> np.ndarray:
-    """M4: one-against-rest log loss by mini-batch gradient steps with an l2 penalty of ``alpha``.
+def sgd(rows: DataFrame, classes: int, features: int, epochs: int = 20, alpha: float = 1e-4, step: float = 0.5, batches: int = 4) -> np.ndarray:
+    """M4: one-against-rest log loss on rows (y, at, x) by mini-batch gradient steps with an l2 penalty of ``alpha``.
 
-    An epoch deals rows by a hash of their content to ``batches_a_round`` mini-batches; each step reads
-    one of them, and its mean gradient is the sum of the tasks' partial sums. The step falls as 1 / (1 + t * alpha).
+    Rows are dealt to ``batches`` mini-batches by a hash of their content and written by them, so a
+    step reads its own rows only; its mean gradient is the sum of the tasks' partial sums. Epochs begin at
+    different mini-batches, and the step falls as 1 / (1 + t * alpha).
     """
     model, t = np.zeros((classes, features + 1)), 0
+    path = scratch(rows.sparkSession)
+    rows.select("y", "at", "x", F.pmod(F.xxhash64("y", "at", "x"), F.lit(batches)).cast("int").alias("mini")).write.partitionBy("mini").parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
 
     def gradient(part: DataFrame, model: np.ndarray) -> tuple[int, np.ndarray]:
-        def run(batches):
+        def run(blocks):
             n, grad = 0, np.zeros_like(model)
-            for b in batches:
+            for b in blocks:
                 if b.num_rows:
                     block, y = _Block(b, features), b.column("y").to_numpy().astype(int)
                     p = 1 / (1 + np.exp(-np.clip(block.scores(model), -50, 50)))
@@ -208,11 +214,11 @@ def sgd(rows: DataFrame, classes: int, features: int, epochs: int = 20, alpha: f
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([grad.tobytes()], pa.binary())], names=["n", "grad"])
 
         got = part.select("y", "at", "x").mapInArrow(run, "n bigint, grad binary").collect()
-        return sum(r["n"] for r in got), sum(np.frombuffer(r["grad"]) for r in got).reshape(model.shape)
+        return sum(r["n"] for r in got), sum((np.frombuffer(r["grad"]) for r in got), np.zeros(model.size)).reshape(model.shape)
 
     for epoch in range(epochs):
-        for k in range(batches_a_round):
-            n, grad = gradient(rows.where(F.pmod(F.xxhash64("y", "x", F.lit(epoch)), F.lit(batches_a_round)) == k), model)
+        for k in range(batches):
+            n, grad = gradient(dealt.where(F.col("mini") == (epoch + k) % batches), model)
             if n:
                 rate = step / (1 + t * alpha)
                 model = model * np.append(np.full(features, 1 - rate * alpha), 1.0) - rate * grad / n

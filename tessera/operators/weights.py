@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import one_to_one
 from ..functions.parse import with_prefix, without_prefix
-from .ranks import name_clusters
-from .ranks import beside, quantiles
+from .ranks import beside, name_clusters, quantiles, running
 from .sampling import draw, hash_order, tail_split
 
 EPS = 0.01
@@ -59,7 +58,8 @@ def resample_equal(df: DataFrame, target: int, style: str = "style", key: str =
     """
     ranked = hash_order(df, [style], key, seed, "_r")
     sizes = df.groupBy(style).agg(F.count("*").alias("_n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(target)))).withColumn("_r", F.when(F.col("_n") >= target, F.col("draw")).otherwise((draw(seed, F.col(style), F.col("draw")) % F.col("_n")) + 1).cast("long"))
+    # the draws are a range of their own, so that no row holds them all; styles are few
+    draws = df.sparkSession.range(1, target + 1).withColumnRenamed("id", "draw").crossJoin(sizes).withColumn("_r", F.when(F.col("_n") >= target, F.col("draw")).otherwise((draw(seed, F.col(style), F.col("draw")) % F.col("_n")) + 1).cast("long"))
     return draws.select(style, "_r", "draw").join(ranked, [style, "_r"]).drop("_r")
 
 
@@ -82,8 +82,9 @@ def build_variant(df: DataFrame, variant: str, n_styles: int, seed: int = 0, sty
 
 
 def random_subset(df: DataFrame, n: int, key: str = "ord", seed: int = 0) -> DataFrame:
-    """N rows in the order of a hash of (seed, key)."""
-    return df.orderBy(draw(seed, F.col(key)), key).limit(n)
+    """The first n rows in the order of a hash of (seed, key), by their places, so that no task gathers them."""
+    placed = running(df.withColumn("_h", draw(seed, F.col(key))), ["_h", key], F.lit(1), "_r")
+    return placed.where(F.col("_r") <= n).select(*df.columns)
 
 
 def reprefixed(df: DataFrame, style: str, text: str, mode: str = "hard") -> DataFrame:

@@ -145,14 +145,16 @@ def i7a(spark, sf):
     return I.build_variant(gens(spark, sf), "style2", K, style="prefix_style").select("ord")
 
 
-@query("i7_r2_variant_rebalanced", f"WITH {GENS}, n AS (SELECT prefix_style, count(*) AS n FROM gens GROUP BY ALL) SELECT prefix_style, CAST((SELECT floor(quantile_cont(n, 0.5)) FROM n) AS BIGINT) AS n FROM n")
+@query("i7_r2_variant_rebalanced", f"""WITH {GENS}, z AS (SELECT prefix_style, count(*) AS n FROM gens GROUP BY ALL), t AS (SELECT CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS t FROM z),
+ r AS (SELECT prefix_style, ord, row_number() OVER (PARTITION BY prefix_style ORDER BY {draw_sql('0', 'ord')}, ord) AS r FROM gens), d AS (SELECT z.*, t, unnest(range(1, t + 1)) AS draw FROM z, t)
+ SELECT d.prefix_style, d.draw, r.ord FROM d JOIN r ON r.prefix_style = d.prefix_style AND r.r = CASE WHEN n >= t THEN draw ELSE {draw_sql('0', 'd.prefix_style', 'draw')} % n + 1 END""")
 def i7b(spark, sf):
-    return I.build_variant(gens(spark, sf), "rebal", K, style="prefix_style").groupBy("prefix_style").agg(F.count("*").alias("n"))
+    return I.build_variant(gens(spark, sf), "rebal", K, style="prefix_style").select("prefix_style", "draw", "ord")
 
 
-@query("i7_r1_variant_random", f"WITH {GENS} SELECT count(*) AS n, count(*) AS distinct_rows FROM gens WHERE prefix_style = 'style_1'")
+@query("i7_r1_variant_random", f"WITH {GENS} SELECT ord FROM gens QUALIFY row_number() OVER (ORDER BY {draw_sql('0', 'ord')}, ord) <= (SELECT count(*) FROM gens WHERE prefix_style = 'style_1')")
 def i7c(spark, sf):
-    return I.build_variant(gens(spark, sf), "rand-style1", K, style="prefix_style").agg(F.count("*").alias("n"), F.countDistinct("ord").alias("distinct_rows"))
+    return I.build_variant(gens(spark, sf), "rand-style1", K, style="prefix_style").select("ord")
 
 
 @query("i8_i9_control_variants", rf"""WITH {TEXTS}, p AS (SELECT id, regexp_replace(coalesce(text, ''), '^(?:\[[^\]]+\]|<(style_\d+)>)\n', '') AS bare, 'style_' || CAST(abs(id) % 3 + 1 AS VARCHAR) AS s FROM texts)
@@ -230,16 +232,16 @@ def r5(spark, sf):
     return R.tail_split(traces(spark, sf), "question_id", 0.1).select("ord", "split")
 
 
-@query("r6_r7_group_cap", f"WITH {GENS} SELECT question_id, least(count(*), 20) AS n FROM gens GROUP BY question_id")
+@query("r6_r7_group_cap", f"WITH {GENS} SELECT question_id, ord FROM gens QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY {draw_sql('0', 'ord')}, ord) <= 20")
 def r6(spark, sf):
-    return R.per_group_cap(gens(spark, sf), ["question_id"], "ord", 20).groupBy("question_id").agg(F.count("*").alias("n"))
+    return R.per_group_cap(gens(spark, sf), ["question_id"], "ord", 20).select("question_id", "ord")
 
 
-@query("r8_cap_questions", f"WITH {TRACES} SELECT least(30, count(DISTINCT question_id)) AS questions FROM traces")
+@query("r8_cap_questions", f"WITH {TRACES}, k AS (SELECT DISTINCT question_id FROM traces), c AS (SELECT question_id FROM k ORDER BY {draw_sql('0', 'question_id')}, question_id LIMIT 30) SELECT question_id, count(*) AS n FROM traces SEMI JOIN c USING (question_id) GROUP BY question_id")
 def r8(spark, sf):
     t = traces(spark, sf)
     keys = I.random_subset(t.select("question_id").distinct(), 30, "question_id")
-    return t.join(keys, "question_id", "left_semi").agg(F.countDistinct("question_id").alias("questions"))
+    return t.join(keys, "question_id", "left_semi").groupBy("question_id").agg(F.count("*").alias("n"))
 
 
 @query("r11_permuted_labels", f"WITH {GENS}, a AS (SELECT ord, row_number() OVER (ORDER BY {draw_sql('1', 'ord')}, ord) AS i FROM gens), b AS (SELECT prefix_style, row_number() OVER (ORDER BY {draw_sql('2', 'ord')}, ord) AS i FROM gens) SELECT ord, prefix_style AS label FROM a JOIN b USING (i)")

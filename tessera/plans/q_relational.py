@@ -9,7 +9,7 @@ from ..contracts import covered, not_null, one_to_one, unique
 from ..operators import ranks as K
 from ..operators.sampling import same_question_pairs
 from .registry import query
-from .views import GENS, STYLES, TRACES, gens, table, traces
+from .views import GENS, STYLES, TRACES, gens, table, table_bytes, traces
 
 P = "CAST(correct AS DOUBLE)"
 LAB = "lab AS (SELECT doc_id AS ord, quality AS cluster_id FROM labels)"
@@ -84,9 +84,10 @@ def j15(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.explode(F.array(*[F.lit(s) for s in STYLES])).alias("style"))
 
 
-@query("j16_question_pairs", f"WITH {TRACES} SELECT a.question_id, a.ord AS id_a, b.ord AS id_b FROM traces a JOIN traces b ON a.question_id = b.question_id AND a.ord < b.ord")
+@query("j16_question_pairs", f"WITH {TRACES} SELECT a.ord // 16 AS question_id, a.ord AS id_a, b.ord AS id_b FROM traces a JOIN traces b ON a.ord // 16 = b.ord // 16 AND a.ord < b.ord")
 def j16(spark, sf):
-    return same_question_pairs(traces(spark, sf), "question_id", "ord")
+    """The answers of a question meet each other; sixteen texts in a row stand for them, at any size of the table."""
+    return same_question_pairs(traces(spark, sf).withColumn("question_id", F.floor(F.col("ord") / 16)), "question_id", "ord")
 
 
 @query("j17_style_pairs", "SELECT a.s AS a, b.s AS b FROM (SELECT DISTINCT event_type AS s FROM events) a, (SELECT DISTINCT event_type AS s FROM events) b WHERE a.s < b.s")
@@ -101,6 +102,10 @@ def j18(spark, sf):
     return g.join(g.groupBy("question_id").count().where("count >= 70"), "question_id", "left_semi").select("ord")
 
 
+#: Bytes of keys that one block of rows is dealt for.
+BLOCK_BYTES = 32 << 20
+
+
 @query("j19_partner_of_other_question")
 def j19(spark, sf):
     """Every row with a row of another question: both are dealt to places by hash within a block, and shifted until they differ.
@@ -108,20 +113,21 @@ def j19(spark, sf):
     After four shifts the next row of another question in the block's order is taken, or the first of the next block that has one.
     """
     t = traces(spark, sf).select("ord", "question_id")
+    blocks = max(16, table_bytes(t) // BLOCK_BYTES)
     h = F.xxhash64("ord")
     place = W.partitionBy("b").orderBy(h, "ord")
     me = F.struct(F.col("ord").alias("partner"), F.col("question_id").alias("other"))
-    a = t.withColumn("b", F.pmod(F.xxhash64("ord", F.lit(3)), F.lit(16))).withColumns({"i": F.row_number().over(place), "n": F.count("*").over(W.partitionBy("b")), "new": F.coalesce(F.lag("question_id").over(place) != F.col("question_id"), F.lit(False))})
+    a = t.withColumn("b", F.pmod(F.xxhash64("ord", F.lit(3)), F.lit(blocks))).withColumns({"i": F.row_number().over(place), "n": F.count("*").over(W.partitionBy("b")), "new": F.coalesce(F.lag("question_id").over(place) != F.col("question_id"), F.lit(False))})
     later = W.partitionBy("b").orderBy(h.desc(), F.desc("ord")).rowsBetween(W.unboundedPreceding, -1)
     a = a.withColumn("next", F.last(F.when(F.col("new"), me), True).over(later))
     shifts = a.withColumn("shift", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("j", F.pmod(F.col("i") - 1 + F.col("shift"), F.col("n")) + 1)
     b = a.select("b", F.col("i").alias("j"), F.col("ord").alias("partner"), F.col("question_id").alias("other"))
     near = shifts.join(b, ["b", "j"]).where("question_id <> other").groupBy("ord", "question_id").agg(F.min_by(F.struct("partner", "other"), "shift").alias("p"))
     lone = a.join(near.select("ord", "question_id"), ["ord", "question_id"], "left_anti")
-    # the first row of each block and its first of another question: at most 32 rows
+    # the first row of each block and its first of another question: two rows for each block
     firsts = a.where("i = 1 OR new").groupBy("b").agg(F.min_by(me, "i").alias("x"), F.min_by(me, F.when(F.col("new"), F.col("i"))).alias("y"))
     firsts = firsts.select(F.col("b").alias("fb"), F.posexplode(F.array("x", "y")).alias("k", "q")).where("q IS NOT NULL")
-    far = lone.where("next IS NULL").join(F.broadcast(firsts), F.expr("question_id <> q.other")).groupBy("ord", "question_id").agg(F.min_by("q", F.struct(F.pmod(F.col("fb") - F.col("b"), F.lit(16)), "k")).alias("p"))
+    far = lone.where("next IS NULL").join(F.broadcast(firsts), F.expr("question_id <> q.other")).groupBy("ord", "question_id").agg(F.min_by("q", F.struct(F.pmod(F.col("fb") - F.col("b"), F.lit(blocks)), "k")).alias("p"))
     found = near.unionByName(lone.where("next IS NOT NULL").select("ord", "question_id", F.col("next").alias("p"))).unionByName(far)
     return found.select("ord", "question_id", "p.partner", "p.other")
 

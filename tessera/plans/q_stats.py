@@ -65,11 +65,11 @@ def v7(spark, sf):
     return V.similarity_entropy(vecs(spark, sf).withColumn("batch", F.floor(F.col("vec_id") / 64)), "vec_id", "z", batch="batch")
 
 
-@query("v8_v10_group_diversity", f"WITH {VECS}, u AS (SELECT vec_id, question_id, {UNIT('z')} AS u FROM vecs) SELECT avg(greatest(0, {D}(a.u, b.u) - 0.1)) AS diversity, 0.5 * avg(greatest(0, {D}(a.u, b.u) - 0.1)) + 1 AS total FROM u a JOIN u b ON a.question_id = b.question_id AND a.vec_id < b.vec_id")
+@query("v8_v10_group_diversity", f"WITH {VECS}, u AS (SELECT vec_id, vec_id // 16 AS question_id, {UNIT('z')} AS u FROM vecs) SELECT avg(greatest(0, {D}(a.u, b.u) - 0.1)) AS diversity, 0.5 * avg(greatest(0, {D}(a.u, b.u) - 0.1)) + 1 AS total FROM u a JOIN u b ON a.question_id = b.question_id AND a.vec_id < b.vec_id")
 def v8(spark, sf):
-    """V8: mean of max(0, cosine - margin) over pairs of a question; V10: a weighted sum of losses."""
+    """V8: mean of max(0, cosine - margin) over pairs of a question (sixteen vectors in a row, at any size of the table); V10: a weighted sum of losses."""
     d = F.avg(F.greatest(F.lit(0.0), F.col("cosine") - 0.1))
-    return V.within_pairs(vecs(spark, sf), "question_id", "vec_id", "z").agg(d.alias("diversity"), (0.5 * d + 1).alias("total"))
+    return V.within_pairs(vecs(spark, sf).withColumn("question_id", F.floor(F.col("vec_id") / 16)), "question_id", "vec_id", "z").agg(d.alias("diversity"), (0.5 * d + 1).alias("total"))
 
 
 @query("v11_effective_rank", f"{COV} SELECT pow(sum(CASE WHEN i = j THEN cp END), 2) / sum(cp * cp) AS value FROM c")

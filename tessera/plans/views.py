@@ -22,13 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 GROUP_BYTES = 64 << 20
 
 
+def table_bytes(df: DataFrame) -> int:
+    """The estimated size of a plan's rows."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input dealt to all cores where its row groups are fewer; larger inputs stay as they are.
 
     A file of one row group is read by one task, however the scan is split.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = table_bytes(df)
     cores = spark.sparkContext.defaultParallelism
     if size > cores * GROUP_BYTES or len(df.inputFiles()) + size // GROUP_BYTES >= cores:
         return df
