@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import nearest_centroid
+from ..sources.io import held
 from . import passk, stats
 from .ranks import beside, name_clusters, quantiles, rank_quartile
 from .sampling import draw, random_halves
@@ -79,6 +80,7 @@ def text_separation(df: DataFrame, styles: list[str], text: str, key: str, featu
     per = pair_distances(x, "doc", "question_id").groupBy("question_id").agg((F.sum("distance")).alias("s"), F.count("*").alias("c"))
     pairs = len(styles) * (len(styles) - 1) / 2
     d = full.select(F.col("question_id").cast("string")).join(per, "question_id", "left").select(((F.coalesce("s", F.lit(0.0)) + (pairs - F.coalesce("c", F.lit(0)))) / pairs).alias("d"))  # pairs without a common term are 1 apart
+    d = held(d)
     whole = d.agg(F.count("*").alias("n_questions"), F.avg("d").alias("mean_distance"), rate(F.col("d") < 0.05).alias("collapse_rate"))
     return beside(whole, quantiles(d, [], "d", {"median_distance": 0.5}), [])
 
@@ -144,6 +146,7 @@ def cell_rates(df: DataFrame, style: str = "prefix_style") -> DataFrame:
 def usefulness(df: DataFrame, styles: int, least: int) -> DataFrame:
     """Over questions with ``least`` samples of every style: gap of the best style over the mean, its quartiles and shares over 0.05 and 0.1."""
     q = cell_rates(df).groupBy("question_id").agg(F.count("*").alias("s"), F.min("n").alias("m"), (F.max("p") - F.avg("p")).alias("gap")).where((F.col("s") == styles) & (F.col("m") >= least))
+    q = held(q.select("gap"))
     whole = q.agg(F.count("*").alias("n_questions"), F.avg("gap").alias("mean_gap"), rate(F.col("gap") > 0.05).alias("over_05"), rate(F.col("gap") > 0.1).alias("over_10"))
     return beside(whole, quantiles(q, [], "gap", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), [])
 
@@ -152,6 +155,7 @@ def usefulness_variance(df: DataFrame, least: int) -> DataFrame:
     """Over questions with two styles of ``least`` samples: variance of their rates, and the bits style tells about success."""
     q = cell_rates(df).where(F.col("n") >= least).groupBy("question_id").agg(F.count("*").alias("s"), F.var_pop("p").alias("v")).where("s >= 2")
     j = q.join(stats.mutual_information(df, "prefix_style", "correct", True, "question_id"), "question_id")
+    j = held(j.select("s", "v", "mi"))
     whole = j.agg(F.count("*").alias("n_questions"), F.avg("s").alias("mean_styles"), F.avg("v").alias("mean_var"), F.avg("mi").alias("mean_mi"), rate(F.col("v") > 0.0025).alias("var_over"), rate(F.col("mi") > 0.02).alias("mi_over"))
     return beside(whole, quantiles(j, [], "v", {"median_var": 0.5}), [])
 

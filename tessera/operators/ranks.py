@@ -81,8 +81,8 @@ def rank_quartile(df: DataFrame, col: str, tie: str) -> DataFrame:
     return r.withColumn("bucket", cuts[0] + cuts[1] + cuts[2]).drop("_r", "_n")
 
 
-#: Pieces that an order of values is cut into for exact quantiles.
-PIECES = 256
+#: Pieces that an order of values is cut into for exact quantiles, and bytes of input below which one piece is enough.
+PIECES, ONE_PIECE = 256, 32 << 20
 
 
 def beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -103,6 +103,10 @@ def quantiles(df: DataFrame, by: list[str], col: str, at: dict[str, float]) -> D
     sorts its own values and begins after the counts of those before. So no task holds a group's values.
     """
     hist = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_m"))
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < ONE_PIECE
+    if small:
+        group = W.partitionBy(*by)
+        return _between(hist.withColumns({"_upto": F.sum("_m").over(group.orderBy(col).rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("_m").over(group)}), by, col, at)
     edges = hist.agg(F.percentile_approx(col, F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)]), 10_000).alias("e")).first()["e"] or []
     cuts = F.array(*[F.lit(e) for e in sorted(set(edges))])
     held = hist.withColumn("_piece", F.size(F.filter(cuts, lambda e: e < F.col(col))) if edges else F.lit(0))
@@ -110,6 +114,11 @@ def quantiles(df: DataFrame, by: list[str], col: str, at: dict[str, float]) -> D
     run = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(*by, "_piece", F.coalesce(F.sum("_t").over(run), F.lit(0)).alias("_before"), F.sum("_t").over(W.partitionBy(*by)).alias("_n"))  # PIECES rows for each group
     upto = beside(held, before, [*by, "_piece"]).withColumn("_upto", F.col("_before") + F.sum("_m").over(W.partitionBy(*by, "_piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0)))
+    return _between(upto, by, col, at)
+
+
+def _between(upto: DataFrame, by: list[str], col: str, at: dict[str, float]) -> DataFrame:
+    """Quantiles from values with the number of rows up to them (``_upto``) and of their group (``_n``)."""
     first = lambda place: F.min(F.when(F.col("_upto") > place, F.col(col)))
     place = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in at.items()}
     ends = [x for name, p in place.items() for x in (first(F.floor(p)).cast("double").alias(f"_lo_{name}"), first(F.ceil(p)).cast("double").alias(f"_hi_{name}"))]

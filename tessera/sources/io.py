@@ -32,6 +32,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Rows that several plans read: written to the shared folder once and read again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
     """One small file through Spark's file systems."""
     name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
