@@ -110,7 +110,29 @@ def shard_ranges(n: int, shards: int) -> list[tuple[int, int]]:
     return [(n * i // shards, n * (i + 1) // shards) for i in range(shards)]
 
 
+#: Rows of a question that one block holds where its pairs are made, and pairs that a task makes on average.
+PAIR_BLOCK, TASK_PAIRS = 2048, 1 << 25
+
+
+def block_pairs(df: DataFrame, group: str, key: str, block: int = PAIR_BLOCK) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides of the pairs of a group: rows dealt to blocks of about ``block`` rows by a hash of the key, each block once for every pair of blocks (``_i`` <= ``_j``) it is in.
+
+    Also the number of tasks the pairs are for. A pair of blocks is bounded, so a group of any size is spread.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    pairs = sizes.agg(F.sum(F.col("_n") * F.col("_n") / 2)).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 13, int(pairs // TASK_PAIRS)))
+    counts = sizes.select("_g", F.ceil(F.col("_n") / block).cast("int").alias("_m"))
+    dealt = df.join(counts, F.col(group) == F.col("_g")).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_m")).cast("int"))
+    left = dealt.withColumn("_j", F.explode(F.sequence("_b", F.col("_m") - 1))).withColumnRenamed("_b", "_i").drop("_g", "_m")
+    right = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0), "_b"))).withColumnRenamed("_b", "_j").drop("_g", "_m")
+    return left, right, parts
+
+
 def same_question_pairs(df: DataFrame, question: str, key: str) -> DataFrame:
-    """The unordered pairs of rows of a question, each once."""
-    a, b = df.select(question, F.col(key).alias("id_a")), df.select(question, F.col(key).alias("id_b"))
-    return a.join(b, question).where("id_a < id_b")
+    """The unordered pairs of rows of a question, each once. All pairs are made, in tasks of bounded blocks."""
+    left, right, parts = block_pairs(df.select(question, key), question, key)
+    on = [question, "_i", "_j"]
+    a, b = left.select(*on, F.col(key).alias("_a")).repartition(parts, *on), right.select(*on, F.col(key).alias("_b")).repartition(parts, *on)
+    met = a.join(b, on).where("_i < _j OR _a < _b")  # equal keys are in one block
+    return met.select(question, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))

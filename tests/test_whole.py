@@ -43,3 +43,17 @@ def test_every_row_has_a_partner(spark, tmp_path):
         out = QUERIES["j19_partner_of_other_question"](spark, f"{tmp_path}/{n}").collect()
         assert sorted(r["ord"] for r in out) == sorted(r[0] for r in rows)
         assert all(r["question_id"] != r["other"] == f"web::q{r['partner'] % 37}" for r in out)
+
+
+def test_question_pairs_are_all_pairs_of_a_question(spark, sf, duck):
+    sizes = duck("SELECT count(*) AS n FROM documents GROUP BY source || '::q' || CAST(doc_id % 37 AS VARCHAR)")["n"]
+    assert QUERIES["j16_question_pairs"](spark, sf).count() == sum(n * (n - 1) // 2 for n in sizes)
+
+
+def test_pairs_over_many_blocks(spark, monkeypatch):
+    from tessera.operators import sampling as R
+
+    rows = spark.range(100).selectExpr("CASE WHEN id < 60 THEN 'a' WHEN id < 97 THEN 'b' END AS q", "id")
+    monkeypatch.setattr(R.block_pairs, "__defaults__", (7,))
+    got = sorted((r["q"], r["id_a"], r["id_b"]) for r in R.same_question_pairs(rows, "q", "id").collect())
+    assert got == sorted([("a", a, b) for b in range(60) for a in range(b)] + [("b", a, b) for b in range(60, 97) for a in range(60, b)])
