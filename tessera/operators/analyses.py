@@ -71,12 +71,12 @@ def length_separation(df: DataFrame, styles: list[str], col: str) -> DataFrame:
 
 def text_separation(df: DataFrame, styles: list[str], text: str, key: str, features: int = 4096) -> DataFrame:
     """A5: over questions with every style: mean pairwise tf-idf distance of a question's style documents, and the share under 0.05."""
-    from .tfidf import joined_terms, pair_distances, weights
+    from .tfidf import crossings, pair_distances, tfidf
 
     docs = df.select("question_id", "prefix_style").distinct()
     full = docs.groupBy("question_id").agg(F.count("*").alias("s")).where(F.col("s") == len(styles))
     rows = df.join(full.select("question_id"), "question_id", "left_semi").withColumn("doc", F.concat_ws("/", "question_id", "prefix_style"))
-    x = weights(joined_terms(rows, "doc", key, text), rows, "doc", features).withColumn("question_id", F.split("doc", "/")[0])
+    x = tfidf(rows, "doc", text, features, more=crossings(rows, "doc", key, text)).withColumn("question_id", F.split("doc", "/")[0])
     per = pair_distances(x, "doc", "question_id").groupBy("question_id").agg((F.sum("distance")).alias("s"), F.count("*").alias("c"))
     pairs = len(styles) * (len(styles) - 1) / 2
     d = full.select(F.col("question_id").cast("string")).join(per, "question_id", "left").select(((F.coalesce("s", F.lit(0.0)) + (pairs - F.coalesce("c", F.lit(0)))) / pairs).alias("d"))  # pairs without a common term are 1 apart

@@ -57,3 +57,33 @@ def test_pairs_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(R.block_pairs, "__defaults__", (7,))
     got = sorted((r["q"], r["id_a"], r["id_b"]) for r in R.same_question_pairs(rows, "q", "id").collect())
     assert got == sorted([("a", a, b) for b in range(60) for a in range(b)] + [("b", a, b) for b in range(60, 97) for a in range(60, b)])
+
+
+def test_text_distances_over_many_blocks(spark, sf, duck, monkeypatch):
+    from tessera.operators import sampling as R
+    from tessera.plans.catalogue import ORACLE_SQL
+
+    monkeypatch.setattr(R.block_pairs, "__defaults__", (2,))
+    docs = spark.createDataFrame([(k, f"w{k % 5} same word{k % 3}" if k % 11 else None, "en", "web", 1) for k in range(37 * 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = f"{sf}/none"
+    monkeypatch.setattr("tessera.plans.views.table", lambda *_: docs)
+    got = {(r["question_id"], r["a"], r["b"]): r["distance"] for r in QUERIES["m20_tfidf_distance"](spark, path).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {(q, a, b): d for q, a, b, d in con.sql(ORACLE_SQL["m20_tfidf_distance"]).fetchall()}
+    assert got.keys() == want.keys() and len(want) > 800
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), atol=2e-9)
+
+
+def test_vocabulary_rows_are_not_shuffled(spark):
+    """Rows of one document each are weighed where they are read; documents of several rows give the same."""
+    from tessera.operators import tfidf as TF
+
+    rows = spark.createDataFrame([(k, f"a{k % 7}b cc dd{k % 3}") for k in range(60)], "d long, t string")
+    one = TF.tfidf(rows, "d", "t")
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    split = rows.selectExpr("d", "explode(array(t, null)) AS t")
+    key = lambda df: sorted((r["d"], r["term"], round(r["x"], 12)) for r in df.collect())
+    assert key(one) == key(TF.tfidf(split, "d", "t")) and len(key(one)) > 200
