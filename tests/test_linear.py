@@ -136,3 +136,28 @@ def test_identifiability_says_what_it_cannot_tell(spark):
     assert one["probe"] is None and "single label" in one["note"]
     (bad,) = P.identifiability(df.withColumn("question_id", F.lit("q")), sets, "text", "label", "question_id", trees=5).collect()
     assert bad["note"] == "degenerate question split"
+
+
+def test_forest_from_cells_is_as_good_as_from_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 2))
+    rows = spark.createDataFrame([(i, int(a * b > 0) if i % 10 else i // 10 % 2, float(a), float(b)) for i, (a, b) in enumerate(x)], "ord long, label int, a double, b double")
+    df = R.stratified_split(rows, "label", "ord")
+    cells = P.forest_probe(df, ["a", "b"], "label", 20).scores.first()
+    again = P.forest_probe(df.repartition(7), ["a", "b"], "label", 20).scores.first()
+    monkeypatch.setattr(P.forest, "CELLS", 10)
+    plain = P.forest_probe(df, ["a", "b"], "label", 20).scores.first()
+    assert cells == again and cells["n_train"] == plain["n_train"] and cells["n_test"] == plain["n_test"]
+    assert abs(cells["accuracy"] - plain["accuracy"]) < 0.03 and cells["accuracy"] > 0.88
+
+
+def test_forest_reads_its_rows_a_fixed_number_of_times(spark):
+    """Trees are grown from counted cells: no job's tasks grow with trees or depth."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows = spark.createDataFrame([(i, i % 3, float(i % 3) + 0.1 * (i % 7), float(i * 37 % 101)) for i in range(300)], "ord long, label int, good double, noise double")
+    fit, RandomForestClassifier.fit = RandomForestClassifier.fit, None
+    try:
+        assert P.forest_probe(R.stratified_split(rows, "label", "ord"), ["good", "noise"], "label", 20).scores.first()["n_test"] == 60
+    finally:
+        RandomForestClassifier.fit = fit
