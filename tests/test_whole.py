@@ -87,3 +87,21 @@ def test_vocabulary_rows_are_not_shuffled(spark):
     split = rows.selectExpr("d", "explode(array(t, null)) AS t")
     key = lambda df: sorted((r["d"], r["term"], round(r["x"], 12)) for r in df.collect())
     assert key(one) == key(TF.tfidf(split, "d", "t")) and len(key(one)) > 200
+
+
+def test_silhouette_holds_few_rows_at_once(spark):
+    """The differences of 1,500 rows of 64 dimensions from each other are 1.2 GB; a task holds a small part of them."""
+    import pyarrow as pa
+
+    from tessera.operators import clustering as C
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 64)) + np.arange(1500)[:, None] % 2)], "id long, label long, v array<double>").coalesce(1)
+    runs, real = [], type(df).mapInArrow
+    try:
+        type(df).mapInArrow = lambda self, f, *a, **k: runs.append(f) or real(self, f, *a, **k)
+        got = C.silhouette(df, "id", "label", "v").first()[0]
+    finally:
+        type(df).mapInArrow = real
+    t = pa.table({"label": [0, 1] * 750, "v": pa.array([[0.0] * 64] * 1500)}).combine_chunks().to_batches()[0]
+    assert 0 < got < 1 and max(b.num_rows for b in runs[-1]([t])) <= C.PIECE
