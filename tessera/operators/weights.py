@@ -102,7 +102,7 @@ def cluster_prefixed(train: DataFrame, validation: DataFrame, assigned: DataFram
     joined = one_to_one(train, assigned, keys)
     names = name_clusters(joined, cluster, length).drop("n")
     both = joined.withColumn("split", F.lit("train")).unionByName(one_to_one(validation, assigned_validation, keys).withColumn("split", F.lit("validation")))
-    named = both.join(names, cluster)
+    named = both.join(F.broadcast(names), cluster)  # one row for each cluster, so that no cluster's rows meet in one task
     return named.withColumn("oracle_style_name", F.col(author)).withColumn(text, with_prefix(F.col("style"), without_prefix(F.col(text)), mode))
 
 
