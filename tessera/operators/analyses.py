@@ -10,7 +10,7 @@ from ..functions.vectors import nearest_centroid
 from ..sources.io import held
 from . import passk, stats
 from .ranks import beside, name_clusters, quantiles, rank_quartile
-from .sampling import draw, random_halves
+from .sampling import draw, half, placed
 
 
 def rate(c: Column) -> Column:
@@ -177,9 +177,13 @@ def split_selection(df: DataFrame, key: str, splits: int, seed: int = 0) -> Data
 
     The halves of a split come from a hash of (split, place in the cell), shared by all cells.
     """
-    s = random_halves(df, ["question_id", "prefix_style"], key, splits, seed)
-    v = F.col("correct").cast("double")
-    p = s.groupBy("split", "question_id", "prefix_style").agg(F.avg(F.when(F.col("half") == 0, v)).alias("a"), F.avg(F.when(F.col("half") == 1, v)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    by, v = ["question_id", "prefix_style"], F.col("correct").cast("double")
+    rows = placed(df.select(*by, key, "correct"), by, key)
+    sums = []
+    for k in range(1, splits + 1):  # added up in the cell first: a cell is one row for all splits, a sample never is one for each
+        first = half(F.lit(k), F.col("i"), seed) == 0
+        sums += [F.struct(F.lit(k).alias("split"), F.avg(F.when(first, v)).alias("a"), F.avg(F.when(~first, v)).alias("b"))]
+    p = rows.groupBy(*by).agg(F.array(*sums).alias("s")).select(*by, F.explode("s").alias("s")).select(*by, "s.split", "s.a", "s.b").where("a IS NOT NULL AND b IS NOT NULL")
     q = p.groupBy("split", "question_id").agg(F.avg("b").alias("uniform"), F.max_by("b", F.struct("a", "prefix_style")).alias("per_question"), F.max("b").alias("oracle"))
     best = p.groupBy("split", "prefix_style").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).groupBy("split").agg(F.max_by("b", F.struct("a", "prefix_style")).alias("best_fixed"))
     t = q.groupBy("split").agg(*[F.avg(c).alias(c) for c in ("uniform", "per_question", "oracle")]).join(best, "split")

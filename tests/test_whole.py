@@ -105,3 +105,21 @@ def test_silhouette_holds_few_rows_at_once(spark):
         type(df).mapInArrow = real
     t = pa.table({"label": [0, 1] * 750, "v": pa.array([[0.0] * 64] * 1500)}).combine_chunks().to_batches()[0]
     assert 0 < got < 1 and max(b.num_rows for b in runs[-1]([t])) <= C.PIECE
+
+
+def test_clusters_names_are_known_to_all_tasks(spark, sf):
+    """No row is shuffled by its cluster, of which there are few."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["i11_cluster_prefix_build"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert re.search(r"BroadcastHashJoin \[cluster_id", plan)
+
+
+def test_samples_are_added_up_before_they_are_split(spark, sf):
+    """Forty splits are forty rows of a cell, not of a sample."""
+    plan = QUERIES["a15_split_selection"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    made = re.findall(r"Generate explode\((\w+)", plan)
+    assert made and set(made) == {"s"} and "array(" in plan[plan.index("Generate explode(s") :]
