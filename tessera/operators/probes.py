@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import held, scratch
+from ..sources.io import held
 from . import forest, linear
 from .sampling import permuted, split_by_key, stratified_split  # noqa: F401  for callers beside the probes
 from .stats import classification, safe_corr
@@ -32,7 +32,7 @@ def _coded(df: DataFrame, label: str) -> DataFrame:
     c = c.withColumn("y", (F.row_number().over(W.orderBy(label)) - 1).cast("double"))
     t = c.agg(F.sum("_c").alias("_t"), F.count("*").alias("_k"))
     w = c.crossJoin(F.broadcast(t)).select(label, "y", (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("w"))  # one row
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)  # a row for each class; rows stay where they are, as labels are few
 
 
 def _scored(out: DataFrame, train: DataFrame) -> DataFrame:
@@ -93,14 +93,12 @@ def _spark_forest(parts: DataFrame, features: list[str], trees: int, depth: int)
     return Probe(spark.createDataFrame(scores, SCORES), _told(spark, features, model.featureImportances.toArray()))
 
 
-def _linear(df: DataFrame, label: str, features: int, fit) -> DataFrame:
-    """Scores of a linear model over sparse rows (at, x, split) with a label; the rows are written once, as every round reads them."""
-    path = scratch(df.sparkSession)
-    _coded(df, label).select("y", "w", "at", "x", "split").write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    classes = int(rows.agg(F.max("y")).first()[0]) + 1
-    return _scored(linear.predicted(test, fit(train, classes)), train)
+def _linear(df: DataFrame, label: str, sparse, fit) -> DataFrame:
+    """Scores of a linear model over rows with a label and a ``split``, which ``sparse`` turns into (at, x): train and test rows once each."""
+    coded = _coded(df, label).drop(label)
+    train, test = (coded.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    classes = int(coded.agg(F.max("y")).first()[0]) + 1
+    return _scored(held(linear.predicted(sparse(test), fit(sparse(train), classes))), train)
 
 
 def text_probe(df: DataFrame, text: str, label: str, features: int = 20_000, min_df: int = 3, rounds: int = 100) -> DataFrame:
@@ -109,14 +107,13 @@ def text_probe(df: DataFrame, text: str, label: str, features: int = 20_000, min
     Vocabulary and idf come from all rows, C is 1 and classes weigh alike.
     """
     words = linear.vocabulary(df, text, features, min_df)
-    rows = linear.tfidf_rows(df.select(label, "split", text), text, words)
-    return _linear(rows, label, len(words.at), lambda train, k: linear.logistic(train, k, len(words.at), rounds=rounds))
+    return _linear(df.select(label, "split", text), label, lambda rows: linear.tfidf_rows(rows, text, words), lambda train, k: linear.logistic(train, k, len(words.at), rounds=rounds))
 
 
 def vector_probe(df: DataFrame, vec: str, label: str, epochs: int = 20) -> DataFrame:
     """M4: one-against-rest log loss by stochastic gradient steps on vectors with a ``split``."""
     size = df.select(F.size(vec)).first()[0]
-    return _linear(linear.dense_rows(df.select(label, "split", vec), vec), label, size, lambda train, k: linear.sgd(train, k, size, epochs))
+    return _linear(df.select(label, "split", vec), label, lambda rows: linear.dense_rows(rows, vec), lambda train, k: linear.sgd(train, k, size, epochs))
 
 
 def identifiability(df: DataFrame, sets: dict[str, list[str]], text: str, label: str, question: str, trees: int = 300, least_texts: int = 200) -> DataFrame:

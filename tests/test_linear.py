@@ -161,3 +161,39 @@ def test_forest_reads_its_rows_a_fixed_number_of_times(spark):
         assert P.forest_probe(R.stratified_split(rows, "label", "ord"), ["good", "noise"], "label", 20).scores.first()["n_test"] == 60
     finally:
         RandomForestClassifier.fit = fit
+
+
+@pytest.mark.parametrize("features,ties", [(30, 4), (30, 0), (8, 1), (3, 4), (20_000, 4)])
+def test_pairs_of_frequent_words_are_enough_for_the_vocabulary(spark, monkeypatch, features, ties):
+    """Pairs are counted for words as frequent as the last of ``features`` only; with too many ties, as texts."""
+    monkeypatch.setattr(L, "TIES", ties)
+    monkeypatch.setattr(L, "CHUNK_WORDS", 40)
+    rows = texts(90, 3) + [(900 + i, "q", "a", f"tie{i % 7} tie{i % 5} zz tie{i % 3}") for i in range(21)]
+    terms, x = plain_tfidf([r[3] for r in rows], features, 3)
+    words = L.vocabulary(frame(spark, rows), "text", features)
+    assert sorted(words.at, key=words.at.get) == terms
+    got = dense(L.tfidf_rows(frame(spark, rows).select("ord", "text"), "text", words).collect(), len(terms))
+    assert all(np.allclose(got[r[0]], x[i], atol=1e-12) for i, r in enumerate(rows))
+
+
+def test_rows_are_not_shuffled_by_label(spark):
+    """With a task for each label, the rounds of a probe would run on as many cores as there are labels."""
+    rows = frame(spark, texts()).withColumn("part", F.spark_partition_id()).persist()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = P._coded(rows, "label").withColumn("now", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 240 and all(r["part"] == r["now"] for r in got) and len({r["now"] for r in got}) == 3
+
+
+def test_frequent_and_rare_terms_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    names = np.array([f"w{i}" for i in range(400)])
+    rows = [(i, "q", "abc"[i % 3], " ".join([f"topic{i % 3 if rng.random() < 0.9 else 0}", *names[np.minimum(rng.zipf(1.3, 60) - 1, 399)]])) for i in range(900)]
+    df, calls, loss = frame(spark, rows), [], L._loss
+    words = L.vocabulary(df, "text")
+    sparse = L.tfidf_rows(df.select("label", "text"), "text", words).select((F.ascii("label") - 97).cast("double").alias("y"), F.lit(1.0).alias("w"), "at", "x").persist()
+    monkeypatch.setattr(L, "_loss", lambda *a: calls.append(1) or loss(*a))
+    L.logistic(sparse, 3, len(words.at))
+    assert len(calls) <= 14
