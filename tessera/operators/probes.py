@@ -16,10 +16,10 @@ from .stats import classification, safe_corr
 SCORES = "accuracy double, macro_f1 double, majority double, n_test bigint, n_train bigint"
 
 
-def length_features(traces: DataFrame) -> DataFrame:
-    """Three plain features of the text, for probes."""
+def length_features(traces: DataFrame, *keep: str) -> DataFrame:
+    """Three plain features of the text, for probes, beside the columns ``keep``."""
     return traces.select(
-        "ord", "question_id", "author", F.length("trace").cast("double").alias("f1"), (F.length(F.regexp_replace("trace", r"[^aeiou]", "")) / F.greatest(F.lit(1), F.length("trace"))).alias("f2"),
+        "ord", "question_id", "author", *keep, F.length("trace").cast("double").alias("f1"), (F.length(F.regexp_replace("trace", r"[^aeiou]", "")) / F.greatest(F.lit(1), F.length("trace"))).alias("f2"),
         (F.length(F.regexp_replace("trace", r"[\x00-\x7f]", "")) / F.greatest(F.lit(1), F.length("trace"))).alias("f3"),
     )
 
@@ -123,20 +123,22 @@ def identifiability(df: DataFrame, sets: dict[str, list[str]], text: str, label:
     With one label there is nothing to tell apart, and a split without train or test rows is
     degenerate: then one row says so. A probe whose split is degenerate is left out.
     """
-    spark, k = df.sparkSession, df.select(label).distinct().count()
+    spark = df.sparkSession
     out = "probe string, accuracy double, macro_f1 double, over_chance double, n_train bigint, n_test bigint, note string"
+    features = sorted({c for cols in sets.values() for c in cols})
+    narrow = held(df.select(F.col(label).alias("_label"), F.col(question).alias("_question"), F.col(text).isNotNull().alias("_text"), *features))  # texts are read here and by the lexical probe
+    k = narrow.select("_label").distinct().count()
     if k < 2:
         return spark.createDataFrame([(None, None, None, None, 0, 0, "single label: identifiability undefined")], out)
-    rows = split_by_key(df, question, 0.3).persist()
-    try:
-        if rows.select("split").distinct().count() < 2:
-            return spark.createDataFrame([(None, None, None, None, 0, 0, "degenerate question split")], out)
-        got = {name: forest_probe(rows, cols, label, trees).scores.first() for name, cols in sets.items()}
-        texts = split_by_key(df.where(F.col(text).isNotNull()), question, 0.3)
-        if texts.count() >= least_texts and texts.select("split").distinct().count() == 2:
-            got["tfidf_logreg"] = text_probe(texts, text, label).first()
-    finally:
-        rows.unpersist()
+    rows = held(split_by_key(narrow, "_question", 0.3))
+    if rows.select("split").distinct().count() < 2:
+        return spark.createDataFrame([(None, None, None, None, 0, 0, "degenerate question split")], out)
+    got = {name: forest_probe(rows, cols, "_label", trees).scores.first() for name, cols in sets.items()}
+    questions = held(split_by_key(narrow.where("_text").select("_question").distinct(), "_question", 0.3))
+    if rows.where("_text").count() >= least_texts and questions.select("split").distinct().count() == 2:
+        test = questions.where("split = 'test'").select(F.col("_question").alias(question), "split")
+        texts = df.where(F.col(text).isNotNull()).select(label, question, text).join(test, question, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+        got["tfidf_logreg"] = text_probe(texts, text, label).first()
     told = [(name, r["accuracy"], r["macro_f1"], r["accuracy"] - 1 / k, r["n_train"], r["n_test"], None) for name, r in got.items()]
     best = max((r["accuracy"] for name, r in got.items() if name in (next(iter(sets)), "tfidf_logreg")))
     return spark.createDataFrame([*told, ("best", best, None, best - 1 / k, None, None, None)], out)

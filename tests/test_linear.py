@@ -197,3 +197,16 @@ def test_frequent_and_rare_terms_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(L, "_loss", lambda *a: calls.append(1) or loss(*a))
     L.logistic(sparse, 3, len(words.at))
     assert len(calls) <= 14
+
+
+def test_identifiability_takes_each_text_once_and_forests_take_none(spark, tmp_path, monkeypatch):
+    """Rows with equal ids, or none, are rows like others; texts go to the lexical probe only."""
+    from tessera.plans.catalogue import QUERIES
+
+    rows = [(i // 2 if i % 5 else None, f"text of row {i} é", "de" if i % 3 else "en", f"src{i % 2}") for i in range(260)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    score, seen = spark.createDataFrame([(0.5, 0.5, 0.5, 1, 1)], P.SCORES), {}
+    monkeypatch.setattr(P, "forest_probe", lambda df, cols, *a: seen.update({tuple(cols): (df.count(), "trace" in df.columns)}) or P.Probe(score))
+    monkeypatch.setattr(P, "text_probe", lambda df, *a: seen.update(text=(df.count(), df.select("split").distinct().count())) or score)
+    QUERIES["m7_identifiability"](spark, str(tmp_path)).collect()
+    assert len(seen) == 4 and seen.pop("text") == (260, 2) and set(seen.values()) == {(260, False)}
