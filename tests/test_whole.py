@@ -123,3 +123,45 @@ def test_samples_are_added_up_before_they_are_split(spark, sf):
     plan = QUERIES["a15_split_selection"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     made = re.findall(r"Generate explode\((\w+)", plan)
     assert made and set(made) == {"s"} and "array(" in plan[plan.index("Generate explode(s") :]
+
+
+def test_rare_terms_are_not_shuffled(spark, monkeypatch):
+    """Only terms that can be among the most frequent are counted one by one, also where buckets are shared and parts are small."""
+    from collections import Counter
+
+    from tessera.operators import tfidf as TF
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 60) % 5000) + (" lone" * 40 if d == 7 else "") for d in range(300)]
+    rows = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "d long, t string").repartition(6)
+    seen, real = [], TF._partial_counts
+    monkeypatch.setattr(TF, "_partial_counts", lambda *a: seen.append(real(*a)) or seen[-1])
+    cf, df = Counter(), Counter()
+    for t in texts:
+        cf.update(TF._grams(t))
+        df.update(set(TF._grams(t)))
+    for buckets, most, features in ((1 << 20, 1 << 19, 40), (1 << 14, 200, 40), (1 << 14, 1 << 19, 300), (1 << 14, 1 << 19, 10**5)):
+        for k, v in (("BUCKETS", buckets), ("MOST_TERMS", most)):
+            monkeypatch.setattr(TF, k, v)
+        terms, often, single, docs = TF.vocabulary(rows, "d", "t", features)
+        want = sorted((t for t in cf if df[t] > 1), key=lambda t: (-cf[t], t))[:features]
+        assert terms == want and often == [df[t] for t in want] and single and docs == 300
+        if features == 40:
+            assert seen[-1].select("term").distinct().count() < len(cf) / 4
+
+
+def test_documents_are_shuffled_once_for_each_block(spark, monkeypatch):
+    """A question of one block goes to its task once; pairs of many small blocks and pieces are the same."""
+    from tessera.operators import tfidf as TF
+
+    docs = spark.createDataFrame([(k, f"q{k % 3}", f"w{k % 5} same{k % 2} word{k % 7}") for k in range(90)], "d long, q string, t string")
+    whole = TF.text_distances(docs, "d", "q", "t")
+    key = lambda df: {(r["q"], r["a"], r["b"]): round(r["distance"], 12) for r in df.collect()}
+    moved, real = [], type(docs).sortWithinPartitions
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", lambda self, *c: moved.append(self) or real(self, *c))
+    want = key(TF.text_distances(docs, "d", "q", "t"))
+    assert moved[-1].count() == 90 and want == key(whole) and len(want) > 500 and all(a < b for _, a, b in want)
+    monkeypatch.setattr(TF, "BLOCK", 8)
+    monkeypatch.setattr(TF, "DENSE", 3)
+    got = TF.text_distances(docs, "d", "q", "t")
+    assert key(got) == want and got.count() == len(want)
